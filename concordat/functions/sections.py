@@ -178,48 +178,67 @@ def plain_sentences(cleaned: Column | str) -> Column:
 
 
 class WordTokens:
-    """Default tokenizer: a token is a word with the blanks that follow it.
+    """Default tokenizer: a token is a word with the blanks around it.
 
-    Joining tokens gives the text back, which is what the chunker needs; all
-    of it runs in the JVM.
+    Joining tokens gives the text back, which is what cutting an over-long
+    sentence needs; all of it runs in the JVM.
     """
 
-    def count(self, text: Column) -> Column:
+    def _count(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(NON_WS + "+"))
 
-    def split(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(f"({WS}*{NON_WS}+{WS}*)"), 1)
+    def counts(self, texts: Column) -> Column:
+        return F.transform(texts, self._count)
+
+    def nested_counts(self, texts: Column) -> Column:
+        return F.transform(texts, self.counts)
+
+    def nested_cuts(self, texts: Column, size: int) -> Column:
+        """For every sentence over ``size`` tokens: its pieces of ``size`` tokens."""
+        def pieces(sentence: Column) -> Column:
+            tokens = F.regexp_extract_all(sentence, F.lit(f"({WS}*{NON_WS}+{WS}*)"), 1)
+            starts = F.sequence(F.lit(1), self._count(sentence), F.lit(size))
+            cut = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), ""))
+            return F.when(self._count(sentence) > size, cut)
+
+        return F.transform(texts, lambda group: F.transform(group, pieces))
 
 
 class CodecTokens:
     """Any encoder with ``encode(str) -> list[int]`` and ``decode(list[int]) -> str``.
 
-    ``load`` runs once per Python worker, so a vocabulary is not shipped with
-    every task. Used for byte-pair vocabularies, which need a local file.
+    ``load`` runs once per batch stream of a Python worker, so a vocabulary is
+    not shipped with every task. For byte-pair vocabularies, which need a local file.
     """
 
     def __init__(self, load: Callable[[], object]):
         self._load = load
 
-    def count(self, text: Column) -> Column:
+    def _mapped(self, kind: T.DataType, arrow: pa.DataType, convert: Callable) -> Callable:
         load = self._load
 
-        @F.arrow_udf(T.IntegerType())
-        def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        @F.arrow_udf(kind)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             codec = load()
             for batch in batches:
-                yield pa.array([None if t is None else len(codec.encode(t)) for t in batch.to_pylist()], pa.int32())
+                yield pa.array([None if row is None else convert(codec, row) for row in batch.to_pylist()], arrow)
 
-        return counts(text)
+        return run
 
-    def split(self, text: Column) -> Column:
-        load = self._load
+    def counts(self, texts: Column) -> Column:
+        size = lambda codec, row: [None if t is None else len(codec.encode(t)) for t in row]
+        return self._mapped(T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), size)(texts)
 
-        @F.arrow_udf(T.ArrayType(T.StringType()))
-        def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            codec = load()
-            for batch in batches:
-                yield pa.array([None if t is None else [codec.decode([i]) for i in codec.encode(t)]
-                                for t in batch.to_pylist()], pa.list_(pa.string()))
+    def nested_counts(self, texts: Column) -> Column:
+        size = lambda codec, row: [[len(codec.encode(t)) for t in group] for group in row]
+        kind = T.ArrayType(T.ArrayType(T.IntegerType()))
+        return self._mapped(kind, pa.list_(pa.list_(pa.int32())), size)(texts)
+
+    def nested_cuts(self, texts: Column, size: int) -> Column:
+        def pieces(codec, sentence):
+            ids = codec.encode(sentence)
+            return [codec.decode(ids[i:i + size]) for i in range(0, len(ids), size)] if len(ids) > size else None
 
-        return pieces(text)
+        cut = lambda codec, row: [[pieces(codec, t) for t in group] for group in row]
+        kind = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
+        return self._mapped(kind, pa.list_(pa.list_(pa.list_(pa.string()))), cut)(texts)

@@ -1,0 +1,224 @@
+"""Sentence-packing chunker over section rows.
+
+The greedy scan over sentences is the only sequential step. It sees nothing
+but two integer arrays per section (tokens and characters per sentence); texts
+never leave the JVM, where the chunks are cut from the sentence array.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from concordat.functions import sections as sec
+from concordat.functions.text import is_blank
+
+
+@dataclass(frozen=True)
+class ChunkConfig:
+    """``target_tokens`` is checked but, as in the studied tool, steers nothing."""
+
+    target_tokens: int = 450
+    max_tokens: int = 650
+    overlap_tokens: int = 80
+
+    def __post_init__(self):
+        if self.target_tokens > self.max_tokens:
+            raise ValueError("target_tokens must be <= max_tokens")
+        if self.overlap_tokens >= self.target_tokens:
+            raise ValueError("overlap_tokens must be < target_tokens")
+
+
+SPAN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("first", "last", "piece", "start", "end")])
+
+
+def pack_spans(tokens: list[int], chars: list[int], max_tokens: int, overlap: int) -> list[dict]:
+    """Chunk boundaries for one section.
+
+    A span covers sentences ``first..last``; an over-long sentence yields spans
+    with ``piece`` numbers instead, whose offsets are relative to ``start``.
+    Offsets follow the running length of sentences joined by single blanks.
+    """
+    spans: list[dict] = []
+    offset = 0
+    first, count, held = 0, 0, 0  # open chunk: first sentence, how many, their tokens
+
+    def width(a: int, n: int) -> int:
+        return sum(chars[a:a + n]) + n - 1
+
+    def close() -> None:
+        spans.append({"first": first, "last": first + count - 1, "piece": None,
+                      "start": offset - width(first, count), "end": offset})
+
+    for i, size in enumerate(tokens):
+        if size > max_tokens:
+            if count:
+                close()
+            spans += [{"first": i, "last": i, "piece": k, "start": offset, "end": None}
+                      for k in range(-(-size // max_tokens))]
+            offset += chars[i]
+            first, count, held = i + 1, 0, 0
+            continue
+        if held + size > max_tokens:
+            close()
+            kept, total = 0, 0
+            while kept < count and total + tokens[first + count - 1 - kept] <= overlap:
+                total += tokens[first + count - 1 - kept]
+                kept += 1
+            first, count, held = i - kept, kept, total
+        count += 1
+        held += size
+        offset += chars[i] + 1
+    if count:
+        close()
+        spans[-1]["start"] = max(0, spans[-1]["start"])
+    return spans
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(SPAN)))
+def _spans(tokens: pa.Array, chars: pa.Array, limit: pa.Array, overlap: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.list_(pa.struct([pa.field(f.name, pa.int32()) for f in SPAN.fields])))
+    rows = zip(tokens.to_pylist(), chars.to_pylist(), limit.to_pylist(), overlap.to_pylist())
+    return pa.array([None if t is None else [pack_spans(a, b, m, o) for a, b in zip(t, c)]
+                     for t, c, m, o in rows], kind)
+
+
+SECTION = "struct<section_id:string,title:string,level:int,path:string,text:string,page_start:int,page_end:int>"
+
+
+def ordered_sections(docs: DataFrame) -> Column:
+    """Abstract (when there is one) followed by the sections in reading order.
+
+    ``docs`` has ``work_id, abstract`` and ``sections``, a pre-order array of
+    structs with the fields of ``SECTION``.
+    """
+    none = F.lit(None).cast("int")
+    fields = ("section_id", "title", "level", "path", "text", "page_start", "page_end")
+    abstract = F.struct(*[v.alias(n) for n, v in zip(fields, (
+        F.concat(F.col("work_id").cast("string"), F.lit("_sec_abstract")), F.lit("Abstract"), F.lit(1),
+        F.lit("Abstract"), F.col("abstract"), none, none))])
+    body = F.transform("sections", lambda s: F.struct(*[s[n].alias(n) for n in fields])).cast(f"array<{SECTION}>")
+    body = F.coalesce(body, F.array().cast(f"array<{SECTION}>"))
+    return F.when(F.length("abstract") > 0, F.concat(F.array(abstract.cast(SECTION)), body)).otherwise(body)
+
+
+def with_chunks(df: DataFrame, sections: Column, config: ChunkConfig = ChunkConfig(), *, tokenizer=None,
+                literal_at_sign: bool = False) -> DataFrame:
+    """Add ``chunks``: the chunks of all sections of a row, in reading order.
+
+    A section within the limit stays one chunk, untouched; blank ones have
+    none. Everything is computed inside the row, so there is no shuffle.
+    """
+    tokenizer = tokenizer or sec.WordTokens()
+    limit = config.max_tokens
+    is_long = lambda i: F.get("_totals", i) > limit
+    staged = df.withColumn("_sections", F.filter(sections, lambda s: ~is_blank(s["text"])))
+    staged = staged.withColumn("_totals", tokenizer.counts(F.transform("_sections", lambda s: s["text"])))
+    staged = staged.withColumn("_sentences", F.transform("_sections", lambda s, i: F.when(
+        is_long(i), sec.sentences(s["text"], literal_at_sign=literal_at_sign)).otherwise(
+        F.array().cast("array<string>"))))
+    staged = staged.withColumns({"_tokens": tokenizer.nested_counts(F.col("_sentences")),
+                                 "_cuts": tokenizer.nested_cuts(F.col("_sentences"), limit)})
+    chars = F.transform("_sentences", lambda group: F.transform(group, F.length))
+    staged = staged.withColumn("_spans", _spans(F.col("_tokens"), chars, F.lit(limit), F.lit(config.overlap_tokens)))
+
+    def cut(span: Column, i: Column) -> Column:
+        group, cuts = F.get("_sentences", i), F.get(F.get("_cuts", i), span["first"])
+        joined = F.array_join(F.slice(group, span["first"] + 1, span["last"] - span["first"] + 1), " ")
+        body = F.get(cuts, span["piece"])
+        ahead = F.length(F.array_join(F.slice(cuts, F.lit(1), span["piece"]), ""))
+        is_piece = span["piece"].isNotNull()
+        start = F.when(is_piece, span["start"] + ahead).otherwise(span["start"])
+        return F.struct(F.when(is_piece, body).otherwise(joined).alias("text"), start.alias("char_start"),
+                        F.when(is_piece, start + F.length(body)).otherwise(span["end"]).alias("char_end"))
+
+    def section_chunks(s: Column, i: Column) -> Column:
+        whole = F.array(F.struct(s["text"].alias("text"), F.lit(0).alias("char_start"),
+                                 F.length(s["text"]).alias("char_end")))
+        pieces = F.when(is_long(i), F.transform(F.get("_spans", i), lambda span: cut(span, i))).otherwise(whole)
+        return F.transform(pieces, lambda c, j: F.struct(
+            s.alias("section"), j.alias("chunk_index_in_section"), c["text"].alias("text"),
+            c["char_start"].alias("char_start"), c["char_end"].alias("char_end")))
+
+    chunked = staged.withColumn("chunks", F.flatten(F.transform("_sections", section_chunks)))
+    counted = chunked.withColumn("_counts", tokenizer.counts(F.transform("chunks", lambda c: c["text"])))
+    return counted.drop("_sections", "_totals", "_sentences", "_tokens", "_cuts", "_spans")
+
+
+def chunk_text(df: DataFrame, text: str, config: ChunkConfig = ChunkConfig(), *, tokenizer=None,
+               literal_at_sign: bool = False) -> DataFrame:
+    """Chunk one text column: a row per chunk with index, text, offsets and token count."""
+    none = F.lit(None)
+    section = F.struct(none.cast("string").alias("section_id"), none.cast("string").alias("title"),
+                       none.cast("int").alias("level"), none.cast("string").alias("path"), F.col(text).alias("text"),
+                       none.cast("int").alias("page_start"), none.cast("int").alias("page_end"))
+    chunked = with_chunks(df, F.array(section), config, tokenizer=tokenizer, literal_at_sign=literal_at_sign)
+    keep = [c for c in df.columns if c != text]
+    zipped = F.arrays_zip("chunks", F.col("_counts").alias("_counts"))
+    flat = chunked.select(*keep, F.posexplode(zipped).alias("chunk_index", "z"))
+    return flat.select(*keep, "chunk_index", F.col("z.chunks.text").alias("text"),
+                       F.col("z.chunks.char_start").alias("char_start"), F.col("z.chunks.char_end").alias("char_end"),
+                       F.col("z._counts").alias("token_count"))
+
+
+def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), *, tokenizer=None,
+                    literal_at_sign: bool = False, works: DataFrame | None = None) -> DataFrame:
+    """All chunks of all documents with section, content-flag and document columns.
+
+    Chunk numbers are positions in the document's own chunk array, counted
+    from 1. ``works`` (one row per ``work_id``) supplies bibliographic columns
+    in place of the parser's title, language and keywords.
+    """
+    chunked = with_chunks(docs, ordered_sections(docs), config, tokenizer=tokenizer, literal_at_sign=literal_at_sign)
+    keep = [c for c in docs.columns if c not in ("abstract", "sections")]
+    zipped = F.arrays_zip("chunks", F.col("_counts").alias("_counts"))
+    flat = chunked.select(*keep, F.posexplode(zipped).alias("_pos", "z"))
+    c = F.col("z.chunks")
+    rows = flat.select(
+        *keep, F.concat(F.col("work_id").cast("string"), F.lit("_chunk_"), (F.col("_pos") + 1).cast("string")).alias("chunk_id"),
+        c["chunk_index_in_section"].alias("chunk_index_in_section"), c["section"]["section_id"].alias("section_id"),
+        c["section"]["title"].alias("section_title"), c["section"]["path"].alias("section_path"),
+        c["section"]["level"].alias("section_level"), c["section"]["page_start"].alias("page_start"),
+        c["section"]["page_end"].alias("page_end"), c["text"].alias("text"), c["char_start"].alias("char_start"),
+        c["char_end"].alias("char_end"), F.col("z._counts").alias("token_count"))
+    rows = rows.withColumns({"section_type": sec.section_type("section_title"), "_flags": sec.content_flags("text")})
+    rows = rows.withColumns({
+        "is_abstract": F.col("section_type") == "ABSTRACT", "is_references": F.col("section_type") == "REFERENCES",
+        **{n: F.col(f"_flags.{n}") for n in ("has_equation", "has_table_mention", "has_figure_mention")}}).drop("_flags")
+    return attach_works(rows, works) if works is not None else rows
+
+
+WORK_COLUMNS = ("doi", "title", "publication_year", "authors", "author_orcids", "venue", "oa_status", "pdf_url",
+                "local_pdf_path")
+
+
+def attach_works(chunks: DataFrame, works: DataFrame) -> DataFrame:
+    """Document-level bibliographic columns on every chunk (left join)."""
+    from concordat.session import broadcast_if_small
+
+    taken = [c for c in WORK_COLUMNS if c in works.columns]
+    dropped = [c for c in (*taken, "language", "keywords") if c in chunks.columns]
+    own_title = F.col("title").alias("_own_title") if "title" in chunks.columns else F.lit(None).cast("string").alias("_own_title")
+    base = chunks.select(*[c for c in chunks.columns if c not in dropped], own_title)
+    joined = base.join(broadcast_if_small(works.select("work_id", *taken)), "work_id", "left")
+    if "title" in taken:
+        joined = joined.withColumn("title", F.coalesce("title", "_own_title", F.lit("")))
+    return joined.drop("_own_title")
+
+
+PAYLOAD_COLUMNS = (
+    "chunk_id", "chunk_index_in_section", "work_id", "doi", "title", "publication_year", "authors", "author_orcids",
+    "venue", "oa_status", "pdf_sha256", "pdf_url", "parser_tool", "parser_version", "language", "keywords",
+    "section_id", "section_title", "section_type", "section_path", "section_level", "text", "token_count",
+    "char_start", "char_end", "page_start", "page_end", "is_abstract", "is_references", "has_equation",
+    "has_table_mention", "has_figure_mention")
+
+
+def to_payload(chunks: DataFrame) -> DataFrame:
+    """The flat payload of a vector row, in fixed order; missing columns are NULL."""
+    return chunks.select(*[F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c)
+                           for c in PAYLOAD_COLUMNS], F.col("chunk_id").alias("chunk_id_str"))
