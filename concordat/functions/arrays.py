@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from concordat.functions.text import as_col, casefold, normalize_string
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from concordat.functions.text import as_col, casefold, let, normalize_string
 
 
 def empty_if_null(arr: Column, like: str = "array<string>") -> Column:
@@ -20,7 +13,7 @@ def empty_if_null(arr: Column, like: str = "array<string>") -> Column:
 
 
 def null_if_empty(arr: Column) -> Column:
-    return F.when(F.size(arr) > 0, arr)
+    return let(arr, lambda a: F.when(F.size(a) > 0, a))
 
 
 def set_counts(truth: Column, pred: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from concordat.functions.text import as_col, strip
+from concordat.functions.text import as_col, let, strip
 
 # Cell texts that mean "no value".
 NULL_PLACEHOLDERS = ("not given", "not_given", "na", "n/a", "nan", "none", "")
@@ -19,17 +19,17 @@ NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 def clean_cell(value: Column | str) -> Column:
     """Stripped text; placeholders become NULL, decimal commas become points."""
-    v = strip(as_col(value))
-    numeric_with_comma = v.contains(",") & v.rlike(r"^[\p{Nd},.\-]+$") & v.rlike(r"\p{Nd}")
-    return (F.when(F.lower(v).isin(*NULL_PLACEHOLDERS), F.lit(None))
-            .when(numeric_with_comma, F.translate(v, ",", "."))
-            .otherwise(v))
+    def clean(v: Column) -> Column:
+        numeric_with_comma = v.contains(",") & v.rlike(r"^[\p{Nd},.\-]+$") & v.rlike(r"\p{Nd}")
+        return (F.when(F.lower(v).isin(*NULL_PLACEHOLDERS), F.lit(None))
+                .when(numeric_with_comma, F.translate(v, ",", ".")).otherwise(v))
+
+    return let(strip(as_col(value)), clean)
 
 
 def number(value: Column | str) -> Column:
     """Text to double; text that is not a plain number is NULL."""
-    v = strip(as_col(value))
-    return F.when(v.rlike(NUMBER), v.try_cast("double"))
+    return let(strip(as_col(value)), lambda v: F.when(v.rlike(NUMBER), v.try_cast("double")))
 
 
 def spatial_range(value: Column | str) -> Column:
@@ -55,8 +55,7 @@ def flag(value: Column, data_type: str = "string") -> Column:
         return F.when(~F.isnan(value), value != 0)
     if data_type in ("int", "bigint", "smallint", "tinyint"):
         return value != 0
-    v = F.lower(strip(value))
-    return F.when(v.isin(*TRUE_TEXT), True).when(v.isin(*FALSE_TEXT), False)
+    return let(F.lower(strip(value)), lambda v: F.when(v.isin(*TRUE_TEXT), True).when(v.isin(*FALSE_TEXT), False))
 
 
 def is_true_label(value: Column, data_type: str = "string") -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.functions.arrays import empty_if_null
-from concordat.functions.text import NON_WS, WS, as_col, strip, words
+from concordat.functions.text import NON_WS, WS, as_col, let, strip, words
 
 CONTAINED = 95.0      # truth inside the prediction
 PART_CONTAINED = 90.0  # a part of the truth name inside the prediction
@@ -149,34 +149,28 @@ def split_paren_name(value: Column) -> Column:
 
 def name_parts(value: Column | str) -> Column:
     """Lowered ``scientific`` / ``vernacular`` / ``full`` parts of a taxon name."""
+    def build(c: Column) -> Column:
+        name, before, inside = c["name"], c["paren"]["before"], c["paren"]["inside"]
+        has_paren = before.isNotNull()
+        binomial = name.rlike(rf"^\p{{Lu}}{NON_WS}+{WS}+{NON_WS}")  # two words, the first of two letters or more
+        first = F.when(has_paren, F.when(looks_scientific(before), 1).when(looks_scientific(inside), 2))
+        sci = F.when(first == 1, before).when(first == 2, inside).when(~has_paren & binomial, name)
+        ver = F.when(first == 1, inside).when(first == 2, before).when(~has_paren & ~binomial, name)
+        full = F.when(~has_paren | first.isNull(), name)
+        return F.when(c["given"], F.struct(F.lower(sci).alias("scientific"), F.lower(ver).alias("vernacular"),
+                                           F.lower(full).alias("full")))
+
     raw = as_col(value)
-    s = strip(raw)
-    paren = split_paren_name(s)
-    before, inside = paren["before"], paren["inside"]
-    first = F.get(words(s), F.lit(0))
-    sci_like = (F.size(words(s)) >= 2) & first.rlike(r"^\p{Lu}") & (F.length(first) > 1)
-    has_paren = before.isNotNull()
-    sci = (F.when(has_paren & looks_scientific(before), before)
-           .when(has_paren & looks_scientific(inside), inside)
-           .when(~has_paren & sci_like, s))
-    ver = (F.when(has_paren & looks_scientific(before), inside)
-           .when(has_paren & looks_scientific(inside), before)
-           .when(~has_paren & ~sci_like, s))
-    full = F.when(~has_paren | (sci.isNull() & ver.isNull()), s)
-    given = raw != ""
-    return F.struct(F.when(given, F.lower(sci)).alias("scientific"),
-                    F.when(given, F.lower(ver)).alias("vernacular"),
-                    F.when(given, F.lower(full)).alias("full"))
+    return let(let(strip(raw), lambda s: F.struct(s.alias("name"), split_paren_name(s).alias("paren"), (
+        raw != "").alias("given"))), build)
 
 
 def _name_forms(item: Column, taxon_aware: bool) -> Column:
-    text = item.cast("string")
-    lowered = strip(F.lower(text))
+    lowered = strip(F.lower(item))
     if not taxon_aware:
         return F.array(lowered)
-    parts = name_parts(text)
-    return F.concat(F.array(lowered), F.array_compact(
-        F.array(parts["scientific"], parts["vernacular"], parts["full"])))
+    return let(name_parts(item), lambda p: F.array_compact(
+        F.array(lowered, p["scientific"], p["vernacular"], p["full"])))
 
 
 def list_forms(arr: Column, *, taxon_aware: bool) -> Column:

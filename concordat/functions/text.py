@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import sys
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -11,10 +12,34 @@ from pyspark.sql import functions as F
 
 # The characters a Unicode-aware strip/split treats as blank.
 WS_CHARS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
-WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WS_CHARS) + "]"
+
+
+def _char_class(chars: str) -> str:
+    """Regex class body for a set of characters, neighbours joined to ranges
+    (the matcher tests one range instead of every member)."""
+    codes = sorted(map(ord, chars))
+    ranges: list[list[int]] = []
+    for code in codes:
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" if lo != hi else f"\\x{{{lo:x}}}" for lo, hi in ranges)
+
+
+WS = f"[{_char_class(WS_CHARS)}]"
 NON_WS = "[^" + WS[1:]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``.
+
+    Expressions are trees: a value named twice is computed twice, and nested
+    uses multiply. Binding it keeps both the plan and the work small.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -35,28 +60,43 @@ def words(value: Column | str) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str]:
+def _fold_tables() -> tuple[str, str, str, str]:
     """Characters that lower-casing leaves alone but case folding still changes.
 
-    Derived from the Unicode tables Python ships, so nothing is typed in by hand.
+    Derived from the Unicode tables Python ships, so nothing is typed in by
+    hand: one-to-one folds as two strings, the longer ones as a map text.
     """
-    changed = [c for c in map(chr, range(0x80, sys.maxunicode + 1))
-               if c.lower() == c and c.casefold() != c and not 0xD800 <= ord(c) <= 0xDFFF]
-    return "[" + "".join(changed) + "]", "\x02".join(f"{c}\x03{c.casefold()}" for c in changed)
+    changed = {c: c.casefold() for c in map(chr, range(0x80, sys.maxunicode + 1))
+               if not 0xD800 <= ord(c) <= 0xDFFF and c.lower() == c and c.casefold() != c}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    longer = {c: f for c, f in changed.items() if len(f) > 1 and c != SHARP_S}
+    return ("".join(single), "".join(single.values()), f"[{_char_class(''.join(longer))}]",
+            "\x02".join(f"{c}\x03{f}" for c, f in longer.items()))
+
+
+SHARP_S = "\u00df"
+
+
+def is_ascii(value: Column) -> Column:
+    """Compares two stored lengths; no character is looked at."""
+    return F.octet_length(value) == F.length(value)
 
 
 def casefold(value: Column | str) -> Column:
     """Unicode case folding.
 
-    Lower-casing covers nearly every row; the per-character fold runs only
-    for strings that contain one of the special characters (such as sharp s).
+    Pure ASCII needs lower-casing only. Other texts get the one-to-one folds
+    by translation; the few characters that fold to several run per character.
     """
-    lowered = F.lower(as_col(value))
-    char_class, table = _fold_table()
-    fold = F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x03"))
-    folded = F.array_join(
-        F.transform(F.split(lowered, ""), lambda ch: F.coalesce(F.try_element_at(fold, ch), ch)), "")
-    return F.when(lowered.rlike(char_class), folded).otherwise(lowered)
+    def fold(lowered: Column) -> Column:
+        froms, tos, rare, table = _fold_tables()
+        folds = F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x03"))
+        simple = F.translate(F.replace(lowered, F.lit(SHARP_S), F.lit("ss")), froms, tos)
+        per_char = F.array_join(F.transform(F.split(simple, ""), lambda ch: F.coalesce(
+            F.try_element_at(folds, ch), ch)), "")
+        return F.when(is_ascii(lowered), lowered).when(lowered.rlike(rare), per_char).otherwise(simple)
+
+    return let(F.lower(as_col(value)), fold)
 
 
 def normalize_string(value: Column | str, *, strip_ends: bool = True, collapse: bool = True,
@@ -89,32 +129,35 @@ def _entity_table() -> str:
     return "\x02".join(f"{k}\x03{v}" for k, v in sorted(named.items()))
 
 
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,10});"
+
+
 def unescape_html(value: Column | str) -> Column:
     """Decode character references once, left to right.
 
     The text is split at the references, so a decoded ``&`` is never decoded
-    a second time.
+    a second time. Texts without ``&`` are returned as they are.
     """
     raw = as_col(value)
     table = F.str_to_map(F.lit(_entity_table()), F.lit("\x02"), F.lit("\x03"))
-    pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,10});"
-    refs = F.regexp_extract_all(raw, F.lit(f"({pattern})"), 1)
-    texts = F.split(raw, pattern)
 
     def decode(ref: Column) -> Column:
-        body = F.substring(ref, 2, 12)
-        name = F.rtrim(body, F.lit(";"))
+        name = F.rtrim(F.substring(ref, 2, 12), F.lit(";"))
         decimal = F.regexp_extract(name, "^#([0-9]+)$", 1)
         hexa = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)$", 1)
-        code = F.when(decimal != "", decimal.try_cast("int")).when(
-            hexa != "", F.conv(hexa, 16, 10).try_cast("int"))
-        numeric = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.when(valid, numeric).otherwise(F.coalesce(F.try_element_at(table, name), ref))
+        code = F.when(decimal != "", decimal.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int"))
 
-    decoded = F.array_join(F.transform(texts, lambda text, i: F.concat(
-        text, F.coalesce(decode(F.get(refs, i)), F.lit("")))), "")
-    return F.when(raw.contains("&"), decoded).otherwise(raw)
+        def numeric(c: Column) -> Column:
+            valid = c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
+            return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+
+        return F.when(name.startswith("#"), F.coalesce(let(code, numeric), ref)).otherwise(
+            F.coalesce(F.try_element_at(table, name), ref))
+
+    refs = F.transform(F.regexp_extract_all(raw, F.lit(f"({REFERENCE})"), 1), decode)
+    # Texts and decoded references alternate, starting and ending with a text.
+    woven = F.flatten(F.zip_with(F.split(raw, REFERENCE), refs, lambda t, r: F.array(t, F.coalesce(r, F.lit("")))))
+    return F.when(raw.contains("&"), F.array_join(woven, "")).otherwise(raw)
 
 
 def clean_markup(value: Column | str) -> Column:
@@ -124,34 +167,36 @@ def clean_markup(value: Column | str) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _ascii_fold_table() -> tuple[str, str, str]:
+def _ascii_fold_table() -> tuple[str, str, str, str]:
     """Compatibility decomposition reduced to ASCII, per character, by rule."""
     import unicodedata
 
-    single_from, single_to, multi = [], [], []
-    for c in map(chr, (*range(0x80, 0x3000), *range(0xFB00, 0xFFF0))):
-        flat = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
-        if len(flat) == 1:
-            single_from.append(c)
-            single_to.append(flat)
-        elif len(flat) > 1:
-            multi.append(f"{c}\x03{flat}")
-    return "".join(single_from), "".join(single_to), "\x02".join(multi)
+    flat = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+            for c in map(chr, (*range(0x80, 0x3000), *range(0xFB00, 0xFFF0)))}
+    single = {c: f for c, f in flat.items() if len(f) == 1}
+    longer = {c: f for c, f in flat.items() if len(f) > 1}
+    return ("".join(single), "".join(single.values()), f"[{_char_class(''.join(longer))}]",
+            "\x02".join(f"{c}\x03{f}" for c, f in longer.items()))
 
 
-def ascii_key(value: Column | str) -> Column:
+def ascii_key(value: Column | str, *, cleaned: bool = False) -> Column:
     """Accent-free lower-case words joined by single spaces (a matching key).
 
     Characters with no ASCII decomposition vanish, as in NFKD plus
     ASCII-ignore. Covers code points below U+3000 and the presentation forms.
+    ``cleaned`` says that markup was removed already.
     """
-    cleaned = clean_markup(value)
-    froms, tos, multi = _ascii_fold_table()
-    flat = F.translate(cleaned, froms, tos)
-    table = F.str_to_map(F.lit(multi), F.lit("\x02"), F.lit("\x03"))
-    expanded = F.array_join(F.transform(F.split(flat, ""), lambda ch: F.coalesce(
-        F.try_element_at(table, ch), ch)), "")
-    flat = F.when(flat.rlike(r"[^\x00-\x7F]"), F.regexp_replace(expanded, r"[^\x00-\x7F]", "")).otherwise(flat)
+    froms, tos, rare, table = _ascii_fold_table()
+
+    def flatten_accents(text: Column) -> Column:
+        folds = F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x03"))
+        per_char = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(
+            F.try_element_at(folds, ch), ch)), "")
+        expanded = F.when(text.rlike(rare), per_char).otherwise(text)
+        only = F.regexp_replace(F.translate(expanded, froms, tos), r"[^\x00-\x7F]+", "")
+        return F.when(is_ascii(text), text).otherwise(only)
+
+    flat = let(as_col(value) if cleaned else clean_markup(value), flatten_accents)
     return F.btrim(F.regexp_replace(F.lower(flat), "[^a-z0-9]+", " "), F.lit(" "))
 
 

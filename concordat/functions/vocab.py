@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from concordat.functions.arrays import null_if_empty
-from concordat.functions.text import as_col, strip, words
+from concordat.functions.text import as_col, let, strip, words
 
 # ---- Fixed values: vocabularies and synonym tables -------------------------
 
@@ -118,14 +118,13 @@ def data_type_value(value: Column | str) -> Column:
     v = strip(F.substring_index(strip(v), "(", 1))
     v = F.replace(v, F.lit("analyses"), F.lit("analysis"))
     v = strip(F.replace(v, F.lit("records"), F.lit("")))
-    snake = F.btrim(F.translate(v, " -", "__"), F.lit("_"))
-    return F.coalesce(lookup(DATA_TYPE_SYNONYMS, v), lookup(DATA_TYPE_FALLBACK, snake), snake)
+    return let(v, lambda x: F.coalesce(lookup(DATA_TYPE_SYNONYMS, x), let(
+        F.btrim(F.translate(x, " -", "__"), F.lit("_")), lambda y: F.coalesce(lookup(DATA_TYPE_FALLBACK, y), y))))
 
 
 def geo_value(value: Column | str) -> Column:
-    v = strip(F.lower(as_col(value)))
-    snake = F.btrim(F.translate(v, "- ", "__"), F.lit("_"))
-    return F.coalesce(lookup(GEO_SYNONYMS, v), lookup(GEO_FALLBACK, snake), snake)
+    return let(strip(F.lower(as_col(value))), lambda x: F.coalesce(lookup(GEO_SYNONYMS, x), let(
+        F.btrim(F.translate(x, "- ", "__"), F.lit("_")), lambda y: F.coalesce(lookup(GEO_FALLBACK, y), y))))
 
 
 def reason_value(value: Column | str) -> Column:
@@ -160,10 +159,9 @@ def geo_list(value: Column, data_type: str = "string") -> Column:
     phrase = r"(?i)((?:" + "|".join(GEO_PHRASES) + r")(?= |$)|[^ ]+)"
 
     def expand(item: Column) -> Column:
-        whole = geo_value(item)
         pieces = F.regexp_extract_all(F.array_join(words(item), " "), F.lit(phrase), 1)
-        split_up = ~whole.isin(*GEO_TYPES) & item.contains(" ")
-        return F.when(split_up, F.transform(pieces, geo_value)).otherwise(F.array(whole))
+        return let(geo_value(item), lambda whole: F.when(
+            ~whole.isin(*GEO_TYPES) & item.contains(" "), F.transform(pieces, geo_value)).otherwise(F.array(whole)))
 
     labels = F.flatten(F.transform(_parts(as_items(value, data_type), ","), expand))
     return null_if_empty(F.array_distinct(F.filter(labels, lambda x: x != "")))
@@ -171,16 +169,17 @@ def geo_list(value: Column, data_type: str = "string") -> Column:
 
 def suggest_value(value: Column | str, valid: tuple[str, ...]) -> Column:
     """Closest vocabulary entry for a rejected value: equal, then containing, then a listing."""
-    v = as_col(value)
-    key = F.translate(strip(F.lower(v)), "- ", "__")
     choices = F.array(*[F.lit(x) for x in valid])
-    equal = F.filter(choices, lambda x: key == F.translate(F.lower(x), "-", "_"))
-    near = F.filter(choices, lambda x: F.contains(F.lower(x), key) | F.contains(key, F.lower(x)))
-    listing = f"Valid values: {', '.join(valid[:5])}..."
-    return (F.when(v.isNull(), F.lit(None))
-            .when(F.size(equal) > 0, F.concat(F.lit("Use '"), F.get(equal, F.lit(0)), F.lit("'")))
-            .when(F.size(near) > 0, F.concat(F.lit("Consider '"), F.get(near, F.lit(0)), F.lit("'")))
-            .otherwise(listing))
+
+    def suggest(key: Column) -> Column:
+        equal = F.filter(choices, lambda x: key == F.translate(F.lower(x), "-", "_"))
+        near = F.filter(choices, lambda x: F.contains(F.lower(x), key) | F.contains(key, F.lower(x)))
+        return F.when(key.isNotNull(), F.coalesce(
+            F.concat(F.lit("Use '"), F.get(equal, F.lit(0)), F.lit("'")),
+            F.concat(F.lit("Consider '"), F.get(near, F.lit(0)), F.lit("'")),
+            F.lit(f"Valid values: {', '.join(valid[:5])}...")))
+
+    return let(F.translate(strip(F.lower(as_col(value))), "- ", "__"), suggest)
 
 
 def exploratory_data_types(value: Column | str) -> Column:

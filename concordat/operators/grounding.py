@@ -7,9 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.arrays import let
 from concordat.functions.sections import plain_sentences
-from concordat.functions.text import ascii_key, clean_markup, words
+from concordat.functions.text import ascii_key, clean_markup, let, words
 
 # Field -> claimed value -> cue phrases that support it.
 CUES = {

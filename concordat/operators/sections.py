@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import sections as sec
-from concordat.functions.arrays import let
-from concordat.functions.text import is_blank
+from concordat.functions.text import is_blank, let
 
 # Title keywords that make a section relevant.
 KEYWORDS = ("data", "dataset", "survey", "site", "area", "species", "sampling", "collection", "study", "material",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from concordat.plans import evaluation
+from concordat.plans import evaluation, normalization, taxon
 
-MODULES = (evaluation,)
+MODULES = (evaluation, normalization, taxon)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

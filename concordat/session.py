@@ -55,7 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for a plan (no job is run)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES_LIMIT) -> DataFrame:
