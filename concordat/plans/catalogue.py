@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from concordat.plans import evaluation, normalization, taxon
+from concordat.plans import evaluation, normalization, records, scores, taxon, texts
 
-MODULES = (evaluation, normalization, taxon)
+MODULES = (evaluation, normalization, taxon, records, texts, scores)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
