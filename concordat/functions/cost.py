@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from concordat.functions.rounding import round_exact
 from concordat.functions.text import as_col
 
 # US dollars per million tokens.
@@ -34,7 +35,7 @@ def price(model: Column | str, kind: str) -> Column:
 
 
 def _dollars(tokens: Column, per_million: Column) -> Column:
-    return F.bround(tokens * per_million / MILLION, 4)
+    return round_exact(tokens * per_million / MILLION, 4)
 
 
 def usage_cost(model: Column | str, input_tokens: Column, cached_tokens: Column, reasoning_tokens: Column,
@@ -53,7 +54,7 @@ def usage_cost(model: Column | str, input_tokens: Column, cached_tokens: Column,
         "output_cost": _dollars(output_tokens, price(model, "output")),
     }
     paid = {name: F.when(hit, zero).otherwise(value) for name, value in paid.items()}
-    total = F.bround(sum(paid.values(), zero), 4)
+    total = round_exact(sum(paid.values(), zero), 4)
     counts = {"input_tokens": input_tokens, "cached_tokens": cached_tokens,
               "reasoning_tokens": reasoning_tokens, "output_tokens": output_tokens}
     return F.struct(*[c.alias(n) for n, c in {**counts, **paid}.items()],
@@ -62,12 +63,12 @@ def usage_cost(model: Column | str, input_tokens: Column, cached_tokens: Column,
 
 def what_if_cost(model: Column | str, input_tokens: Column, output_tokens: Column) -> Column:
     """Cost had nothing been cached; NULL when tokens or price are unknown."""
-    return F.bround(input_tokens * price(model, "input") / MILLION
+    return round_exact(input_tokens * price(model, "input") / MILLION
                     + output_tokens * price(model, "output") / MILLION, 4)
 
 
 def savings(what_if: Column, used: Column) -> Column:
-    return F.bround(what_if - used, 4)
+    return round_exact(what_if - used, 4)
 
 
 def cache_status(memo_hit: Column, cached_tokens: Column) -> Column:

@@ -64,7 +64,7 @@ def cue_phrases(field: str, value: Column) -> Column:
 
 def ground_cue(field: str, value: Column, sentences: Column) -> Column:
     """Paraphrase when a sentence holds a cue phrase of the value; first sentence wins."""
-    keys = F.transform(cue_phrases(field, value), ascii_key)
+    keys = F.transform(cue_phrases(field, value), lambda c: ascii_key(c))
 
     def decide(c: Column) -> Column:
         found = F.filter(sentences, lambda s: F.exists(c["keys"], lambda k: F.contains(s["key"], k)))
@@ -108,20 +108,20 @@ def comparison_table(records: DataFrame, key: str, text: str, fields: dict[str,
     for name, (gt, pred) in fields.items():
         keyed_cols |= {f"_g_{name}": keyed(F.col(gt)), f"_p_{name}": keyed(F.col(pred))}
     base = base.withColumns(keyed_cols)
-    per_field = []
-    for name in fields:
+    def claims(name: str) -> Column:
         g, p = F.col(f"_g_{name}"), F.col(f"_p_{name}")
+        has = lambda entries, k: F.exists(entries, lambda e: e["key"] == k)
         keys = F.array_sort(F.array_union(F.transform(g, lambda e: e["key"]), F.transform(p, lambda e: e["key"])))
-        claim = F.transform(keys, lambda k, g=g, p=p: F.struct(
-            F.when(F.exists(g, lambda e: e["key"] == k), last(g, k)).alias("gt_value"),
-            F.when(F.exists(p, lambda e: e["key"] == k), last(p, k)).alias("pred_value")))
+        claim = F.transform(keys, lambda k: F.struct(F.when(has(g, k), last(g, k)).alias("gt_value"),
+                                                     F.when(has(p, k), last(p, k)).alias("pred_value")))
         none = F.struct(F.lit(None).cast("string").alias("gt_value"), F.lit(None).cast("string").alias("pred_value"))
-        rows = F.when(F.size(claim) > 0, claim).otherwise(F.array(none))
-        per_field.append(F.transform(rows, lambda r, name=name: F.struct(
+        rows = let(claim, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(none)))
+        return F.transform(rows, lambda r: F.struct(
             F.lit(name).alias("field"), r["gt_value"].alias("gt_value"), r["pred_value"].alias("pred_value"),
             ground(name, r["gt_value"], F.col("_sentences")).alias("gt"),
-            ground(name, r["pred_value"], F.col("_sentences")).alias("pred"))))
-    out = base.select(key, F.explode(F.flatten(F.array(*per_field))).alias("r"))
+            ground(name, r["pred_value"], F.col("_sentences")).alias("pred")))
+
+    out = base.select(key, F.explode(F.flatten(F.array(*[claims(name) for name in fields]))).alias("r"))
     g, p = F.col("r.gt_value"), F.col("r.pred_value")
     claimed = g.isNotNull() | p.isNotNull()
     match = F.when(claimed, g.isNotNull() & p.isNotNull())

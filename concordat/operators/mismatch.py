@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.coerce import atomic_list
+from concordat.functions.rounding import round_numpy
 from concordat.functions.similarity import indel_ratio
 from concordat.functions.text import as_col, strip
 from concordat.operators.evaluate import Aligned
@@ -89,7 +90,7 @@ def recovery_buckets(aligned: Aligned) -> DataFrame:
 def recovery_summary(buckets: DataFrame) -> DataFrame:
     counts = buckets.groupBy("analysis_bucket").agg(F.count(F.lit(1)).alias("records"))
     total = counts.agg(F.sum("records")).scalar()
-    return counts.withColumn("share_of_species_mismatches", F.bround(F.col("records") / total, 3))
+    return counts.withColumn("share_of_species_mismatches", round_numpy(F.col("records") / total, 3))
 
 
 # ---- Older label comparison ------------------------------------------------

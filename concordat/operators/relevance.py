@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.coerce import is_true_label
+from concordat.functions.rounding import round_numpy
 from concordat.functions.text import as_col, strip
 
 # Labels from best to worst, rank of each, modulator fields.
@@ -185,7 +186,7 @@ def column_audit(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
                      F.col(f"c{i}").alias("compared"), F.col(f"m{i}").alias("matches")) for i, (gt, calc) in enumerate(pairs)]
     out = df.agg(*sums).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return out.withColumns({"mismatches": F.col("compared") - F.col("matches"),
-                            "accuracy": F.bround(F.try_divide("matches", "compared"), 3)})
+                            "accuracy": round_numpy(F.try_divide("matches", "compared"), 3)})
 
 
 def audit_mismatches(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import coerce, cost
+from concordat.functions.rounding import round_exact, round_numpy
 from concordat.functions.text import is_blank, is_populated
 from concordat.operators.evaluate import MACRO, MICRO
 
@@ -112,15 +113,15 @@ def run_kpis(records: DataFrame, model: Column | str, by: list[str] | None = Non
         F.sum(only("input_tokens_used")).alias("input_tokens_used"),
         F.sum(only("input_tokens_value")).alias("input_tokens_value"),
         F.sum(only("cached_tokens")).alias("cached_tokens"),
-        F.bround(F.sum(only("cost_used_usd")), 4).alias("cost_used_usd"),
-        F.bround(F.sum(F.when(used, F.col("cost_value_usd"))), 4).alias("cost_value_usd"),
+        round_exact(F.sum(only("cost_used_usd")), 4).alias("cost_used_usd"),
+        round_exact(F.sum(F.when(used, F.col("cost_value_usd"))), 4).alias("cost_value_usd"),
         F.avg(F.when(used, F.col("cost_value_usd"))).alias("avg_cost_value_usd"),
         F.avg(F.when(success, F.coalesce(F.col("_filled"), F.lit(0)))).alias("avg_populated_fields"))
-    return out.withColumn("cache_savings_usd", F.bround(F.col("cost_value_usd") - F.col("cost_used_usd"), 4))
+    return out.withColumn("cache_savings_usd", round_exact(F.col("cost_value_usd") - F.col("cost_used_usd"), 4))
 
 
 def total_cost(records: DataFrame) -> DataFrame:
-    return records.agg(F.bround(F.sum(F.coalesce("usage_cost.total_cost", F.lit(0.0))), 4).alias("total_cost_usd"))
+    return records.agg(round_exact(F.sum(F.coalesce("usage_cost.total_cost", F.lit(0.0))), 4).alias("total_cost_usd"))
 
 
 def cost_by(records: DataFrame, by: list[str]) -> DataFrame:
@@ -140,7 +141,7 @@ def fill_rate(records: DataFrame, column: str = "output") -> DataFrame:
             for i, f in enumerate(fields)]
     totals = records.filter(F.col("status") == "success").agg(F.count(F.lit(1)).alias("success_records"), *sums)
     rows = [F.struct(F.lit(f.name).alias("field"), F.col(f"f{i}").alias("records_with_value"), F.col("success_records"),
-                     F.bround(F.try_divide(F.col(f"f{i}"), "success_records"), 3).alias("fill_rate"))
+                     round_exact(F.try_divide(F.col(f"f{i}"), "success_records"), 3).alias("fill_rate"))
             for i, f in enumerate(fields)]
     flat = totals.filter("success_records > 0").select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return flat.orderBy(F.desc("fill_rate"), "field")
@@ -185,7 +186,7 @@ def compare_runs(metrics_a: DataFrame, metrics_b: DataFrame) -> DataFrame:
     a = metrics_a.select("field", F.col("n").alias("n_a"), *[F.col(m).alias(f"{m}_a") for m in RATIOS])
     b = metrics_b.select("field", *[F.col(m).alias(f"{m}_b") for m in RATIOS])
     joined = a.join(b, "field").withColumns(
-        {f"delta_{m}": F.bround(F.col(f"{m}_b") - F.col(f"{m}_a"), 3) for m in RATIOS})
+        {f"delta_{m}": round_numpy(F.col(f"{m}_b") - F.col(f"{m}_a"), 3) for m in RATIOS})
     return joined.orderBy(F.asc_nulls_last("delta_f1"), "field")
 
 
@@ -205,7 +206,7 @@ def overall_deltas(report: DataFrame, baseline: DataFrame) -> DataFrame:
     joined = now.join(then, "_one").drop("_one")
     names = [f"micro_{m}" for m in RATIOS] + ["macro_f1"]
     gap = F.col("micro_f1") - F.col("macro_f1")
-    return joined.withColumns({**{f"delta_{n}": F.bround(F.col(n) - F.col(f"{n}_base"), 3) for n in names},
+    return joined.withColumns({**{f"delta_{n}": round_exact(F.col(n) - F.col(f"{n}_base"), 3) for n in names},
                                "balance": F.when(F.abs(gap) < 0.05, "uniform").when(gap > 0, "common_fields_better")
                                .when(gap.isNotNull(), "rare_fields_better")})
 

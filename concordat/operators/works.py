@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordat.functions.text import let
+
 # The part of a work record that is read.
 WORK_SCHEMA = (
     "id string, doi string, title string, publication_date string, publication_year int, type string, "
@@ -35,23 +37,24 @@ def abstract_text(inverted: Column) -> Column:
 
 
 def invert_text(text: Column | str) -> Column:
-    """The inverse: text to a map of word -> 0-based positions (per row)."""
+    """The inverse: text to a map of word -> 0-based positions (per row).
+
+    Sorted (word, position) pairs are cut where the word changes.
+    """
     tokens = F.split(F.col(text) if isinstance(text, str) else text, " ")
-    placed = F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("p")))
-    ordered = F.array_sort(placed)
-    start = F.struct(F.array().cast("array<struct<w:string,ps:array<int>>>").alias("done"),
-                     F.lit(None).cast("string").alias("w"), F.array().cast("array<int>").alias("ps"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["w"].eqNullSafe(x["w"])
-        flushed = F.when(s["w"].isNull(), s["done"]).otherwise(
-            F.array_append(s["done"], F.struct(s["w"].alias("w"), s["ps"].alias("ps"))))
-        return F.struct(F.when(same, s["done"]).otherwise(flushed).alias("done"), x["w"].alias("w"),
-                        F.when(same, F.array_append(s["ps"], x["p"])).otherwise(F.array(x["p"])).alias("ps"))
-
-    groups = F.aggregate(ordered, start, step, lambda s: F.array_append(
-        s["done"], F.struct(s["w"].alias("w"), s["ps"].alias("ps"))))
-    return F.map_from_entries(groups)
+    ordered = F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+
+    def cut(pairs: Column) -> Column:
+        begins = F.filter(F.transform(pairs, lambda x, i: F.when(
+            (i == 0) | ~x["w"].eqNullSafe(F.get(pairs, i - 1)["w"]), i)), lambda i: i.isNotNull())
+
+        def group(starts: Column) -> Column:
+            return F.map_from_entries(F.transform(starts, lambda a, j: F.struct(F.get(pairs, a)["w"].alias("w"), F.transform(
+                F.slice(pairs, a + 1, F.coalesce(F.get(starts, j + 1), F.size(pairs)) - a), lambda x: x["p"]).alias("ps"))))
+
+        return let(begins, group)
+
+    return let(ordered, cut)
 
 
 def authors(authorships: Column) -> Column:

@@ -332,10 +332,10 @@ m AS (SELECT s.id AS gt_record_id, nullif(trim(s.source), '') AS source, s.title
   FROM sheet s LEFT JOIN raw r USING (id) LEFT JOIN pdfs p ON p.record_id = s.id)"""
 _LATEST = f"""WITH cur AS ({plain(CURRENT)}), upd AS (SELECT DISTINCT ON (work_id) * FROM ({plain(UPDATES)}) ORDER BY work_id, ord DESC)"""
 _USAGE = f"""WITH u AS ({plain(USAGE)}), p AS (SELECT *, least(cached_tokens, input_tokens) AS ct FROM u),
-c AS (SELECT *, status = 'success' AS ok, round_even((input_tokens - ct) * 0.25::DOUBLE / 1000000, 4) AS ic, round_even(ct * 0.025::DOUBLE / 1000000, 4) AS cc,
-  round_even(reasoning_tokens * 2.0::DOUBLE / 1000000, 4) AS rc, round_even(output_tokens * 2.0::DOUBLE / 1000000, 4) AS oc,
-  round_even(input_tokens * 0.25::DOUBLE / 1000000 + output_tokens * 2.0::DOUBLE / 1000000, 4) AS wi FROM p),
-d AS (SELECT *, CASE WHEN memo_hit THEN 0.0::DOUBLE ELSE round_even(ic + cc + rc + oc, 4) END AS tot,
+c AS (SELECT *, status = 'success' AS ok, format('{{:.4f}}', CAST((input_tokens - ct) * 0.25::DOUBLE / 1000000 AS DOUBLE))::DOUBLE AS ic, format('{{:.4f}}', CAST(ct * 0.025::DOUBLE / 1000000 AS DOUBLE))::DOUBLE AS cc,
+  format('{{:.4f}}', CAST(reasoning_tokens * 2.0::DOUBLE / 1000000 AS DOUBLE))::DOUBLE AS rc, format('{{:.4f}}', CAST(output_tokens * 2.0::DOUBLE / 1000000 AS DOUBLE))::DOUBLE AS oc,
+  format('{{:.4f}}', CAST(input_tokens * 0.25::DOUBLE / 1000000 + output_tokens * 2.0::DOUBLE / 1000000 AS DOUBLE))::DOUBLE AS wi FROM p),
+d AS (SELECT *, CASE WHEN memo_hit THEN 0.0::DOUBLE ELSE format('{{:.4f}}', CAST(ic + cc + rc + oc AS DOUBLE))::DOUBLE END AS tot,
   CASE WHEN memo_hit THEN 'memo_hit' WHEN ct > 0 THEN 'hit' ELSE 'miss' END AS cs FROM c)"""
 
 
@@ -426,7 +426,7 @@ ORACLE = {
       coalesce(label % 4 <> 1 AND (label % 3 <> 0 OR upper(text) = text), false) AS hit, CASE WHEN label % 4 <> 1 AND (label % 3 <> 0 OR upper(text) = text) THEN CAST(len(embedding) AS INT) END AS dims
       FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "cost_accounting": _USAGE + """ SELECT source, CASE WHEN ok THEN cs ELSE 'unknown' END AS cache_status, count(*) AS n, round(sum(CASE WHEN ok THEN tot END), 3) AS used, round(sum(CASE WHEN ok THEN wi END), 3) AS value,
-      round(sum(CASE WHEN ok THEN round_even(wi - tot, 4) END), 3) AS savings, CAST(sum(CASE WHEN ok THEN greatest(input_tokens - ct, 0) END) AS BIGINT) AS tokens_used FROM d GROUP BY ALL""",
+      round(sum(CASE WHEN ok THEN format('{:.4f}', CAST(wi - tot AS DOUBLE))::DOUBLE END), 3) AS savings, CAST(sum(CASE WHEN ok THEN greatest(input_tokens - ct, 0) END) AS BIGINT) AS tokens_used FROM d GROUP BY ALL""",
     "run_kpis": _USAGE + """ SELECT run, count(*) AS total_records, count(*) FILTER (ok) AS success_count, count(*) FILTER (status = 'skipped') AS skipped_count, count(*) FILTER (status = 'error') AS error_count,
       count(*) FILTER (ok) AS output_count, count(*) FILTER (ok AND cs <> 'miss') AS cache_hits, count(*) FILTER (ok AND cs = 'miss') AS cache_misses,
       CAST(sum(greatest(input_tokens - ct, 0)) FILTER (ok) AS BIGINT) AS input_tokens_used, CAST(sum(input_tokens) FILTER (ok) AS BIGINT) AS input_tokens_value, CAST(sum(ct) FILTER (ok) AS BIGINT) AS cached_tokens,

@@ -12,7 +12,7 @@ SCORES = """SELECT event_id, user_id, event_type, value / 200.0 - floor(value /
 
 
 def _scores(spark, sf):
-    return derived(spark, sf, SCORES).withColumn("score", F.round("score", 4))
+    return derived(spark, sf, SCORES)
 
 
 def first_n_runs(spark, sf):
@@ -22,7 +22,7 @@ def first_n_runs(spark, sf):
 
 def score_stability(spark, sf):
     out = st.score_stability(_scores(spark, sf), ["user_id", "event_type"], "score")
-    return out.select("user_id", "event_type", "n", *[F.round(c, 6).alias(c) for c in ("average", "std", "ks_d", "ci_lower_95", "ci_upper_95")])
+    return out.select("user_id", "event_type", "n", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("average", "std", "ks_d", "ci_lower_95", "ci_upper_95")])
 
 
 def score_stability_p(spark, sf):
@@ -53,7 +53,7 @@ def year_counts(spark, sf):
 
 def score_describe(spark, sf):
     d = st.describe(_scores(spark, sf), "score", ["event_type"])
-    return d.select("event_type", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    return d.select("event_type", "count", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 def labels_over_threshold(spark, sf):
@@ -64,7 +64,7 @@ def labels_over_threshold(spark, sf):
     return top.join(best.select("user_id"), "user_id").select("user_id", F.array_join(st.labels_over(F.col("scores")), ",").alias("labels"))
 
 
-_S = f"WITH s AS (SELECT * REPLACE (round(score, 4) AS score) FROM ({plain(SCORES)}))"
+_S = f"WITH s AS ({plain(SCORES)})"
 
 QUERIES = {f.__name__: f for f in (first_n_runs, score_stability, score_stability_p, confidence_curve, score_histogram, category_shares, year_counts,
                                    score_describe, labels_over_threshold)}
@@ -74,8 +74,8 @@ ORACLE = {
       SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM r WHERE rn <= 10 GROUP BY 1""",
     "score_stability": _S + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY score) AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM s),
       g AS (SELECT user_id, event_type, count(*) AS n, avg(score) AS average, stddev_samp(score) AS std, max(greatest(i / n - score, score - (i - 1) / n)) AS ks_d FROM r GROUP BY 1, 2)
-      SELECT user_id, event_type, n, round(average, 6) AS average, round(std, 6) AS std, round(ks_d, 6) AS ks_d, round(average - 2.262 * std / sqrt(n), 6) AS ci_lower_95,
-      round(average + 2.262 * std / sqrt(n), 6) AS ci_upper_95 FROM g""",
+      SELECT user_id, event_type, n, round(average + 1e-9, 6) AS average, round(std + 1e-9, 6) AS std, round(ks_d + 1e-9, 6) AS ks_d, round(average - 2.262 * std / sqrt(n) + 1e-9, 6) AS ci_lower_95,
+      round(average + 2.262 * std / sqrt(n) + 1e-9, 6) AS ci_upper_95 FROM g""",
     "confidence_curve": _S + """, a AS (SELECT event_type, avg(score) AS m FROM s GROUP BY 1), f AS (SELECT event_id, score, hallucinated, abs(score - m) <= 0.15 AS hit FROM s JOIN a USING (event_type)),
       c AS (SELECT event_id, count(*) OVER w AS rows_so_far, count(*) FILTER (hit) OVER w AS hits_so_far, count(*) FILTER (NOT hallucinated) OVER w AS mr,
         count(*) FILTER (NOT hallucinated AND hit) OVER w AS mh FROM f WINDOW w AS (ORDER BY score DESC, event_id ROWS UNBOUNDED PRECEDING))
@@ -86,8 +86,8 @@ ORACLE = {
     "category_shares": _S + """, c AS (SELECT CASE WHEN category = 'Trait_Data' THEN 'trait data' WHEN category = 'abundance' THEN 'abundances' WHEN category = 'Population time series' THEN 'population time-series'
       WHEN category = 'Plot' THEN 'plots' ELSE trim(rtrim(category, 's')) END AS category FROM s) SELECT category, count(*) AS n, round(count(*) / (SELECT count(*) FROM c), 6) AS share FROM c GROUP BY category""",
     "year_counts": "SELECT coalesce(CASE WHEN o_orderstatus <> 'P' THEN CAST(year(o_orderdate) AS VARCHAR) END, 'None') AS value, count(*) AS n FROM orders GROUP BY 1",
-    "score_describe": _S + """ SELECT event_type, count(score) AS "count", round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(min(score), 6) AS min, round(quantile_cont(score, 0.25), 6) AS q25,
-      round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.75), 6) AS q75, round(max(score), 6) AS max FROM s GROUP BY 1""",
+    "score_describe": _S + """ SELECT event_type, count(score) AS "count", round(avg(score) + 1e-9, 6) AS mean, round(stddev_samp(score) + 1e-9, 6) AS std, round(min(score) + 1e-9, 6) AS min, round(quantile_cont(score, 0.25) + 1e-9, 6) AS q25,
+      round(quantile_cont(score, 0.5) + 1e-9, 6) AS q50, round(quantile_cont(score, 0.75) + 1e-9, 6) AS q75, round(max(score) + 1e-9, 6) AS max FROM s GROUP BY 1""",
     "labels_over_threshold": _S + """, g AS (SELECT user_id, event_type, max(score) AS m FROM s GROUP BY 1, 2)
       SELECT user_id, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (m >= 0.8), '') AS labels FROM g GROUP BY 1""",
 }

@@ -222,8 +222,7 @@ WORK_JSON = """SELECT o_orderkey, '{{"id": "W' || o_orderkey || '", "doi": "10.1
 
 def work_records(spark, sf):
     """Nested work JSON flattened."""
-    text = WORK_JSON.format(orders="{orders}")
-    w = wk.parse_works(spark.sql(text, orders=table(spark, sf, "orders")))
+    w = wk.parse_works(derived(spark, sf, WORK_JSON))
     a = F.get("authors", F.lit(0))
     return w.select("o_orderkey", "openalex_id", "doi", "title", F.date_format("publication_date", "yyyy-MM-dd").alias("published"), a["name"].alias("first_author"),
                     a["orcid"].alias("orcid"), "is_oa", "pdf_url", "is_preprint", F.array_join("topics", "|").alias("topics"), F.array_join("institutions", "|").alias("rors"))
@@ -286,7 +285,7 @@ def _sentences_sql(mark: str) -> str:
 
 
 _CLEAN = "trim(regexp_replace(regexp_replace({t}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
-_UNESC = "replace(replace(replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&')"
+_UNESC = "replace(replace(replace(replace(replace(replace(replace({t}, '&lt;', '<'), '&quot;', chr(34)), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&')"
 _TITLE_SQL = "[" + ", ".join(f"'{t}'" for t in TITLES) + "]"
 _SECTIONS = f"""WITH d AS (SELECT 'W' || doc_id AS work_id, lang, source, string_split(text, chr(10)) AS p FROM documents),
 s AS (SELECT work_id, r.i AS n, {_TITLE_SQL}[((r.i - 1) % {len(TITLES)}) + 1] AS title, CASE WHEN (r.i - 1) % 3 = 0 THEN 1 ELSE 2 END AS level, p[r.i + 1] AS t,
