@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordat.functions.text import NON_WS, WS, as_col, strip
+from concordat.functions.text import NON_WS, WS, as_col, let, strip
 
 # ---- Fixed values: section type -> heading patterns, tried in this order ----
 
@@ -185,7 +185,8 @@ class WordTokens:
     """
 
     def _count(self, text: Column) -> Column:
-        return F.regexp_count(text, F.lit(NON_WS + "+"))
+        # Splitting is several times faster than counting matches.
+        return let(strip(text), lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, WS + "+"))))
 
     def counts(self, texts: Column) -> Column:
         return F.transform(texts, self._count)
