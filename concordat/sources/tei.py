@@ -106,8 +106,7 @@ def parse_documents(df: DataFrame, xml: str, work_id: str = "work_id", *, parser
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """TEI files of a folder; the work id is the file name."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.xml").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.tei)?\.xml$", 1)
     return parse_documents(files.select(name.alias("work_id"), F.col("value").alias("xml")), "xml")
 
