@@ -69,8 +69,11 @@ def _ratio_udf(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else ratio(x, y) for x, y in pairs], pa.float64())
 
 
+_ratio_barrier = _ratio_udf.asNondeterministic()  # see _rename_barrier
+
+
 def indel_ratio(a: Column | str, b: Column | str) -> Column:
-    return _ratio_udf(as_col(a), as_col(b))
+    return _ratio_barrier(as_col(a), as_col(b))
 
 
 def _pair_score(truth: list[str], pred: list[str], threshold: float) -> tuple[bool, float]:
@@ -132,6 +135,11 @@ def _rename_to_truth(truths: pa.Array, preds: pa.Array, threshold: pa.Array) ->
     return pa.array([_canonical_predictions(t, p, th) for t, p, th in rows], pa.list_(pa.string()))
 
 
+# Declared non-deterministic only as a barrier: a filter on a match outcome must
+# stay above the UDF, not be pushed into the join that feeds it.
+_rename_barrier = _rename_to_truth.asNondeterministic()
+
+
 def looks_scientific(value: Column | str) -> Column:
     """Capitalised first word followed by a lower-case second word."""
     return F.coalesce(strip(value).rlike(rf"^\p{{Lu}}{NON_WS}*{WS}+\p{{Ll}}"), F.lit(False))
@@ -188,7 +196,7 @@ def renamed_set(truth_forms: Column, pred_forms: Column, threshold: float) -> Co
 
     Lists stay in their row: no pairs are emitted and nothing is shuffled.
     """
-    return F.array_distinct(_rename_to_truth(truth_forms, pred_forms, F.lit(float(threshold))))
+    return F.array_distinct(_rename_barrier(truth_forms, pred_forms, F.lit(float(threshold))))
 
 
 def match_lists(truth: Column, pred: Column, threshold: float, *, taxon_aware: bool) -> Column:

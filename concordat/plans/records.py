@@ -202,13 +202,13 @@ def _records(spark, sf):
 def cost_accounting(spark, sf):
     costed = runs.with_cost_columns(_records(spark, sf), F.lit("gpt-5-mini"))
     return costed.groupBy("source", "cache_status").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("cost_used_usd"), 3).alias("used"), F.round(F.sum("cost_value_usd"), 3).alias("value"),
-        F.round(F.sum("cache_savings_usd"), 3).alias("savings"), F.sum("input_tokens_used").alias("tokens_used"))
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("cost_used_usd"), 4).alias("used"), F.round(F.sum("cost_value_usd"), 4).alias("value"),
+        F.round(F.sum("cache_savings_usd"), 4).alias("savings"), F.sum("input_tokens_used").alias("tokens_used"))
 
 
 def run_kpis(spark, sf):
     k = runs.run_kpis(_records(spark, sf), F.lit("gpt-5-mini"), by=["run"])
-    return k.withColumns({c: F.round(c, 2) for c in ("cost_used_usd", "cost_value_usd", "cache_savings_usd", "avg_cost_value_usd")})
+    return k.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in ("cost_used_usd", "cost_value_usd", "cache_savings_usd", "avg_cost_value_usd")})
 
 
 def fill_rate(spark, sf):
@@ -217,7 +217,7 @@ def fill_rate(spark, sf):
 
 def cost_by_source(spark, sf):
     c = runs.cost_by(_records(spark, sf), ["source"])
-    return c.withColumns({n: F.round(n, 3) for n in ("total_cost", "avg_cost", "avg_input_tokens", "avg_output_tokens")})
+    return c.withColumns({n: F.round(F.col(n) + 1e-9, 4) for n in ("total_cost", "avg_cost", "avg_input_tokens", "avg_output_tokens")})
 
 
 def extraction_csv_rows(spark, sf):
@@ -425,19 +425,19 @@ ORACLE = {
     "embedding_cache_diff": """SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha256(text) AS text_hash,
       coalesce(label % 4 <> 1 AND (label % 3 <> 0 OR upper(text) = text), false) AS hit, CASE WHEN label % 4 <> 1 AND (label % 3 <> 0 OR upper(text) = text) THEN CAST(len(embedding) AS INT) END AS dims
       FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
-    "cost_accounting": _USAGE + """ SELECT source, CASE WHEN ok THEN cs ELSE 'unknown' END AS cache_status, count(*) AS n, round(sum(CASE WHEN ok THEN tot END), 3) AS used, round(sum(CASE WHEN ok THEN wi END), 3) AS value,
-      round(sum(CASE WHEN ok THEN format('{:.4f}', CAST(wi - tot AS DOUBLE))::DOUBLE END), 3) AS savings, CAST(sum(CASE WHEN ok THEN greatest(input_tokens - ct, 0) END) AS BIGINT) AS tokens_used FROM d GROUP BY ALL""",
+    "cost_accounting": _USAGE + """ SELECT source, CASE WHEN ok THEN cs ELSE 'unknown' END AS cache_status, count(*) AS n, round(sum(CASE WHEN ok THEN tot END), 4) AS used, round(sum(CASE WHEN ok THEN wi END), 4) AS value,
+      round(sum(CASE WHEN ok THEN format('{:.4f}', CAST(wi - tot AS DOUBLE))::DOUBLE END), 4) AS savings, CAST(sum(CASE WHEN ok THEN greatest(input_tokens - ct, 0) END) AS BIGINT) AS tokens_used FROM d GROUP BY ALL""",
     "run_kpis": _USAGE + """ SELECT run, count(*) AS total_records, count(*) FILTER (ok) AS success_count, count(*) FILTER (status = 'skipped') AS skipped_count, count(*) FILTER (status = 'error') AS error_count,
       count(*) FILTER (ok) AS output_count, count(*) FILTER (ok AND cs <> 'miss') AS cache_hits, count(*) FILTER (ok AND cs = 'miss') AS cache_misses,
       CAST(sum(greatest(input_tokens - ct, 0)) FILTER (ok) AS BIGINT) AS input_tokens_used, CAST(sum(input_tokens) FILTER (ok) AS BIGINT) AS input_tokens_value, CAST(sum(ct) FILTER (ok) AS BIGINT) AS cached_tokens,
-      round(sum(tot) FILTER (ok), 2) AS cost_used_usd, round(sum(wi) FILTER (ok), 2) AS cost_value_usd, round(avg(wi) FILTER (ok), 2) AS avg_cost_value_usd,
+      round(sum(tot) FILTER (ok), 4) AS cost_used_usd, round(sum(wi) FILTER (ok), 4) AS cost_value_usd, round(avg(wi) FILTER (ok) + 1e-9, 4) AS avg_cost_value_usd,
       avg((trim(f_text) <> '')::INT + (f_number IS NOT NULL)::INT + (f_flag IS NOT NULL)::INT) FILTER (ok) AS avg_populated_fields,
-      round(sum(wi) FILTER (ok) - sum(tot) FILTER (ok), 2) AS cache_savings_usd FROM d GROUP BY run""",
+      round(sum(wi) FILTER (ok) - sum(tot) FILTER (ok), 4) AS cache_savings_usd FROM d GROUP BY run""",
     "fill_rate": _USAGE + " ".join(f"""{'UNION ALL' if i else ''} SELECT '{f}' AS field, count(*) FILTER ({c}) AS records_with_value, count(*) AS success_records,
       round_even(count(*) FILTER ({c}) / count(*), 3) AS fill_rate FROM d WHERE ok""" for i, (f, c) in enumerate((
         ("species", "trim(f_text) <> ''"), ("temp_range_i", "f_number IS NOT NULL"), ("time_series", "f_flag IS NOT NULL")))),
-    "cost_by_source": _USAGE + """ SELECT source, count(*) AS records, round(sum(tot), 3) AS total_cost, round(avg(tot), 3) AS avg_cost, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
-      CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(avg(input_tokens), 3) AS avg_input_tokens, round(avg(output_tokens), 3) AS avg_output_tokens FROM d WHERE ok GROUP BY source""",
+    "cost_by_source": _USAGE + """ SELECT source, count(*) AS records, round(sum(tot) + 1e-9, 4) AS total_cost, round(avg(tot) + 1e-9, 4) AS avg_cost, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+      CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(avg(input_tokens) + 1e-9, 4) AS avg_input_tokens, round(avg(output_tokens) + 1e-9, 4) AS avg_output_tokens FROM d WHERE ok GROUP BY source""",
     "run_records_status": _M + """ SELECT gt_record_id, coalesce(article_doi, source_doi, CAST(gt_record_id AS VARCHAR)) AS record_id,
       CASE WHEN abstract IS NULL THEN 'skipped' WHEN gt_record_id % 10 = 1 OR o_orderstatus = 'P' THEN 'error' ELSE 'success' END AS status,
       CASE WHEN abstract IS NULL THEN 'Missing abstract.' WHEN gt_record_id % 10 = 1 THEN 'Timeout: x' WHEN o_orderstatus = 'P' THEN 'no output' END AS error_message,

@@ -151,7 +151,7 @@ def grounding_table(spark, sf):
     """Claims against the whole text: the longest word as a found name, a made-up one, cue phrases."""
     docs = derived(spark, sf, CLAIMS)
     listed = docs.select("doc_id", "text", F.array(F.concat(F.substring("text", 3, 9), F.lit(" zzqq"))).alias("gt_species"),
-                         F.array(F.upper(F.concat(F.substring("text", 3, 9), F.lit(" ZZQQ"))), F.lit("Canis lupus")).alias("pred_species"),
+                         F.array(F.concat(F.lit(" "), F.substring("text", 3, 9), F.lit(" - ZZqq")), F.lit("Canis lupus")).alias("pred_species"),
                          F.array("gt_type").alias("gt_type"), F.when(F.col("pred_type").isNotNull(), F.array("pred_type")).alias("pred_type"))
     return gr.comparison_table(listed, "doc_id", "text", {"species": ("gt_species", "pred_species"), "data_type": ("gt_type", "pred_type")})
 
