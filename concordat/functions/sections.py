@@ -224,7 +224,8 @@ class CodecTokens:
             for batch in batches:
                 yield pa.array([None if row is None else convert(codec, row) for row in batch.to_pylist()], arrow)
 
-        return run
+        # The barrier keeps the optimizer from moving the call into a lambda, where it cannot run.
+        return run.asNondeterministic()
 
     def counts(self, texts: Column) -> Column:
         size = lambda codec, row: [None if t is None else len(codec.encode(t)) for t in row]

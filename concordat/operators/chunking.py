@@ -87,6 +87,8 @@ def _spans(tokens: pa.Array, chars: pa.Array, limit: pa.Array, overlap: pa.Array
                      for t, c, m, o in rows], kind)
 
 
+_spans_barrier = _spans.asNondeterministic()  # never moved into a lambda, where it cannot run
+
 SECTION = "struct<section_id:string,title:string,level:int,path:string,text:string,page_start:int,page_end:int>"
 
 
@@ -124,7 +126,7 @@ def with_chunks(df: DataFrame, sections: Column, config: ChunkConfig = ChunkConf
     staged = staged.withColumns({"_tokens": tokenizer.nested_counts(F.col("_sentences")),
                                  "_cuts": tokenizer.nested_cuts(F.col("_sentences"), limit)})
     chars = F.transform("_sentences", lambda group: F.transform(group, F.length))
-    staged = staged.withColumn("_spans", _spans(F.col("_tokens"), chars, F.lit(limit), F.lit(config.overlap_tokens)))
+    staged = staged.withColumn("_spans", _spans_barrier(F.col("_tokens"), chars, F.lit(limit), F.lit(config.overlap_tokens)))
 
     def cut(span: Column, i: Column) -> Column:
         group, cuts = F.get("_sentences", i), F.get(F.get("_cuts", i), span["first"])
