@@ -31,7 +31,8 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column],
     ranged = df.withColumns(inputs).repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     sliced = ranged.withColumn("_slice", F.spark_partition_id()).checkpoint()
 
-    # One row per slice and key that occurs in it: at most keys + slices rows.
+    # One row per slice and key that occurs in it: at most keys + slices rows, and at
+    # most ``slices`` rows per window partition below.
     totals = sliced.groupBy("_slice", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_slice", *keys, *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])

@@ -195,15 +195,16 @@ def overall_deltas(report: DataFrame, baseline: DataFrame) -> DataFrame:
 
     Both inputs are reports with the two summary rows.
     """
-    def pick(df: DataFrame, tag: str) -> DataFrame:
-        at = lambda row, m: F.max(F.when(F.col("field") == row, F.col(m)))
-        return df.filter(F.col("field").isin(MICRO, MACRO)).agg(
-            *[at(MICRO, m).alias(f"micro_{m}{tag}") for m in RATIOS], at(MACRO, "f1").alias(f"macro_f1{tag}"))
-
-    # One summary row each, tied by a constant key: an equi-join of two rows.
-    now = pick(report, "").withColumn("_one", F.lit(1))
-    then = pick(baseline, "_base").withColumn("_one", F.lit(1))
-    joined = now.join(then, "_one").drop("_one")
+    def tagged(df: DataFrame, tag: str) -> DataFrame:
+        return df.filter(F.col("field").isin(MICRO, MACRO)).select(F.lit(tag).alias("_side"), "field", *RATIOS)
+
+    def at(tag: str, row: str, m: str) -> Column:
+        return F.max(F.when((F.col("_side") == tag) & (F.col("field") == row), F.col(m)))
+
+    # Two summary rows per report, stacked and turned into one row: no join needed.
+    picked = [at(tag, MICRO, m).alias(f"micro_{m}{tag}") for tag in ("", "_base") for m in RATIOS]
+    picked += [at(tag, MACRO, "f1").alias(f"macro_f1{tag}") for tag in ("", "_base")]
+    joined = tagged(report, "").unionByName(tagged(baseline, "_base")).agg(*picked)
     names = [f"micro_{m}" for m in RATIOS] + ["macro_f1"]
     gap = F.col("micro_f1") - F.col("macro_f1")
     return joined.withColumns({**{f"delta_{n}": round_exact(F.col(n) - F.col(f"{n}_base"), 3) for n in names},

@@ -98,9 +98,9 @@ def validate_valid_rows(spark, sf):
 def validate_first_failure(spark, sf):
     """Strict mode: only rows up to the first bad one are reported."""
     report = nz.validate(_sheet(spark, sf), "id", coerce_cells=True, strict=True)
-    return report.valid.agg(F.count(F.lit(1)).alias("n_valid")).withColumn("_k", F.lit(1)).join(
-        report.invalid.agg(F.count(F.lit(1)).alias("n_invalid"), F.min("id").alias("first_bad")).withColumn("_k", F.lit(1)),
-        "_k").drop("_k")
+    seen = report.valid.select("id", F.lit(False).alias("bad")).unionByName(report.invalid.select("id", F.lit(True).alias("bad")))
+    return seen.agg(F.count_if(~F.col("bad")).alias("n_valid"), F.count_if("bad").alias("n_invalid"),
+                    F.min(F.when(F.col("bad"), F.col("id"))).alias("first_bad"))
 
 
 def validate_strict_types(spark, sf):
