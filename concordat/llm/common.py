@@ -71,3 +71,11 @@ def map_texts(df: DataFrame, schema: str, work: Callable[[list[bytes]], dict[str
 def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     """At most ``bound`` rows, those with the smallest hash of ``key``: the same rows in every run."""
     return df.orderBy(F.xxhash64(F.lit(17), key), key).limit(bound)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -26,16 +26,15 @@ columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordat.llm.common import documents, map_texts, pinned
+from concordat.llm.common import documents, fresh, map_texts, pinned
 from concordat.llm.links import components
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
@@ -232,11 +231,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hot: int
 def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
     """``docs`` with one document of each group: the smallest id of its component.
 
-    Rows that repeat that id are kept only once when they are equal in all
-    columns of ``docs``; documents without an id form no group and stay.
+    Of rows that repeat such an id one stays, the first in order of text and
+    source. Rows without an id can't be told apart and stay as they are.
     """
-    groups = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi")
+    found = near_duplicates(docs, shingle, radius)
+    rows = found.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("head")).where("head")
+    single, several = rows.where("n = 1"), rows.where("n > 1")
+    first = Window.partitionBy("doc_id").orderBy(*[F.xxhash64(c) for c in ("text", "source") if c in docs.columns])
+    number = fresh(docs, "number")
+    again = docs.join(several, "doc_id", "left_semi").withColumn(number, F.row_number().over(first)).where(
+        F.col(number) == 1).drop(number)
+    kept = docs.join(single, "doc_id", "left_semi").unionByName(again)
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir):

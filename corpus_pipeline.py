@@ -1,4 +1,7 @@
-"""The corpus pipeline: each stage reads what its predecessor kept, written as Parquet in the shared folder."""
+"""The corpus pipeline: each stage works on all its predecessor kept, written as Parquet in the shared folder.
+
+``STAGES`` are the stages in order; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +9,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from concordat.llm.mixing import mixed
 from concordat.llm.packing import pack
+from concordat.llm.quality_rules import keep_good
+from concordat.llm.secret_scan import redact
 from concordat.llm.simhash import keep_first
 from concordat.session import CHECKPOINT_CONF, ensure_checkpoint_dir
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the classifier fitted on the labels of ``sf_dir``."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
     return keep_first(docs)
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with what was found to be secret replaced."""
+    return redact(docs)
+
+
+def weighed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a part taken once more is a row with that part."""
+    return mixed(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens and their places in training sequences."""
     return pack(docs)
 
 
-STAGES = [("simhash near-dedup", near_copies), ("packing", packed)]
+STAGES = [("quality rules", good), ("simhash near-dedup", distinct), ("secret scans", clean), ("mixing", weighed),
+          ("packing", packed)]
 
-#: A classifier, fingerprints by XXH64 and a tokenizer decide the rows: SQL can't express them.
+#: A trained classifier, fingerprints, decoding and a tokenizer decide the rows: SQL can't express them.
 ORACLE_SQL = None
 
 
