@@ -3,8 +3,10 @@
 Vectors are compared within their label. Equal vectors are one node from the
 start. The nodes of a label are split by k-means (fitted on bounded samples)
 into cluster shards until none is home to more than ``cap``; a node goes to its
-``overlap`` nearest clusters, home to the nearest. In every shard a flat graph
-is built: nearest neighbours and the nodes that name a node as theirs, pruned so
+``overlap`` nearest clusters, home to the nearest. Where a dense group is itself
+split (centroids closer than ``CLOSE``), a node also visits every shard on whose
+border it lies, near enough for a link across it. In every shard a flat graph
+is built, of its own and overlapping nodes: nearest neighbours and the nodes that name a node as theirs, pruned so
 that an edge is kept only if no kept one leads closer by the factor ``alpha``.
 The adjacency lists of a node from all its shards are united.
 
@@ -37,6 +39,12 @@ from concordat.llm.links import components
 
 FANOUT, SAMPLE_PER_CHILD, SALT_ROWS = 32, 32, 20_000
 DEPTH = 8
+#: Cosine of two centroids from which they are taken to split one dense group.
+CLOSE = 0.8
+#: Home of a node, overlapping shard, and shard that it only visits.
+HOME, OVERLAP, VISIT = range(3)
+#: Queries times nodes that a search looks at together.
+BLOCK_CELLS = 1 << 20
 
 
 def unit(rows: pd.Series) -> np.ndarray:
@@ -56,20 +64,37 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def shards(nodes: DataFrame, cap: int, overlap: int) -> DataFrame:
-    """(node, n, audited, vec, shard, home): every node in its cluster shards."""
+def children(x: np.ndarray, kind: np.ndarray, centres: np.ndarray, overlap: int, reach: float) -> tuple[np.ndarray, ...]:
+    """(row, child, kind) of every child shard that a row goes to; ``reach``: the longest chord of a link.
+
+    A link across the plane half-way between two centroids has both ends within
+    its own length of that plane.
+    """
+    near, among = x @ centres.T, centres @ centres.T
+    order = np.argsort(-near, axis=1, kind="stable")
+    rank = np.argsort(order, axis=1, kind="stable")
+    best, rows = order[:, 0], np.arange(len(x))
+    apart = np.sqrt(np.maximum(2 - 2 * among[best], 1e-18))
+    border = (among[best] >= CLOSE) & (near[rows, best][:, None] - near <= reach * apart)
+    row, child = np.nonzero((rank < overlap) | border)
+    level = np.where(rank[row, child] == 0, HOME, np.where(rank[row, child] < overlap, OVERLAP, VISIT))
+    return row, child, np.maximum(level, kind[row])
+
+
+def shards(nodes: DataFrame, cap: int, overlap: int, reach: float) -> DataFrame:
+    """(node, n, audited, vec, shard, kind): every node in its cluster shards."""
     frame = nodes.select("node", "n", "audited", "vec", F.concat_ws(":", "label", F.size("vec")).alias("shard"),
-                         F.lit(True).alias("home"))
+                         F.lit(HOME).alias("kind"))
     columns = frame.columns
     for _ in range(DEPTH):
-        big = pinned(frame.where("home").groupBy("shard").count().where(F.col("count") > cap))
+        big = pinned(frame.where(F.col("kind") == HOME).groupBy("shard").count().where(F.col("count") > cap))
         if big.isEmpty():
             break
         big = big.withColumn("_k", F.least(F.lit(FANOUT), F.ceil(F.col("count") / (cap / 2)))).withColumn(
             "_salts", F.ceil(F.col("count") / SALT_ROWS)).drop("count")
         split = frame.join(big, "shard")
         first = Window.partitionBy("shard").orderBy(F.xxhash64("node"), "node")
-        sample = split.where("home").withColumn("_r", F.row_number().over(first)).where(
+        sample = split.where(F.col("kind") == HOME).withColumn("_r", F.row_number().over(first)).where(
             F.col("_r") <= FANOUT * SAMPLE_PER_CHILD)
 
         def centres(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,21 +105,19 @@ def shards(nodes: DataFrame, cap: int, overlap: int) -> DataFrame:
 
         fitted = sample.select("shard", "vec", "_r", "_k", "_salts").groupBy("shard").applyInPandas(
             centres, "shard string, child int, centre array<double>, _salts long")
-        fitted = fitted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).cast("long"))
+        fitted = fitted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
 
         def assign(key, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
             if pdf.empty or found.empty:
                 return pdf[columns]
             found = found.sort_values("child")
-            near = unit(pdf["vec"]) @ np.array(found["centre"].tolist()).T
-            order = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
-            out = [pdf.assign(shard=[f"{s}/{c}" for s, c in zip(pdf["shard"], order[:, j])], home=pdf["home"] & (j == 0))
-                   for j in range(order.shape[1])]
-            return pd.concat(out)[columns]
+            row, child, kind = children(unit(pdf["vec"]), pdf["kind"].to_numpy(), np.array(found["centre"].tolist()), overlap, reach)
+            out = pdf.iloc[row]
+            return out.assign(shard=[f"{s}/{c}" for s, c in zip(out["shard"], child)], kind=kind)[columns]
 
         salted = split.withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("_salts")))
         moved = salted.groupBy("shard", "_salt").cogroup(fitted.groupBy("shard", "_salt")).applyInPandas(assign, frame.schema)
-        frame = pinned(frame.join(big, "shard", "left_anti").select(*columns).unionAll(moved.dropDuplicates(["node", "shard"])))
+        frame = pinned(frame.join(big, "shard", "left_anti").select(*columns).unionAll(moved))
     return frame
 
 
@@ -211,8 +234,9 @@ def search(pdf: pd.DataFrame, threshold: float, slack: float, beam: int, steps:
     starts = [int((x @ x.mean(0)).argmax())]
     for _ in range(3):  # the medoid, and nodes far from all entries so far
         starts.append(int((x @ x[starts].T).max(1).argmin()))
-    home, audited = pdf["home"].to_numpy(), pdf["audited"].to_numpy()
+    home, audited = pdf["kind"].to_numpy() == HOME, pdf["audited"].to_numpy()
     queries = np.flatnonzero(home)
+    block = max(1, min(block, BLOCK_CELLS // n))
     links, part = np.zeros(n, np.int64), np.arange(n)
     true, found = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
@@ -259,14 +283,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cap: int = 1500
         F.min("vec_id").alias("first"), F.count("*").alias("n"),
         F.coalesce(F.max((F.col("vec_id") % audit_every == 0)), F.lit(False)).alias("audited"))
     nodes = pinned(nodes.withColumn("node", F.monotonically_increasing_id()))
-    frame = shards(nodes, cap, overlap)
+    frame = shards(nodes, cap, overlap, float(np.sqrt(2 - 2 * threshold)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy()
         near = flat_graph(unit(pdf["vec"]), degree, alpha)
         return pd.DataFrame({"node": node, "near": [node[g[g >= 0]] for g in near]})
 
-    adjacency = frame.groupBy("shard").applyInPandas(build, "node long, near array<long>")
+    adjacency = frame.where(F.col("kind") != VISIT).groupBy("shard").applyInPandas(build, "node long, near array<long>")
     adjacency = adjacency.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     found = pinned(frame.join(adjacency, "node").groupBy("shard").applyInPandas(
         lambda pdf: search(pdf, threshold, slack, beam, steps, recall),

@@ -243,7 +243,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", max_layer: int = MAX_LAYER)
             yield pa.RecordBatch.from_pydict(columns)
 
     name = fresh(docs, "new")
-    made = docs.mapInArrow(run, docs.withColumn(name, F.lit("")).schema)
+    made = docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("string")).schema)
     out = {"text": F.col(name)}
     if "n_chars" in docs.columns:
         same = F.col(name).eqNullSafe(F.col("text"))

@@ -201,17 +201,15 @@ def links(fps: DataFrame, radius: int = 2, hot: int = 256) -> DataFrame:
 
 
 def _through_neighbours(fps: DataFrame, radius: int) -> DataFrame:
-    """Each fingerprint linked to the least one that shares a word within radius / 2 bits (rounded up) of both."""
-    if radius < 2:
-        flips = [0] if radius == 0 else [0, *(1 << b for b in range(BITS))]
-    else:
-        flips = [0, *(1 << b for b in range(BITS))]
-    flips = [f - ((f >> 63) << 64) for f in flips]
-    near = fps.select("fp", F.explode(F.transform(F.array(*[F.lit(f) for f in flips]),
+    """Links among ``fps`` by their one-bit neighbours: for radius 1 those that are fingerprints themselves; for
+    radius 2 each fingerprint and the least one with a neighbour in common, which connects all that share it."""
+    flips = [0] * (radius > 1) + [(1 << b) - ((1 << b >> 63) << 64) for b in range(BITS)] * (radius > 0)
+    near = fps.select("fp", F.explode(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]),
                                                   lambda f: F.col("fp").bitwiseXOR(f))).alias("key"))
+    if radius < 2:
+        return near.join(fps.select(F.col("fp").alias("key")), "key").select(F.col("fp").alias("a"), F.col("key").alias("b"))
     least = near.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    linked = near.join(least, "key").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
-    return linked.where(_far(F.col("a"), F.col("b")) <= radius)
+    return near.join(least, "key").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hot: int = 256) -> DataFrame:
