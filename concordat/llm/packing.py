@@ -20,7 +20,9 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
+from struct import pack as pack_ints
 from zlib import crc32
 
 import numpy as np
@@ -34,34 +36,71 @@ from concordat.llm.common import blocks, documents, pinned
 from concordat.llm.token_counts import KEPT, VOCABULARY, compiled
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit integers."""
+    return pack_ints(f"<{len(ids)}I", *ids)
+
+
+def steady_characters() -> np.ndarray:
+    """Code points that were letter, number, space or other in Unicode 3.2 and still are: all splitters agree on them."""
+    def kind(c: str, table) -> str:
+        name = table.category(c)
+        return name if name == "Cn" or name[0] == "C" else "S" if c.isspace() else name[0] if name[0] in "LN" else "O"
+
+    out = np.zeros(0x110000, bool)
+    for point in range(0x10000):
+        c = chr(point)
+        before, now = kind(c, unicodedata.ucd_3_2_0), kind(c, unicodedata)
+        out[point] = before == now and before not in ("Cn", "Cs", "Co")
+    return out
+
+
 class Encoder:
-    """Ids of texts: the compiled splitter finds the pieces, the library encodes each distinct piece once."""
+    """Ids of texts as the vocabulary's own library gives them.
+
+    Texts of characters that all Unicode tables class alike are encoded whole by
+    the fast implementation of the same vocabulary; in all others the compiled
+    splitter finds the pieces, and the library encodes each distinct one once.
+    """
 
     def __init__(self, name: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.cascade, self.library = compiled(name), Tokenizer.from_file(public_tokenizers.path(name))
+        # In this vocabulary ids are ranks: bytes first, then merges in order.
+        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(self.cascade.merger.tokens),
+                                      special_tokens={})
+        self.steady = steady_characters()
         self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts, owner, after = self.cascade.split_added(texts)
-        pieces, per = self.cascade.pieces(parts)
-        new = list({p for p in pieces if p not in self.kept})
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-            new = list(set(pieces))
-        for piece, code in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.kept[piece] = np.array(code.ids, "<u4").tobytes()
-        codes, at = list(map(self.kept.__getitem__, pieces)), 0
+        odd = [i for i, p in enumerate(parts)
+               if not p.isascii() and not self.steady[np.frombuffer(p.encode("utf-32-le"), np.uint32)].all()]
+        coded = dict(zip(odd, self._by_pieces([parts[i] for i in odd])))
         out: list[list[bytes]] = [[] for _ in texts]
-        for n, o, a in zip(per.tolist(), owner, after):
-            out[o].extend(codes[at:at + n])
-            at += n
+        for i, (p, o, a) in enumerate(zip(parts, owner, after)):
+            if i not in coded:
+                coded[i] = self.fast.encode_to_numpy(p, disallowed_special=()).astype("<u4").tobytes()
+            out[o].append(coded[i])
             if a >= 0:
-                out[o].append(np.array([a], "<u4").tobytes())
+                out[o].append(little_endian([a]))
         return [b"".join(x) for x in out]
 
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        pieces, per = self.cascade.pieces(texts)
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new = list(set(pieces).difference(self.kept))
+        self.kept.update(zip(new, [little_endian(code.ids) for code in self.library.encode_batch_fast(
+            new, add_special_tokens=False)]))
+        codes, ends = list(map(self.kept.__getitem__, pieces)), np.cumsum(per)
+        return [b"".join(codes[a:b]) for a, b in zip((ends - per).tolist(), ends.tolist())]
+
 
 @lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
@@ -70,7 +109,7 @@ def encoder(name: str) -> Encoder:
 
 def pieces(docs: DataFrame, vocabulary: str, length: int, grain: int, closing: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, class, task, local): pieces, numbered by class within a task."""
-    end = np.array([closing], "<u4").tobytes()
+    end = little_endian([closing])
 
     def run(batches):
         task, seen = TaskContext.get().partitionId(), {}

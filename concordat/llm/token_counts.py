@@ -41,7 +41,7 @@ from concordat.llm.common import documents, map_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters in a chunk of the prefix scan, and pieces kept as one transition.
-CHUNK, KEPT = 128, 200_000
+CHUNK, KEPT = 128, 400_000
 
 # Classes: letter, number, other, space, other white space; then the letters of the
 # contractions by role, the apostrophe, and the end of a text.
@@ -348,9 +348,9 @@ class Tokenizer:
         at = boundaries(classes)
         stop = np.append(at[1:], len(points)) if len(at) else at
         real = classes[at] != END
-        cuts, stops = at[real].tolist(), stop[real].tolist()
-        owner = np.searchsorted(ends, at[real])
-        return [joined[a:b] for a, b in zip(cuts, stops)], np.bincount(owner, minlength=len(texts))
+        cuts, stops = at[real], stop[real]
+        per = np.diff(np.searchsorted(cuts, ends), prepend=0)
+        return [joined[a:b] for a, b in zip(cuts.tolist(), stops.tolist())], per
 
     def split_added(self, texts: list[str]) -> tuple[list[str], list[int], list[int]]:
         """Texts cut at the strings of added tokens: parts, the text of each part, ids after each part (-1: none)."""
@@ -372,11 +372,10 @@ class Tokenizer:
         parts, owner, after = self.split_added(texts)
         pieces, per = self.pieces(parts)
         kept = self.merger.kept
-        new = list({p for p in pieces if p not in kept})
+        if len(kept) > KEPT:
+            kept.clear()
+        new = list(set(pieces).difference(kept))
         if new:
-            if len(kept) > KEPT:
-                kept.clear()
-                new = list(set(pieces))
             kept.update(zip(new, self.merger.counts([p.encode() for p in new]).tolist()))
         counts = np.fromiter((kept[p] for p in pieces), np.int64, len(pieces))
         sums = np.concatenate([[0], np.cumsum(counts)])
