@@ -119,40 +119,61 @@ def blank_to_null(value: Column | str) -> Column:
     return F.nullif(strip(value), F.lit(""))
 
 
-# Named character references that matter in prose and page text; everything
-# numeric is decoded by code point.
-def _entity_table() -> str:
-    named = {name[:-1]: text for name, text in html.entities.html5.items()
-             if name.endswith(";") and len(text) == 1 and name[:-1].isalnum()
-             and name[:-1] in html.entities.name2codepoint}
-    named["apos"] = "'"
-    return "\x02".join(f"{k}\x03{v}" for k, v in sorted(named.items()))
+def _pairs(table: dict[str, str]) -> str:
+    """A constant map as text (``str_to_map`` reads it once for a query)."""
+    return "\x02".join(f"{k}\x03{v}" for k, v in sorted(table.items()))
 
 
-REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,10});"
+@lru_cache(maxsize=1)
+def _references() -> tuple[str, str, str, str]:
+    """Named references as the HTML standard lists them, those that need no semicolon as a pattern (longest first),
+    and how numbers in the C1 range and others with a meaning of their own are read."""
+    named = {k: v for k, v in html.entities.html5.items()}
+    open_names = sorted((k for k in named if not k.endswith(";")), key=lambda k: (-len(k), k))
+    numbers = {str(k): v for k, v in html._invalid_charrefs.items()} | {str(k): "" for k in html._invalid_codepoints
+                                                                        if k not in html._invalid_charrefs}
+    # A null, a break or a tab in a value would end an entry of the text form; such values have names of their own here.
+    return _pairs(named), "^(?:" + "|".join(open_names) + ")", _pairs(numbers), "\ufffd"
+
+
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def unescape_html(value: Column | str) -> Column:
-    """Decode character references once, left to right.
+    """Decode character references once, left to right, by the rules of the HTML standard.
 
-    The text is split at the references, so a decoded ``&`` is never decoded
-    a second time. Texts without ``&`` are returned as they are.
+    Names may lack their semicolon where the standard allows it (the longest
+    known name at the start counts); numbers in the C1 range stand for their
+    Windows-1252 characters, invalid ones for U+FFFD or nothing. The text is
+    split at the references, so a decoded ``&`` is never decoded a second time.
     """
     raw = as_col(value)
-    table = F.str_to_map(F.lit(_entity_table()), F.lit("\x02"), F.lit("\x03"))
+    names, prefix, numbers, bad = _references()
+    as_map = lambda text: F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x03"))
+
+    def numeric(body: Column) -> Column:
+        digits = F.regexp_extract(body, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+        # More digits than any code point has stand for a number out of range.
+        long = F.length(digits) > 9
+        code = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.try_cast("bigint"))
+        code = F.when(long, F.lit(1 << 40)).otherwise(F.coalesce(code, F.lit(0)))
+
+        def read(c: Column) -> Column:
+            known = F.try_element_at(as_map(numbers), c.cast("string"))
+            outside = c.between(0xD800, 0xDFFF) | (c > 0x10FFFF)
+            return F.when(known.isNotNull(), known).when(outside, F.lit(bad)).otherwise(
+                F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+
+        return let(code, read)
+
+    def by_name(body: Column) -> Column:
+        whole = F.try_element_at(as_map(names), body)
+        head = F.regexp_extract(body, prefix, 0)
+        return F.coalesce(whole, F.when(head != "", F.concat(F.try_element_at(as_map(names), head), F.substring(
+            body, F.length(head) + 1, F.length(body)))), F.concat(F.lit("&"), body))
 
     def decode(ref: Column) -> Column:
-        name = F.rtrim(F.substring(ref, 2, 12), F.lit(";"))
-        decimal = F.regexp_extract(name, "^#([0-9]+)$", 1)
-        hexa = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)$", 1)
-        code = F.when(decimal != "", decimal.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int"))
-
-        def numeric(c: Column) -> Column:
-            valid = c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
-            return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
-
-        return F.when(name.startswith("#"), F.coalesce(let(code, numeric), ref)).otherwise(
-            F.coalesce(F.try_element_at(table, name), ref))
+        return let(F.substring(ref, F.lit(2), F.length(ref)), lambda body: F.when(body.startswith("#"), numeric(body)).otherwise(by_name(body)))
 
     refs = F.transform(F.regexp_extract_all(raw, F.lit(f"({REFERENCE})"), 1), decode)
     # Texts and decoded references alternate, starting and ending with a text.
@@ -172,7 +193,7 @@ def _ascii_fold_table() -> tuple[str, str, str, str]:
     import unicodedata
 
     flat = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
-            for c in map(chr, (*range(0x80, 0x3000), *range(0xFB00, 0xFFF0)))}
+            for c in map(chr, range(0x80, sys.maxunicode + 1)) if not 0xD800 <= ord(c) <= 0xDFFF}
     single = {c: f for c, f in flat.items() if len(f) == 1}
     longer = {c: f for c, f in flat.items() if len(f) > 1}
     return ("".join(single), "".join(single.values()), f"[{_char_class(''.join(longer))}]",
@@ -183,14 +204,14 @@ def ascii_key(value: Column | str, *, cleaned: bool = False) -> Column:
     """Accent-free lower-case words joined by single spaces (a matching key).
 
     Characters with no ASCII decomposition vanish, as in NFKD plus
-    ASCII-ignore. Covers code points below U+3000 and the presentation forms.
-    ``cleaned`` says that markup was removed already.
+    ASCII-ignore, over all code points. ``cleaned`` says that markup was
+    removed already.
     """
     froms, tos, rare, table = _ascii_fold_table()
 
     def flatten_accents(text: Column) -> Column:
         folds = F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x03"))
-        per_char = F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(
+        per_char = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(.)"), 1), lambda ch: F.coalesce(
             F.try_element_at(folds, ch), ch)), "")
         expanded = F.when(text.rlike(rare), per_char).otherwise(text)
         only = F.regexp_replace(F.translate(expanded, froms, tos), r"[^\x00-\x7F]+", "")

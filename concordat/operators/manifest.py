@@ -20,20 +20,31 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def require_unique(df: DataFrame, key: str) -> DataFrame:
-    """The frame itself, or an error naming a few of the duplicated keys."""
-    found = [r[0] for r in duplicate_keys(df, key).orderBy(key).limit(20).collect()]
-    if found:
-        raise ValueError(f"Duplicate {key} values found: {found}")
-    return df
+    """The frame itself; reading it fails at the first key that occurs more than once.
+
+    The check is part of the plan, so no job runs here. ``duplicate_keys`` lists
+    all of them.
+    """
+    again = duplicate_keys(df.filter(F.col(key).isNotNull()), key).select(F.col(key).alias("_again"), F.col("n").alias("_n"))
+    told = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.col("_again").cast("string"), F.lit(" occurs "),
+                                  F.col("_n").cast("string"), F.lit(" times")))
+    joined = df.join(again, F.col(key) == F.col("_again"), "left")
+    checked = F.when(F.col("_again").isNotNull(), told.cast(dict(df.dtypes)[key])).otherwise(F.col(key))
+    return joined.withColumn(key, checked).select(*df.columns)
+
+
+def unknown_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Ids of the list that ``df`` does not have, all of them."""
+    return ids.select(F.col(ids.columns[0]).alias(key)).distinct().join(df.select(key), key, "left_anti")
 
 
 def restrict_to_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Semi-join to an id list; ids that do not exist are an error."""
-    wanted = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
-    unknown = [r[0] for r in wanted.join(df.select(key), key, "left_anti").orderBy(key).limit(20).collect()]
-    if unknown:
-        raise ValueError(f"ids not found: {unknown}")
-    return df.join(wanted, key, "left_semi")
+    """Rows of an id list; reading them fails at the first id that does not exist. ``unknown_ids`` lists all."""
+    wanted = ids.select(F.col(ids.columns[0]).alias("_wanted")).distinct()
+    joined = wanted.join(df.withColumn("_there", F.lit(True)), F.col("_wanted") == F.col(key), "left")
+    told = F.raise_error(F.concat(F.lit("no record has the id "), F.col("_wanted").cast("string")))
+    checked = F.when(F.col("_there").isNull(), told.cast(dict(df.dtypes)[key])).otherwise(F.col(key))
+    return joined.withColumn(key, checked).select(*df.columns)
 
 
 def with_abstracts(gt: DataFrame, raw: DataFrame | None) -> DataFrame:
@@ -49,23 +60,23 @@ def build(gt: DataFrame, pdf_manifest: DataFrame | None = None, *, raw: DataFram
     """Manifest rows from the annotation sheet and the download list.
 
     Duplicate annotation ids are an error unless ``deduplicate_gt`` keeps the
-    first (in ``order``); download rows always keep the last. Both sides join
-    on the id only, so one shuffle per side serves the whole build.
+    first (in ``order``). Of several downloads of a record the last in
+    ``order`` counts; without an order they are an error too. Errors are raised
+    when the manifest is read: nothing runs here.
     """
-    sheet = with_abstracts(gt.withColumn("id", F.col("id").cast("bigint")), raw)
-    if deduplicate_gt:
-        sheet = keep_first(sheet, "id", order)
-    else:
-        require_unique(sheet, "id")
+    sheet = gt.withColumn("id", F.col("id").cast("bigint"))
+    sheet = keep_first(sheet, "id", order) if deduplicate_gt else require_unique(sheet, "id")
+    sheet = with_abstracts(sheet, raw if raw is None else require_unique(raw, "id"))
     if subset is not None:
         sheet = restrict_to_ids(sheet, subset, "id")
     pdf_cols: list[str] = []
     if pdf_manifest is not None:
         if "record_id" not in pdf_manifest.columns:
-            raise ValueError(f"PDF manifest must have a 'record_id' column; found: {pdf_manifest.columns}")
+            raise ValueError(f"the download list has no record_id among its columns {pdf_manifest.columns}")
         pdfs = pdf_manifest.withColumn("record_id", F.col("record_id").cast("bigint"))
-        if order and order in pdfs.columns:
-            pdfs = keep_last(pdfs, "record_id", order)
+        if order and order not in pdfs.columns:
+            raise ValueError(f"the download list has no column {order} to order by")
+        pdfs = keep_last(pdfs, "record_id", order) if order else require_unique(pdfs, "record_id")
         pdf_cols = [c for c in ("downloaded_pdf_path", "pdf_url_xlsx", "is_oa") if c in pdfs.columns]
         slim = pdfs.select("record_id", *[F.col(c).alias(f"_pdf_{c}") for c in pdf_cols])
         sheet = sheet.join(slim, sheet["id"] == slim["record_id"], "left")
@@ -92,9 +103,8 @@ def build(gt: DataFrame, pdf_manifest: DataFrame | None = None, *, raw: DataFram
         text("semantic_scholar_paper_id").alias("semantic_scholar_paper_id"),
         text("article_publisher").alias("article_publisher"))
     if not allow_missing_pdf and pdf_manifest is not None:
-        missing = out.filter("pdf_local_path IS NULL").select("gt_record_id").orderBy("gt_record_id").limit(20).collect()
-        if missing:
-            raise ValueError(f"records have no resolved pdf_local_path: {[r[0] for r in missing]}")
+        told = F.raise_error(F.concat(F.lit("no PDF path for record "), F.col("gt_record_id").cast("string"))).cast("string")
+        out = out.withColumn("pdf_local_path", F.coalesce("pdf_local_path", told))
     return out
 
 
@@ -142,7 +152,7 @@ def replace_pdf_path(manifest: DataFrame, record_id: int, path: str) -> DataFram
     """Functional update of one record; an unknown id is an error."""
     hit = F.col("gt_record_id") == record_id
     if manifest.filter(hit).isEmpty():
-        raise KeyError(f"gt_record_id {record_id!r} not found in manifest.")
+        raise KeyError(f"the manifest has no record {record_id!r}")
     return manifest.withColumn("pdf_local_path", F.when(hit, F.lit(path)).otherwise(F.col("pdf_local_path")))
 
 

@@ -54,9 +54,11 @@ class Registry:
                       buckets=self.buckets)
 
     def set_status(self, updates: DataFrame) -> None:
-        """``updates``: work_id, status, error_message, updated_at; unknown ids are ignored."""
-        known = self.documents().drop("status", "error_message", "updated_at").join(updates, "work_id")
-        self.upsert_documents(known)
+        """``updates``: work_id, status, error_message, updated_at. An id that is not registered yet gets a row
+        with these columns, so its state is kept."""
+        updates = tables.once(updates)
+        known = self.documents().drop("status", "error_message", "updated_at")
+        self.upsert_documents(updates.join(known, "work_id", "left").select(*self.documents().columns))
 
     def delete_documents(self, work_ids: DataFrame) -> int:
         """Remove documents and all of their chunks."""

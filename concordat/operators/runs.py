@@ -167,7 +167,7 @@ def output_keys(records: DataFrame, order: str, column: str = "output") -> DataF
 
 
 def normalize_reasoning(reasoning: Column, effort: Column) -> Column:
-    """``struct(effort, is_struct)`` from the text, JSON and separate spellings."""
+    """The effort, from the separate column, the JSON or the plain spelling, in that order."""
     given = F.nullif(F.btrim(effort), F.lit(""))
     text = F.btrim(reasoning)
     as_json = text.startswith("{")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from concordat.operators.running import running_totals
 # T quantile used for every 95 % interval; deviation and KS limits.
 T_95 = 2.262
 KS_LIMIT = 0.05
+# Terms of the Kolmogorov series; later ones are below 1e-12 for every distance that is not certain to pass.
+KS_TERMS = 100
 DEVIATION_LIMIT = 0.15
 
 # Score category names, and what is removed before matching them.
@@ -68,11 +72,10 @@ def ks_distance(df: DataFrame, keys: list[str], score: str, *, slices: int | Non
     return joined.groupBy(*keys).agg(F.max(F.greatest(above, below)).alias("ks_d"), F.max("n").alias("n"))
 
 
-def _kolmogorov_p(n: int, d: float) -> float:
-    """Two-sided p-value of the KS distance.
+def _exact_p(n: int, d: float) -> float:
+    """Two-sided p-value of the KS distance, by the matrix recursion of Marsaglia, Tsang and Wang (2003).
 
-    Exact for n <= 140 by the matrix recursion of Marsaglia, Tsang and Wang
-    (2003); the asymptotic series with the Stephens correction above.
+    Its work grows with the cube of n d.
     """
     import numpy as np
 
@@ -80,11 +83,6 @@ def _kolmogorov_p(n: int, d: float) -> float:
         return 1.0
     if d >= 1:
         return 0.0
-    if n > 140:
-        root = n ** 0.5
-        lam = (root + 0.12 + 0.11 / root) * d
-        terms = [(-1) ** (j - 1) * np.exp(-2.0 * (j * lam) ** 2) for j in range(1, 101)]
-        return float(min(1.0, max(0.0, 2.0 * sum(terms))))
     k = int(n * d) + 1
     m = 2 * k - 1
     h = k - n * d
@@ -106,19 +104,38 @@ def _kolmogorov_p(n: int, d: float) -> float:
 
 
 @F.arrow_udf(T.DoubleType())
-def ks_p_value(n: pa.Array, d: pa.Array) -> pa.Array:
+def _exact_p_values(n: pa.Array, d: pa.Array) -> pa.Array:
     pairs = zip(n.to_pylist(), d.to_pylist())
-    return pa.array([None if a is None or b is None else _kolmogorov_p(a, b) for a, b in pairs], pa.float64())
+    return pa.array([None if a is None or b is None else _exact_p(a, b) for a, b in pairs], pa.float64())
+
 
+def ks_p_value(n: Column, d: Column, method: str = "asymptotic") -> Column:
+    """Two-sided p-value of the KS distance ``d`` of ``n`` scores; the caller chooses how, whatever n is.
 
-def score_stability(df: DataFrame, keys: list[str], score: str, *, with_p_value: bool = False) -> DataFrame:
+    ``asymptotic``: Kolmogorov's series (terms below 1e-12 left out) with the
+    Stephens correction, in the JVM. ``exact``: the matrix recursion.
+    """
+    if method == "exact":
+        return _exact_p_values(n, d)
+    if method != "asymptotic":
+        raise ValueError(f"unknown method {method!r}")
+    root = F.sqrt(n.cast("double"))
+    lam = (root + 0.12 + 0.11 / root) * d
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), lambda total, j: total + F.when(
+        j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * j * j * lam * lam))
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series))
+    return F.when(d.isNull() | n.isNull(), None).when(d <= 0, 1.0).when(d >= 1, 0.0).otherwise(p)
+
+
+def score_stability(df: DataFrame, keys: list[str], score: str, *, with_p_value: bool = False,
+                    method: str = "asymptotic") -> DataFrame:
     """Per group: count, mean, sample deviation, KS distance and a t interval."""
     moments = df.groupBy(*keys).agg(F.count(score).alias("_n"), F.avg(score).alias("average"),
                                     F.stddev_samp(score).alias("std"))
     out = moments.join(ks_distance(df, keys, score), keys).drop("_n")
     half = T_95 * F.col("std") / F.sqrt("n")
     out = out.withColumns({"ci_lower_95": F.col("average") - half, "ci_upper_95": F.col("average") + half})
-    return out.withColumn("ks_p_value", ks_p_value(F.col("n"), F.col("ks_d"))) if with_p_value else out
+    return out.withColumn("ks_p_value", ks_p_value(F.col("n"), F.col("ks_d"), method)) if with_p_value else out
 
 
 def deviation_flags(df: DataFrame, keys: list[str], score: str, limit: float = DEVIATION_LIMIT) -> DataFrame:
@@ -183,12 +200,35 @@ def counts_with_default(df: DataFrame, value: Column, default: str = "None") ->
 
 
 def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Count, mean, deviation, extremes and exact linear quartiles."""
+    """Count, mean, deviation, extremes and exact linear quartiles.
+
+    Quartiles are read off the running counts of the distinct values, which are
+    range-partitioned: no group's values meet in one task or buffer.
+    """
+    by = by or []
     c = F.col(column)
-    return df.groupBy(*(by or [])).agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.5)).alias("q50"),
-        F.percentile(c, F.lit(0.75)).alias("q75"), F.max(c).alias("max"))
+    group = by or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    moments = rows.groupBy(*group).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                                       F.min(c).alias("min"), F.max(c).alias("max"))
+    counted = rows.filter(c.isNotNull()).groupBy(*group, c.alias("_value")).agg(F.count(F.lit(1)).alias("_c"))
+    running = running_totals(counted, [F.col("_value")], {"_upto": F.col("_c")}, keys=group)
+    # Rows at 0-based places floor(h) and ceil(h), h = (count - 1) q: the least value that more rows than that reach.
+    sizes = moments.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("count").alias("_n"))
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])
+    placed = running.join(sizes, same)
+    at = {q: (F.col("_n") - 1) * q for q in (0.25, 0.5, 0.75)}
+    edge = lambda h: F.min(F.when(F.col("_upto") > h, F.col("_value")))
+    marks = placed.groupBy(*group).agg(*[x for q, h in at.items() for x in (
+        edge(F.floor(h)).alias(f"_lo{q}"), edge(F.ceil(h)).alias(f"_hi{q}"))])
+    marks = marks.select(*[F.col(g).alias(f"_g_{g}") for g in group], *[F.col(f"`{m}{q}`").alias(f"{m}_{i}")
+                                                                       for i, q in enumerate(at) for m in ("_lo", "_hi")])
+    joined = moments.join(marks, same, "left")
+    out = {}
+    for i, q in enumerate(at):
+        h = (F.col("count") - 1) * q
+        out[("q25", "q50", "q75")[i]] = F.col(f"_lo_{i}") + (h - F.floor(h)) * (F.col(f"_hi_{i}") - F.col(f"_lo_{i}"))
+    return joined.withColumns(out).select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def labels_over(scores: Column, threshold: float = 0.8) -> Column:

@@ -1,18 +1,25 @@
 """Keyed tables kept as Parquet: latest-wins upserts that rewrite only what changed.
 
 Rows live in hash buckets of the key (a partition column). An upsert or delete
-reads and replaces just the buckets its keys fall in, through dynamic
-partition overwrite, so the cost follows the update and not the table.
+reads and replaces just the buckets its keys fall in, in one dynamic partition
+overwrite. A few keys touch a few buckets; an update of more keys than buckets
+rewrites the table, so choose ``buckets`` with the size of the table (about one
+for each gigabyte). Updates are written once to the shared checkpoint folder and
+read from there: whatever made them runs once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.operators.evaluate import keep_last
+from concordat.session import ensure_checkpoint_dir
 
-BUCKET = "_bucket"
+BUCKET = "key_bucket"
 
 
 def bucket_of(key: Column | str, buckets: int) -> Column:
@@ -49,37 +56,42 @@ def create_if_absent(spark: SparkSession, path: str, schema: str, *, recreate: b
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+    try:
+        spark.read.schema(f"{BUCKET} int").parquet(path).limit(0).count()
+    except AnalysisException:
+        return False
+    return True
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, {BUCKET} int").parquet(path).drop(BUCKET)
+    """Rows of the table. Every written bucket holds one row without values, so that it can be emptied in the same
+    commit that fills others; it is left out here."""
+    rows = spark.read.schema(f"{schema}, {BUCKET} int").parquet(path).drop(BUCKET)
+    return rows.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in rows.columns]))
+
+
+def once(df: DataFrame) -> DataFrame:
+    """The frame, evaluated now and only now."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def _rewrite(spark: SparkSession, path: str, schema: str, keys: DataFrame, key: str, buckets: int, change) -> None:
     touched = [r[0] for r in keys.select(bucket_of(key, buckets)).distinct().collect()]  # at most ``buckets`` numbers
     if not touched:
         return
-    current = spark.read.schema(f"{schema}, {BUCKET} int").parquet(path).filter(F.col(BUCKET).isin(touched))
-    result = change(current.drop(BUCKET)).withColumn(BUCKET, bucket_of(key, buckets))
-    emptied = _emptied_buckets(result, touched)
-    result.repartition(len(touched), BUCKET, F.pmod(F.hash(key), F.lit(8))).write.mode("overwrite").option(
+    inside = bucket_of(key, buckets).isin(touched)
+    current = spark.read.schema(f"{schema}, {BUCKET} int").parquet(path).filter(F.col(BUCKET).isin(touched) & F.col(key).isNotNull())
+    result = change(current.drop(BUCKET)).withColumn(BUCKET, bucket_of(key, buckets)).filter(inside)
+    empty = spark.createDataFrame([(b,) for b in touched], f"{BUCKET} int")
+    # Write tasks by bytes: large buckets are split, small ones share a task.
+    result.unionByName(empty, allowMissingColumns=True).hint("rebalance", BUCKET).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-    # Dynamic overwrite leaves a partition alone when no row falls in it.
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for number in emptied:
-        fs.delete(fs_path(f"{path}/{BUCKET}={number}"), True)
-
-
-def _emptied_buckets(result: DataFrame, touched: list[int]) -> list[int]:
-    filled = {r[0] for r in result.select(BUCKET).distinct().collect()}
-    return [b for b in touched if b not in filled]
 
 
 def upsert(spark: SparkSession, path: str, schema: str, updates: DataFrame, key: str, order: str, *,
            only: list[str] | None = None, buckets: int = 64) -> None:
+    updates = once(updates.filter(F.col(key).isNotNull()))
     _rewrite(spark, path, schema, updates, key, buckets,
              lambda current: merge_latest(current, updates, key, order, only=only))
 
@@ -92,7 +104,7 @@ def delete(spark: SparkSession, path: str, schema: str, keys: DataFrame, key: st
     column = match or key
     wanted = keys.select(F.col(keys.columns[0]).alias(column)).distinct()
     current = read_table(spark, path, schema)
-    doomed = current.join(wanted, column, "left_semi")
+    doomed = once(current.join(wanted, column, "left_semi"))
     removed = doomed.count()
     if removed:
         _rewrite(spark, path, schema, doomed.select(key), key, buckets,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions import taxa
+from concordat.functions.arrays import null_if_empty
 from concordat.operators.evaluate import Aligned, EvalConfig, FieldStrategy, align
 from concordat.session import broadcast_if_small
 
@@ -16,7 +20,11 @@ TAXONOMY_STRATEGIES = {
     "species_richness_group_keys": FieldStrategy(),
     "taxon_broad_group_labels": FieldStrategy(),
     "gbif_keys": FieldStrategy(),
+    "species_stripped_richness": FieldStrategy("enhanced_species", 70),
+    "gbif_key_stripped_richness": FieldStrategy(),
 }
+# Views that only compare where something is left: of the truth, or of both sides.
+GATED = {"species_stripped_richness": "t", "gbif_key_stripped_richness": "tp"}
 BACKBONE_COLUMNS = ("name", "usage_key", "scientific_name", "canonical_name", "rank", "confidence", "match_type",
                     "kingdom", "phylum", "class", "order", "family", "genus")
 
@@ -35,7 +43,7 @@ def acceptable_matches(backbone: DataFrame, *, confidence_threshold: int = 80, a
 
 
 def resolve_taxa(records: DataFrame, key: str, backbone: DataFrame, *, species: str = "species",
-                 confidence_threshold: int = 80, accept_higherrank: bool = True) -> DataFrame:
+                 confidence_threshold: int = 80, accept_higherrank: bool = True, keep: list[str] | None = None) -> DataFrame:
     """One row per listed name with its first acceptable backbone match.
 
     Candidates are the scientific name, then the vernacular, then (only when
@@ -46,7 +54,8 @@ def resolve_taxa(records: DataFrame, key: str, backbone: DataFrame, *, species:
     """
     matches = acceptable_matches(backbone, confidence_threshold=confidence_threshold,
                                  accept_higherrank=accept_higherrank)
-    listed = records.select(key, F.posexplode(species).alias("pos", "original")).filter("original IS NOT NULL")
+    keep = keep or []
+    listed = records.select(key, *keep, F.posexplode(species).alias("pos", "original")).filter("original IS NOT NULL")
     distinct = listed.select("original").distinct().withColumn("parsed", taxa.parse_taxon("original"))
     p = F.col("parsed")
     sci, ver = F.nullif(p["scientific"], F.lit("")), F.nullif(p["vernacular"], F.lit(""))
@@ -59,14 +68,16 @@ def resolve_taxa(records: DataFrame, key: str, backbone: DataFrame, *, species:
     first = F.when(F.col("usage_key").isNotNull(), F.col("try"))
     resolved = hits.groupBy("original").agg(
         F.first("parsed").alias("parsed"), F.min_by(F.when(first.isNotNull(), taxon), first).alias("taxon"))
-    return listed.join(resolved, "original", "left").select(key, "pos", "original", "parsed", "taxon")
+    return listed.join(resolved, "original", "left").select(key, *keep, "pos", "original", "parsed", "taxon")
 
 
 def enrich(records: DataFrame, key: str, backbone: DataFrame | None = None, *, species: str = "species",
            confidence_threshold: int = 80, accept_higherrank: bool = True) -> DataFrame:
-    """Add parsed names, richness mentions, counts, group keys, group labels and backbone keys.
+    """Add parsed names, richness mentions, counts, group keys, group labels, backbone keys, and the names left
+    without numbered parts with their keys.
 
-    Columns already present are kept where they are not NULL.
+    Names and what is left of them are resolved in one pass. Columns already
+    present are kept where they are not NULL.
     """
     given = set(records.columns)
     staged = records.withColumns({"_parsed": taxa.parsed_taxa(species), "_mentions": taxa.richness_mentions(species)})
@@ -77,26 +88,47 @@ def enrich(records: DataFrame, key: str, backbone: DataFrame | None = None, *, s
         "species_richness_group_keys": taxa.richness_group_keys(F.col("_mentions")),
         "taxon_broad_group_labels": taxa.group_labels(F.col("_parsed"), F.col("_mentions")),
         "gbif_keys": F.lit(None).cast("array<bigint>"),
+        "species_stripped_richness": taxa.stripped_names(species),
+        "gbif_key_stripped_richness": F.lit(None).cast("array<bigint>"),
     }
     if backbone is not None:
-        resolved = resolve_taxa(records, key, backbone, species=species, confidence_threshold=confidence_threshold,
-                                accept_higherrank=accept_higherrank)
+        names = F.coalesce(F.col(species), F.array().cast("array<string>"))
+        rest = F.coalesce(taxa.stripped_names(species), F.array().cast("array<string>"))
+        both = records.select(key, F.size(names).alias("_own"), F.concat(names, rest).alias("_names"))
+        resolved = resolve_taxa(both, key, backbone, species="_names", confidence_threshold=confidence_threshold,
+                                accept_higherrank=accept_higherrank, keep=["_own"])
+        own = F.col("pos") < F.col("_own")
         label = taxa.rank_group_label(F.col("taxon.family"), F.col("taxon.order"), F.col("taxon.class"),
                                       F.col("taxon.phylum"))
         per_record = resolved.filter("taxon IS NOT NULL").groupBy(key).agg(
-            F.array_sort(F.collect_set("taxon.usage_key")).alias("_keys"), F.collect_set(label).alias("_labels"))
+            null_if_empty(F.array_sort(F.collect_set(F.when(own, F.col("taxon.usage_key"))))).alias("_keys"),
+            null_if_empty(F.array_sort(F.collect_set(F.when(~own, F.col("taxon.usage_key"))))).alias("_rest_keys"),
+            F.collect_set(F.when(own, label)).alias("_labels"))
         staged = staged.join(per_record, key, "left")
         own = F.coalesce(derived["taxon_broad_group_labels"], F.array().cast("array<string>"))
         labels = F.array_sort(F.array_union(own, F.coalesce("_labels", F.array().cast("array<string>"))))
         derived["taxon_broad_group_labels"] = F.when(F.size(labels) > 0, labels)
         derived["gbif_keys"] = F.col("_keys")
+        derived["gbif_key_stripped_richness"] = F.col("_rest_keys")
     final = {name: F.coalesce(F.col(name), value) if name in given else value for name, value in derived.items()}
-    return staged.withColumns(final).drop("_parsed", "_mentions", "_keys", "_labels")
+    return staged.withColumns(final).drop("_parsed", "_mentions", "_keys", "_rest_keys", "_labels")
 
 
 def evaluate_taxonomy(truth: DataFrame, pred: DataFrame, key: str, backbone: DataFrame | None = None, *,
                       fields: list[str] | None = None, config: EvalConfig | None = None) -> Aligned:
-    """Enrich both sides and compare the taxonomy fields."""
+    """Enrich both sides and compare the taxonomy fields.
+
+    A gated view counts nothing where its side has nothing left, and never as
+    an error.
+    """
     names = fields or list(TAXONOMY_STRATEGIES)
     config = config or EvalConfig(field_strategies={n: s for n, s in TAXONOMY_STRATEGIES.items() if n in names})
-    return align(enrich(truth, key, backbone), enrich(pred, key, backbone), key, fields=names, config=config)
+    aligned = align(enrich(truth, key, backbone), enrich(pred, key, backbone), key, fields=names, config=config)
+    wide = aligned.wide
+    for name, sides in GATED.items():
+        if name in aligned.fields:
+            there = reduce(lambda a, b: a & b, [F.col(f"{s}_{name}").isNotNull() for s in sides])
+            kind = wide.schema[f"c_{name}"].dataType
+            nothing = F.struct(*[(F.lit(True) if f.name == "match" else F.lit(0)).cast(f.dataType).alias(f.name) for f in kind])
+            wide = wide.withColumn(f"c_{name}", F.when(there, F.col(f"c_{name}")).otherwise(nothing))
+    return replace(aligned, wide=wide)

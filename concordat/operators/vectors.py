@@ -19,37 +19,50 @@ def point_id(chunk_id: Column | str) -> Column:
     return F.conv(F.substring(F.md5(c.cast("string")), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def similarity(vector: Column | str, query: list[float], distance: str = "cosine") -> Column:
-    """Similarity of every row's vector to one query, by Arrow batches.
+DISTANCES = ("cosine", "dot", "euclid")
+
+
+def similarities(vector: Column | str, query: list[float], distances: tuple[str, ...] = DISTANCES) -> Column:
+    """Struct of every row's similarities to one query, in one pass over the Arrow batches.
 
     A batch's vectors are one contiguous buffer, so this is one matrix-vector
     product per batch instead of interpreted lambdas per component. ``euclid``
-    returns the negated distance, so that larger is nearer in all cases.
+    is the negated distance, so that larger is nearer in all cases. Vectors of
+    another length, and zero vectors for the cosine, give NULL.
     """
-    if distance not in ("cosine", "dot", "euclid"):
-        raise ValueError(f"unknown distance {distance!r}")
+    if unknown := set(distances) - set(DISTANCES):
+        raise ValueError(f"unknown distance {sorted(unknown)}")
     q = np.asarray(query, dtype=np.float64)
 
-    @F.arrow_udf(T.DoubleType())
+    @F.arrow_udf(T.StructType([T.StructField(d, T.DoubleType()) for d in distances]))
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = np.full(len(batch), np.nan)
             valid = np.asarray(batch.is_valid()) & (np.asarray(batch.value_lengths().fill_null(0)) == len(q))
             rows = batch.filter(pa.array(valid))
-            if len(rows):
-                matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), len(q))
-                dots = matrix @ q
-                if distance == "cosine":
-                    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * np.sqrt(q @ q)
-                    dots = np.divide(dots, norms, out=np.full(len(rows), np.nan), where=norms > 0)
-                elif distance == "euclid":
-                    dots = -np.sqrt(((matrix - q) ** 2).sum(axis=1))
-                out[valid] = dots
-            yield pa.array(out, from_pandas=True)
+            matrix = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), len(q))
+            dots, found = matrix @ q, {}
+            if "dot" in distances:
+                found["dot"] = dots
+            if "cosine" in distances:
+                norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix)) * np.sqrt(q @ q)
+                found["cosine"] = np.divide(dots, norms, out=np.full(len(rows), np.nan), where=norms > 0)
+            if "euclid" in distances:
+                found["euclid"] = -np.sqrt(((matrix - q) ** 2).sum(axis=1))
+            out = []
+            for d in distances:
+                column = np.full(len(batch), np.nan)
+                column[valid] = found[d]
+                out.append(pa.array(column, from_pandas=True))
+            yield pa.StructArray.from_arrays(out, names=list(distances))
 
     return score(F.col(vector) if isinstance(vector, str) else vector)
 
 
+def similarity(vector: Column | str, query: list[float], distance: str = "cosine") -> Column:
+    """One similarity of every row's vector to one query."""
+    return similarities(vector, query, (distance,))[distance]
+
+
 def metadata_filter(*, exclude_references: bool = True, doi: str | None = None,
                     years: tuple[int, int] | None = None, section_types: list[str] | None = None,
                     author_orcid: str | None = None) -> Column:
@@ -76,11 +89,15 @@ def search(vectors: DataFrame, query: list[float], *, vector: str = "embedding",
     TakeOrderedAndProject: each task keeps ``limit`` rows, nothing is shuffled.
     """
     rows = vectors.filter(where) if where is not None else vectors
-    scored = rows.withColumn("score", similarity(vector, query, distance)).drop(vector)
-    return scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), id_column).limit(limit)
+    # The lengths are checked on the column itself: a filter on the score would be pushed below the
+    # projection and score every vector again. Vectors without a direction sort last, and go afterwards.
+    fit = rows.filter(F.col(vector).isNotNull() & (F.size(vector) == len(query)))
+    best = fit.withColumn("score", similarity(vector, query, distance)).drop(vector).orderBy(
+        F.desc_nulls_last("score"), id_column).limit(limit)
+    return best.filter(F.col("score").isNotNull())
 
 
-def scroll(rows: DataFrame, *, limit: int, section_type: str | None = None, title_contains: str | None = None,
+def scroll(rows: DataFrame, *, limit: int | None = None, section_type: str | None = None, title_contains: str | None = None,
            flag: str | None = None) -> DataFrame:
     """Metadata-only listing, no vector involved."""
     if section_type is not None:
@@ -89,7 +106,7 @@ def scroll(rows: DataFrame, *, limit: int, section_type: str | None = None, titl
         rows = rows.filter(F.lower("section_title").contains(title_contains.lower()))
     if flag is not None:
         rows = rows.filter(F.col(flag))
-    return rows.limit(limit)
+    return rows if limit is None else rows.limit(limit)
 
 
 def collection_stats(vectors: DataFrame, name: str, vector: str = "embedding") -> DataFrame:

@@ -28,12 +28,17 @@ CONFIG = ev.EvalConfig(field_strategies={f: ev.FieldStrategy() for f in FIELDS})
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """``terms`` holds the long words of the whole text; NULL for a text with none."""
-    def with_terms(df: DataFrame, low: int, high: int) -> DataFrame:
+    """``terms`` holds the long words of the whole text; NULL for a text with none.
+
+    They are taken from the documents before any join, so no text is shuffled.
+    """
+    def with_terms(low: int, high: int) -> dict[str, DataFrame]:
         terms = F.filter(words("text"), lambda w: F.length(w).between(low, high))
-        return df.withColumn("terms", F.when(F.size(terms) > 0, terms)).drop("text")
+        docs = table(spark, sf, "documents").withColumn("terms", F.when(F.size(terms) > 0, terms))
+        return {"documents": docs.select("doc_id", "source", "lang", "n_chars", "terms")}
 
-    return with_terms(derived(spark, sf, TRUTH), 10, 14), with_terms(derived(spark, sf, PRED), 9, 12)
+    return (derived(spark, sf, TRUTH.replace("d.text", "d.terms"), with_terms(10, 14)),
+            derived(spark, sf, PRED.replace("d.text", "d.terms"), with_terms(9, 12)))
 
 
 def _aligned(spark: SparkSession, sf: str, **options) -> ev.Aligned:
@@ -130,7 +135,7 @@ def eval_best_worst(spark, sf):
 
 
 def eval_errors_for_field(spark, sf):
-    return ev.errors_for_field(ev.field_results(_aligned(spark, sf)), "size_class")
+    return ev.errors_for_field(ev.field_results(_aligned(spark, sf, fields=["size_class"])), "size_class")
 
 
 def eval_duplicates_last_wins(spark, sf):

@@ -34,7 +34,7 @@ def _pdfs(spark, sf):
 
 
 def _manifest(spark, sf):
-    return mf.build(derived(spark, sf, SHEET), ev.keep_last(_pdfs(spark, sf), "record_id", "ord"), raw=derived(spark, sf, RAW))
+    return mf.build(derived(spark, sf, SHEET), _pdfs(spark, sf), raw=derived(spark, sf, RAW), order="ord")
 
 
 def manifest_build(spark, sf):
@@ -113,11 +113,12 @@ def catalogue_lookup(spark, sf):
     """Requested DOIs against a staged catalogue, by normalised DOI."""
     requests = derived(spark, sf, SHEET).select("id", F.col("cited_article_doi").alias("doi"))
     works = table(spark, sf, "customer").select(F.concat(F.lit("https://doi.org/10.1111/mec."), "c_custkey").alias("doi"), "c_name")
+    works = works.unionByName(works.select("doi", F.concat(F.lit("later "), "c_name").alias("c_name")))  # every DOI twice
     return staged.lookup_by_doi(requests, works).select("id", "found_c_name")
 
 
 def citation_edges(spark, sf):
-    """Orders as edges customer -> part: who cites part 7, and what customer 7 refers to."""
+    """Line items as edges supplier -> part: who cites part 7, and what supplier 7 refers to."""
     edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("citing"), F.col("l_partkey").cast("string").alias("cited"))
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("paper_id"), F.col("s_name").alias("name"))
     parts = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("paper_id"), F.col("p_name").alias("name"))
@@ -153,8 +154,8 @@ def delete_cascade(spark, sf):
     chunks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("work_id"), "l_linenumber")
     doomed = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("work_id"))
     kept_docs, kept_chunks = rg.cascade(docs, chunks, doomed)
-    return kept_docs.agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("documents")).unionByName(
-        kept_chunks.agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("chunks")))
+    return kept_docs.select(F.lit("documents").alias("name"), F.col("work_id").cast("bigint").alias("work_id"), F.lit(0).alias("part")).unionByName(
+        kept_chunks.select(F.lit("chunks").alias("name"), F.col("work_id").cast("bigint").alias("work_id"), F.col("l_linenumber").alias("part")))
 
 
 def pending_documents(spark, sf):
@@ -418,8 +419,8 @@ ORACLE = {
     "upsert_latest": _LATEST + " SELECT * FROM upd UNION ALL SELECT * FROM cur WHERE work_id NOT IN (SELECT work_id FROM upd)",
     "upsert_two_columns": _LATEST + """ SELECT coalesce(c.work_id, u.work_id) AS work_id, coalesce(u.status, c.status) AS status, CASE WHEN c.work_id IS NULL THEN u.note ELSE c.note END AS note,
       coalesce(u.ord, c.ord) AS ord FROM cur c FULL JOIN upd u ON c.work_id = u.work_id""",
-    "delete_cascade": """SELECT 'documents' AS name, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL
-      SELECT 'chunks', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
+    "delete_cascade": _LATEST + """ SELECT 'documents' AS name, CAST(work_id AS BIGINT) AS work_id, 0 AS part FROM cur WHERE work_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL
+      SELECT 'chunks', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
     "pending_documents": _LATEST + " SELECT work_id FROM cur WHERE work_id NOT IN (SELECT work_id FROM upd WHERE status = 'INDEXED')",
     "sha_collisions": """SELECT sha256(text) AS pdf_sha256, count(*) AS n, min(doc_id) AS first_work_id, max(doc_id) AS last_work_id FROM documents GROUP BY 1 HAVING count(*) > 1""",
     "embedding_cache_diff": """SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha256(text) AS text_hash,

@@ -26,7 +26,7 @@ def score_stability(spark, sf):
 
 
 def score_stability_p(spark, sf):
-    """With the KS p-value (no SQL form): significant groups per event type."""
+    """With the asymptotic KS p-value: significant groups per event type."""
     out = st.score_stability(_scores(spark, sf), ["user_id", "event_type"], "score", with_p_value=True)
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("ks_p_value") <= st.KS_LIMIT).alias("deterministic"))
 
@@ -58,10 +58,9 @@ def score_describe(spark, sf):
 
 def labels_over_threshold(spark, sf):
     """Categories with a score of at least 0.8, per user."""
-    best = _scores(spark, sf).groupBy("user_id").agg(F.map_from_entries(F.collect_set(F.struct("event_type", F.lit(0.0)))).alias("seen"))
     top = _scores(spark, sf).groupBy("user_id", "event_type").agg(F.max("score").alias("m")).groupBy("user_id").agg(
         F.map_from_entries(F.collect_list(F.struct("event_type", "m"))).alias("scores"))  # at most one entry per event type
-    return top.join(best.select("user_id"), "user_id").select("user_id", F.array_join(st.labels_over(F.col("scores")), ",").alias("labels"))
+    return top.select("user_id", F.array_join(st.labels_over(F.col("scores")), ",").alias("labels"))
 
 
 _S = f"WITH s AS ({plain(SCORES)})"
@@ -76,6 +75,11 @@ ORACLE = {
       g AS (SELECT user_id, event_type, count(*) AS n, avg(score) AS average, stddev_samp(score) AS std, max(greatest(i / n - score, score - (i - 1) / n)) AS ks_d FROM r GROUP BY 1, 2)
       SELECT user_id, event_type, n, round(average + 1e-9, 6) AS average, round(std + 1e-9, 6) AS std, round(ks_d + 1e-9, 6) AS ks_d, round(average - 2.262 * std / sqrt(n) + 1e-9, 6) AS ci_lower_95,
       round(average + 2.262 * std / sqrt(n) + 1e-9, 6) AS ci_upper_95 FROM g""",
+    "score_stability_p": _S + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY score) AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM s),
+      g AS (SELECT user_id, event_type, count(*) AS n, max(greatest(i / n - score, score - (i - 1) / n)) AS d FROM r GROUP BY 1, 2),
+      l AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS lam FROM g),
+      p AS (SELECT user_id, l.event_type, any_value(d) AS d, greatest(0.0, least(1.0, 2 * sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * lam * lam)))) AS p FROM l, range(1, 101) t(j) GROUP BY 1, 2)
+      SELECT event_type, count(*) AS groups, count(*) FILTER (CASE WHEN d <= 0 THEN 1.0 WHEN d >= 1 THEN 0.0 ELSE p END <= 0.05) AS deterministic FROM p GROUP BY 1""",
     "confidence_curve": _S + """, a AS (SELECT event_type, avg(score) AS m FROM s GROUP BY 1), f AS (SELECT event_id, score, hallucinated, abs(score - m) <= 0.15 AS hit FROM s JOIN a USING (event_type)),
       c AS (SELECT event_id, count(*) OVER w AS rows_so_far, count(*) FILTER (hit) OVER w AS hits_so_far, count(*) FILTER (NOT hallucinated) OVER w AS mr,
         count(*) FILTER (NOT hallucinated AND hit) OVER w AS mh FROM f WINDOW w AS (ORDER BY score DESC, event_id ROWS UNBOUNDED PRECEDING))

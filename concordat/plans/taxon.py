@@ -167,7 +167,7 @@ def taxonomy_eval_derived(spark, sf):
     n = derived(spark, sf, NAMES)
     pred = n.select("p_partkey", F.array(F.concat(F.col("p_size").cast("string"), F.lit(" "), "p_name", F.lit(" species")),
                                          "sci").alias("species"))
-    fields = [f for f in tx.TAXONOMY_STRATEGIES if f != "species"]
+    fields = ["species_richness_counts", "species_richness_group_keys", "taxon_broad_group_labels", "gbif_keys"]
     aligned = tx.evaluate_taxonomy(_species_by_part(spark, sf), pred, "p_partkey", _backbone(spark, sf), fields=fields)
     return ev.field_metrics(aligned).select("field", "tp", "fp", "fn", "tn", "n", "exact_matches")
 

@@ -19,12 +19,12 @@ from concordat.sources import readers, tei
 
 HEADINGS = """SELECT page_id, CASE page_id % 16 WHEN 0 THEN '1. Introduction' WHEN 1 THEN '2.1 Materials and Methods' WHEN 2 THEN 'IV. Results' WHEN 3 THEN ' Results & Discussion '
   WHEN 4 THEN '(a) Study area' WHEN 5 THEN 'Mix design' WHEN 6 THEN 'Appendix A: Supplementary Methods' WHEN 7 THEN 'Acknowledgements' WHEN 8 THEN 'Data availability statement'
-  WHEN 9 THEN 'Literature cited' WHEN 10 THEN 'A. Conclusions' WHEN 11 THEN 'Résumé' WHEN 12 THEN 'Future directions' WHEN 13 THEN substr(html, strpos(html, '<h1>') + 4, 40)
+  WHEN 9 THEN 'Literature cited' WHEN 10 THEN 'A. Conclusions' WHEN 11 THEN 'Résumé' WHEN 12 THEN 'Future directions' WHEN 13 THEN split_part(split_part(html, '<h1>', 2), '</h1>', 1)
   WHEN 14 THEN 'DATA COLLECTION*' ELSE url END AS heading FROM {pages}"""
 
 
 def _headings(spark, sf):
-    return derived(spark, sf, HEADINGS.replace("strpos(html, '<h1>')", "locate('<h1>', html)"))
+    return derived(spark, sf, HEADINGS)
 
 
 def heading_classify(spark, sf):
@@ -57,11 +57,16 @@ def markup_clean(spark, sf):
 TITLES = ("Introduction", "2. Materials and Methods", "Study area", "Results", "Field notes", "Discussion", "References", "Methods of sampling")
 
 
+def _tail(column):
+    """All elements but the first."""
+    return F.slice(column, F.lit(2), F.greatest(F.size(column) - 1, F.lit(0)))
+
+
 def _documents(spark, sf):
     titles = F.array(*[F.lit(t) for t in TITLES])
     docs = table(spark, sf, "documents").select(F.concat(F.lit("W"), "doc_id").alias("work_id"), "lang", F.split("text", "\n").alias("p"))
     title = lambda i: F.element_at(titles, (i % len(TITLES)) + 1)
-    sections = F.transform(F.slice("p", 2, 100000), lambda t, i: F.struct(
+    sections = F.transform(_tail("p"), lambda t, i: F.struct(
         F.concat(F.col("work_id"), F.lit("_sec_"), (i + 1).cast("string")).alias("section_id"), title(i).alias("title"),
         F.when(i % 3 == 0, 1).otherwise(2).alias("level"), F.lit("").alias("path"), t.alias("text"),
         F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end")))
@@ -126,7 +131,7 @@ def _escape(c):
 def tei_sections(spark, sf):
     """Documents written as TEI and read back: two nested levels, pages from coordinates."""
     docs = table(spark, sf, "documents").select(F.concat(F.lit("W"), "doc_id").alias("work_id"), "doc_id", "lang", "source", F.split("text", "\n").alias("p"))
-    inner = F.array_join(F.transform(F.slice("p", 2, 100000), lambda t, i: F.concat(
+    inner = F.array_join(F.transform(_tail("p"), lambda t, i: F.concat(
         F.lit('<div coords="'), (i + 2).cast("string"), F.lit(",1,1;"), (i + 3).cast("string"), F.lit(',2,2"><head>Part '), (i + 1).cast("string"),
         F.lit("</head><p>"), _escape(t), F.lit("</p></div>"))), "")
     xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), F.col("source"), F.lit(
@@ -148,7 +153,7 @@ CLAIMS = """SELECT doc_id, text, CASE lang WHEN 'en' THEN 'density' WHEN 'fr' TH
 
 
 def grounding_table(spark, sf):
-    """Claims against the whole text: the longest word as a found name, a made-up one, cue phrases."""
+    """Claims against the whole text: characters 3 to 11 as a name with a made-up one, cue phrases."""
     docs = derived(spark, sf, CLAIMS)
     listed = docs.select("doc_id", "text", F.array(F.concat(F.substring("text", 3, 9), F.lit(" zzqq"))).alias("gt_species"),
                          F.array(F.concat(F.lit(" "), F.substring("text", 3, 9), F.lit(" - ZZqq")), F.lit("Canis lupus")).alias("pred_species"),
@@ -194,7 +199,8 @@ def vector_topk_filtered(spark, sf):
 def vector_distances(spark, sf):
     """All three distances of every vector to one query."""
     q = _query_vector(spark, sf)
-    return table(spark, sf, "embeddings").select("vec_id", *[F.round(vx.similarity("embedding", q, d), 4).alias(d) for d in ("cosine", "dot", "euclid")])
+    scored = table(spark, sf, "embeddings").select("vec_id", vx.similarities("embedding", q).alias("s"))
+    return scored.select("vec_id", *[F.round(F.col("s")[d], 4).alias(d) for d in vx.DISTANCES])
 
 
 def vector_stats(spark, sf):
@@ -255,9 +261,9 @@ def jsonl_props_extract(spark, sf):
 
 
 def metadata_scroll(spark, sf):
-    """Metadata-only listing (whole listing: the limit is above the row count)."""
+    """Metadata-only listing, the whole of it."""
     rows = _chunks(spark, sf).select("work_id", "section_title", "section_type", "has_equation")
-    return vx.scroll(rows, limit=10 ** 9, section_type="METHODS", title_contains="materials").groupBy("section_title").agg(F.count(F.lit(1)).alias("n"))
+    return vx.scroll(rows, section_type="METHODS", title_contains="materials").groupBy("section_title").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -56,21 +56,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
 
 
-def spread(df: DataFrame, min_bytes: int = 512 * 1024) -> DataFrame:
-    """Use all cores for CPU-bound work on an input of a few small files.
-
-    A file with one row group is one task however many splits it is cut into.
-    Anything with at least as many files as cores, or more bytes than the
-    cores' default splits, is returned unchanged - as are tiny tables.
-    Round-robin, so a hot key does not matter.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if size < min_bytes or size >= cores * 128 * 1024 * 1024 or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for a plan (no job is run)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

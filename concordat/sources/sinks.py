@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.operators.evaluate import Aligned, field_metrics, field_results
+from concordat.operators.evaluate import Aligned, EvalConfig, field_metrics, field_results
 from concordat.operators.manifest import COLUMNS as MANIFEST_COLUMNS
 from concordat.operators.normalize import FEATURES, normalize_features
 from concordat.operators.runs import extraction_table
@@ -36,12 +37,17 @@ def write_evaluation(aligned: Aligned, path: str) -> None:
     field_results(aligned).write.mode("overwrite").json(f"{path}/field_results")
     field_metrics(aligned).write.mode("overwrite").json(f"{path}/field_metrics")
     spark = aligned.wide.sparkSession
-    spark.createDataFrame([(str(aligned.config.to_dict()),)], "config string").coalesce(1).write.mode(
+    spark.createDataFrame([(json.dumps(aligned.config.to_dict()),)], "config string").coalesce(1).write.mode(
         "overwrite").json(f"{path}/config")
 
 
-def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.json(f"{path}/field_results"), spark.read.json(f"{path}/field_metrics")
+def read_evaluation(spark: SparkSession, path: str, key: str = "record_id") -> tuple[DataFrame, DataFrame, EvalConfig]:
+    """Detail, metrics and configuration of a stored report."""
+    from concordat.sources.readers import FIELD_METRICS, FIELD_RESULT
+
+    config = spark.read.schema("config string").json(f"{path}/config").first()["config"]
+    return (spark.read.schema(FIELD_RESULT.replace("record_id", key, 1)).json(f"{path}/field_results"),
+            spark.read.schema(f"field string, {FIELD_METRICS}, accuracy_raw double, exact_match_rate double").json(f"{path}/field_metrics"), EvalConfig.from_dict(json.loads(config)))
 
 
 def write_ground_truth(sheet: DataFrame, path: str, subset: DataFrame | None = None) -> None:
@@ -70,11 +76,13 @@ def append_failures(df: DataFrame, path: str) -> None:
     df.select("doi", "title", "reason").write.mode("append").option("sep", "\t").csv(path)
 
 
-def to_markdown(df: DataFrame, limit: int = 1000) -> str:
-    """Pipe table of a report-sized frame (at most ``limit`` rows are fetched)."""
-    rows = df.limit(limit).collect()
-    lines = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
-    return "\n".join(lines + ["| " + " | ".join(str(v) for v in row) + " |" for row in rows])
+def write_markdown(df: DataFrame, path: str) -> None:
+    """All rows as lines of a pipe table, written by the tasks; the head is a file of its own that sorts first."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("None")), F.lit("|"), F.lit("\\|"))
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")
+    head = df.sparkSession.createDataFrame([("| " + " | ".join(x) + " |",) for x in (df.columns, ["---"] * len(df.columns))], "value string")
+    head.coalesce(1).write.mode("overwrite").text(f"{path}/part=0")
+    df.select(line([cell(c) for c in df.columns])).write.mode("overwrite").text(f"{path}/part=1")
 
 
 def run_path(name: str | None, output: str | None, root: str = "artifacts/runs", now: datetime | None = None) -> str:
@@ -83,24 +91,3 @@ def run_path(name: str | None, output: str | None, root: str = "artifacts/runs",
         return output
     stamp = (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
     return str(Path(root) / f"{stamp}_{name or 'run'}.json")
-
-
-def notes_header(run: str, meta: dict) -> str:
-    """Markdown header of a run's notes file."""
-    cost = meta.get("cost_usd")
-    shown = f"${cost:.4f}" if cost is not None else "-"
-    head = (f"# Notes - {run}\n\n**Prompt:** `{meta.get('prompt_module') or 'custom'}` | **Model:** "
-            f"{meta.get('model', '-')} | **Reasoning:** {meta.get('reasoning_effort') or '-'} | **Cost:** {shown} | "
-            f"**Timestamp:** {meta.get('created_at') or '-'}\n")
-    if meta.get("description"):
-        head += f"\n**Description:** {meta['description']}\n"
-    return head + "\n---\n\n"
-
-
-def ensure_notes(run_file: str, meta: dict) -> Path:
-    """Notes file next to a run; an existing one is left as it is."""
-    path = Path(run_file).with_name(f"{Path(run_file).stem}_notes.md")
-    if not path.exists():
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(notes_header(Path(run_file).name, meta), encoding="utf-8")
-    return path

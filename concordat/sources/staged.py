@@ -67,11 +67,18 @@ def search_works(works: DataFrame, *, ror_id: str | None = None, year: int | Non
 
 def lookup_by_doi(requests: DataFrame, catalogue: DataFrame, *, request_doi: str = "doi",
                   catalogue_doi: str = "doi", prefix: str = "found_") -> DataFrame:
-    """Left join on the normalised DOI; unknown DOIs keep NULL columns."""
-    other = catalogue.select(doi.normalize_or_null(catalogue_doi).alias("_key"),
-                             *[F.col(c).alias(f"{prefix}{c}") for c in catalogue.columns])
-    keyed = requests.withColumn("_key", doi.normalize_or_null(request_doi))
-    return keyed.join(broadcast_if_small(other), "_key", "left").drop("_key")
+    """Left join on the normalised DOI; unknown DOIs keep NULL columns.
+
+    Of catalogue rows with one DOI the first in order of their columns counts,
+    so a request stays one row. Requests without a DOI join nothing and are
+    spread over a random key instead of meeting in one task.
+    """
+    other = catalogue.select(doi.normalize_or_null(catalogue_doi).alias("_key"), F.struct(*catalogue.columns).alias("_row"))
+    other = other.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_row").alias("_row"))
+    keyed = requests.withColumn("_doi", doi.normalize_or_null(request_doi))
+    keyed = keyed.withColumn("_key", F.coalesce("_doi", F.concat(F.lit("\x00"), F.rand(1).cast("string"))))
+    joined = keyed.join(broadcast_if_small(other), "_key", "left")
+    return joined.select(*requests.columns, *[F.col("_row")[c].alias(f"{prefix}{c}") for c in catalogue.columns])
 
 
 def title_search(requests: DataFrame, papers: DataFrame, *, key: str, title: str = "title") -> DataFrame:

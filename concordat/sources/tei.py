@@ -1,8 +1,8 @@
 """TEI XML documents to flat rows.
 
 The section tree nests to any depth, which no built-in reader can flatten with
-ids in reading order; one small Arrow UDF walks one document per row. Entities
-are not resolved.
+ids in reading order; one small Arrow UDF walks one document per row. Documents
+with a document type declaration are not parsed, so no entity is ever expanded.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ def _pages(coords: str | None) -> tuple[int | None, int | None]:
 
 def read_document(xml: str) -> dict:
     """Title, abstract, language, keywords and the pre-order list of sections."""
+    if "<!DOCTYPE" in xml:
+        raise ElementTree.ParseError("document type declarations are not accepted")
     root = ElementTree.fromstring(xml)
     find = lambda *path: root.find(".//" + "//".join(NS + p for p in path))
     title, abstract, terms = find("titleStmt", "title"), find("profileDesc", "abstract"), find("profileDesc", "keywords")
@@ -85,6 +87,10 @@ def _parse(xml: pa.Array) -> pa.Array:
     return pa.array(out, _ARROW_DOCUMENT)
 
 
+# Filters on the parsed fields must not be pushed below the parse: they would run it a second time.
+_parse = _parse.asNondeterministic()
+
+
 def parse_documents(df: DataFrame, xml: str, work_id: str = "work_id", *, parser_version: str = "grobid-0.8.0") -> DataFrame:
     """Parsed documents with flat sections: ids ``<work>_sec_<n>`` in reading order.
 

@@ -177,10 +177,14 @@ def test_rounding_matches_python(spark):
     assert got == [round(v, 4) for v in values]
 
 
-def test_ks_p_values():
+def test_ks_p_values(spark):
     # Checked against the exact two-sided distribution: P(D <= d) for n = 1 is 2d - 1 (d >= 1/2).
     for d in (0.5, 0.6, 0.75, 0.9):
-        assert stability._kolmogorov_p(1, d) == pytest.approx(1 - (2 * d - 1), abs=1e-12)
+        assert stability._exact_p(1, d) == pytest.approx(1 - (2 * d - 1), abs=1e-12)
     # n = 10, d = 0.409 is the tabulated 5 % point.
-    assert stability._kolmogorov_p(10, 0.40925) == pytest.approx(0.05, abs=2e-4)
-    assert stability._kolmogorov_p(1000, 0.0427) == pytest.approx(0.05, abs=2e-3)
+    assert stability._exact_p(10, 0.40925) == pytest.approx(0.05, abs=2e-4)
+    rows = spark.createDataFrame([(1000, 0.0427), (10, 0.40925), (5, 0.0), (5, 1.0), (None, 0.5)], "n int, d double")
+    got = [r.p for r in rows.select(stability.ks_p_value(F.col("n"), F.col("d")).alias("p")).collect()]
+    assert got[0] == pytest.approx(0.05, abs=2e-3) and got[1] == pytest.approx(0.05, abs=5e-3) and got[2:] == [1.0, 0.0, None]
+    exact = rows.limit(2).select(stability.ks_p_value(F.col("n"), F.col("d"), "exact").alias("p")).collect()
+    assert exact[1].p == pytest.approx(0.05, abs=2e-4)

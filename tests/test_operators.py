@@ -217,10 +217,21 @@ def test_manifest_round_trip_and_errors(spark, tmp_path):
     assert (rows[1].source_doi, rows[1].article_doi, rows[1].pdf_local_path, rows[1].is_oa) == ("10.5061/dryad.x", "10.1371/j", "data/pdfs/a/b.pdf", True)
     assert rows[2].source is None and rows[2].title == 'q"' and rows[2].pdf_local_path is None
     assert mf.pdf_coverage(built).first().no_pdf_path == 1
-    with pytest.raises(ValueError, match="Duplicate"):
-        mf.build(gt.union(gt), pdfs)
-    with pytest.raises(ValueError, match="not found"):
-        mf.build(gt, pdfs, subset=spark.createDataFrame([(9,)], "id int"))
+    with pytest.raises(Exception, match="id is not unique"):
+        mf.build(gt.union(gt), pdfs).collect()
+    nine = spark.createDataFrame([(9,), (1,)], "id int")
+    with pytest.raises(Exception, match="no record has the id 9"):
+        mf.build(gt, pdfs, subset=nine).collect()
+    assert [r.id for r in mf.unknown_ids(gt, nine, "id").collect()] == [9]
+    assert [r.gt_record_id for r in mf.build(gt, pdfs, subset=nine.filter("id = 1")).collect()] == [1]
+    with pytest.raises(Exception, match="no PDF path for record 2"):
+        mf.build(gt, pdfs, allow_missing_pdf=False).collect()
+    # Two downloads of a record: the last one in order counts; without an order they are an error.
+    twice = pdfs.withColumn("ord", F.lit(1)).unionByName(spark.createDataFrame(
+        [(1, "later.pdf", False, 2)], "record_id int, downloaded_pdf_path string, is_oa boolean, ord int"))
+    assert {r.gt_record_id: r.pdf_local_path for r in mf.build(gt, twice, order="ord").collect()} == {1: "data/pdfs/later.pdf", 2: None}
+    with pytest.raises(Exception, match="record_id is not unique"):
+        mf.build(gt, twice).collect()
     with pytest.raises(KeyError):
         mf.replace_pdf_path(built, 99, "x")
     assert mf.replace_pdf_path(built, 2, "p").filter("gt_record_id = 2").first().pdf_local_path == "p"
@@ -233,7 +244,8 @@ def test_validation_split(spark):
     errors = {(e.row_id, e.field): e for e in report.errors.collect()}
     assert set(errors) == {(2, "data_type.0"), (2, "spatial_range_km2")}
     assert errors[2, "data_type.0"].message.startswith("Input should be 'abundance'")
-    assert "Valid rows:   2 (66.7%)" in nz.summary_text(nz.validation_summary(report))
+    summary = {(r.section, r.name): r.n for r in nz.validation_summary(report).collect()}
+    assert summary["rows", "valid"] == 2 and summary["rows", "invalid"] == 1
 
 
 def test_run_isolation_and_artifacts(spark, tmp_path):
@@ -260,11 +272,13 @@ def test_evaluation_sink_keeps_all_counters(spark, tmp_path):
     df = spark.createDataFrame([("1", "a")], "rid string, v string")
     aligned = align(df, df, "rid", config=EvalConfig(field_strategies={"v": FieldStrategy()}))
     sinks.write_evaluation(aligned, str(tmp_path / "e"))
-    _, metrics = sinks.read_evaluation(spark, str(tmp_path / "e"))
-    assert metrics.first().exact_matches == 1
-    assert sinks.to_markdown(df) == "| rid | v |\n| --- | --- |\n| 1 | a |"
-    sinks.ensure_notes(str(tmp_path / "r.json"), {"model": "m", "cost_usd": 0.5})
-    assert "$0.5000" in (tmp_path / "r_notes.md").read_text()
+    results, metrics, config = sinks.read_evaluation(spark, str(tmp_path / "e"), "rid")
+    assert metrics.first().exact_matches == 1 and results.first().rid == "1" and config == aligned.config
+    many = spark.range(3000).selectExpr("id AS rid", "IF(id = 1, 'a|b', 'x') AS v")
+    sinks.write_markdown(many, str(tmp_path / "m"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "m" / "part=1")).collect()]
+    assert len(lines) == 3000 and "| 1 | a\\|b |" in lines
+    assert [r.value for r in spark.read.text(str(tmp_path / "m" / "part=0")).collect()] == ["| rid | v |", "| --- | --- |"]
 
 
 def test_grounding(spark):
