@@ -27,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -126,11 +127,13 @@ def _within(group: list[int], p: np.ndarray, pair: np.ndarray, corr: np.ndarray,
     return np.cumsum(agree[root] * state[root][0] + (1 - agree[root]) * state[root][1])
 
 
-def plan(counts: np.ndarray, n: int, radius: int, parts: tuple[int, ...] = (1, 2, 3, 4)) -> list[tuple[list[int], int]]:
+def plan(counts: np.ndarray, n: int, radius: int, parts: tuple[int, ...] = (1, 2, 3, 4),
+         row_cost: float = 4.0) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each probed group: the cheapest allocation over all numbers of groups in ``parts``.
 
-    The cost of a threshold is the signatures it writes plus the candidates it
-    is expected to bring; ``counts`` and ``n`` cover all fingerprints.
+    The cost of a threshold is the signatures it writes, ``row_cost`` each,
+    plus the candidates it is expected to bring; ``counts`` and ``n`` cover all
+    fingerprints.
     """
     p = np.diag(counts) / max(n, 1)
     both = counts / max(n, 1)
@@ -150,8 +153,8 @@ def plan(counts: np.ndarray, n: int, radius: int, parts: tuple[int, ...] = (1, 2
             step: dict[int, tuple[float, list[int]]] = {}
             for s, (cost, chosen) in least.items():
                 for t in range(-1, radius + 1):
-                    keys = sum(len(list(combinations(range(len(g)), k))) if k < 3 else 0 for k in range(t + 1))
-                    more = cost + (0 if t < 0 else n * (keys + (t > 0)) * 4 + n * n * c[t] / 2)
+                    keys = sum(comb(len(g), k) for k in range(t + 1))
+                    more = cost + (0 if t < 0 else n * (keys + (t > 0)) * row_cost + n * n * c[t] / 2)
                     if s + t not in step or more < step[s + t][0]:
                         step[s + t] = (more, [*chosen, t])
             least = step
@@ -161,7 +164,7 @@ def plan(counts: np.ndarray, n: int, radius: int, parts: tuple[int, ...] = (1, 2
     return best[1]
 
 
-def _signatures(fps: DataFrame, groups: list[tuple[list[int], int]], probe: bool) -> DataFrame:
+def _signatures(fps: DataFrame, groups: list[tuple[list[int], int]], probe: bool, *keep: str) -> DataFrame:
     """(part, key, fp): the fingerprint's bits in each group; for probes, also with up to t of them flipped."""
     rows = []
     for i, (bits, t) in enumerate(groups):
@@ -174,7 +177,7 @@ def _signatures(fps: DataFrame, groups: list[tuple[list[int], int]], probe: bool
         key = F.col("fp").bitwiseAND(F.lit(mask))
         keys = F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: key.bitwiseXOR(f))
         rows.append(F.transform(keys, lambda x, i=i: F.struct(F.lit(i).alias("part"), x.alias("key"))))
-    return fps.select("fp", F.explode(F.concat(*rows)).alias("_k")).select("_k.part", "_k.key", "fp")
+    return fps.select("fp", *keep, F.explode(F.concat(*rows)).alias("_k")).select("_k.part", "_k.key", "fp", *keep)
 
 
 def _far(a: Column, b: Column) -> Column:
@@ -226,13 +229,129 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hot: int
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the smallest id of its component.
+# ---- Groups by similarity --------------------------------------------------
+
+_POPCOUNT = np.bitwise_count
+
+
+def spanning(nodes: np.ndarray, fps: np.ndarray, radius: int, nearest: int = 4,
+             block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``radius`` that connect all such pairs of one bucket, nearest first, and a node's ``nearest``
+    pairs beside them: a small multiple of the nodes, however many pairs there are."""
+    label, degree = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+    left, right = [], []
+    step = max(1, block // max(len(fps), 1))
+    for at in range(0, len(fps), step):
+        far = _POPCOUNT(fps[at:at + step, None] ^ fps[None, :at + step])
+        i, j = np.nonzero(far <= radius)
+        i = i + at
+        keep = i > j
+        i, j, d = i[keep], j[keep], far[i[keep] - at, j[keep]]
+        for k in np.argsort(d, kind="stable"):
+            p, q = i[k], j[k]
+            x, y = label[p], label[q]
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+            elif degree[p] >= nearest and degree[q] >= nearest:
+                continue
+            degree[p] += 1
+            degree[q] += 1
+            left.append(nodes[p])
+            right.append(nodes[q])
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _bucket_pairs(keys: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of every bucket (part, key) of ``keys`` (part, key, node, fp), bucket by bucket in sorted partitions."""
+    def run(batches):
+        kept: list[np.ndarray] = []  # rows of the bucket that the last batch ended in
+
+        def pairs(rows: list[np.ndarray]):
+            _, _, node, fp = (np.concatenate(c) for c in zip(*rows))
+            one = np.unique(node, return_index=True)[1]  # a probe may meet its own signature
+            return spanning(node[one], fp[one].view(np.uint64), radius)
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
+        for batch in batches:
+            part, key, node, fp = (batch.column(n).to_numpy() for n in ("part", "key", "node", "fp"))
+            cut = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
+            found = []
+            for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(part)]])):
+                rows = (part[a:b], key[a:b], node[a:b], fp[a:b])
+                if kept and (kept[0][0][0] != part[a] or kept[0][1][0] != key[a]):
+                    found.append(pairs(kept))
+                    kept = []
+                kept.append(rows)
+            if found:
+                yield batch_of(found)
+        if kept:
+            yield batch_of([pairs(kept)])
+
+    ordered = keys.repartition("part", "key").sortWithinPartitions("part", "key")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """Distinct XXH64 of the word shingles, signed."""
+    words = text.lower().split()
+    if not words:
+        return []
+    grams = [words] if len(words) < shingle else zip(*(words[i:] for i in range(shingle)))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams], np.uint64)).view(np.int64).tolist()
+
+
+def sequence_hashes(texts: list[bytes]) -> pa.Array:
+    """XXH64 of each text's whole word sequence, signed."""
+    return pa.array(np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts],
+                             np.uint64).view(np.int64))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, search: int = 2,
+                   radius: int = 10) -> DataFrame:
+    """(doc_id, component_id) of every document: groups of texts whose ``shingle``-word sets have a Jaccard
+    similarity of at least ``similarity``, connected by such pairs.
+
+    Equal word sequences are one node. Fingerprints of ``search``-word shingles
+    lie closer together for near copies than those of longer ones; candidates
+    within ``radius`` bits come from the pigeonhole groups, bucket by bucket,
+    as few pairs for each of its nodes, and every pair is verified by its
+    exact similarity. A pair further apart than ``radius`` is not found.
+    """
+    keyed = map_texts(docs, "fp long, node long", lambda texts: {
+        "fp": pa.array(np.array([fingerprint(t, search) for t in texts], np.uint64).view(np.int64)),
+        "node": sequence_hashes(texts)})
+    keyed = pinned(keyed)
+    nodes = pinned(keyed.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first")))
+    # A signature is written, moved and sorted; a candidate is a few machine words compared in an array.
+    groups = plan(bit_counts(nodes), nodes.count(), radius, tuple(range(1, radius + 2)), row_cost=300.0)
+    # Probes hold each plain signature too, so one set of rows serves as index and probes.
+    keys = _signatures(nodes, groups, True, "node")
+    pairs = pinned(_bucket_pairs(keys, radius).distinct())
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes, "node").select(
+        "node", F.col("first").alias("doc_id"))
+    sets = map_texts(docs.select("doc_id", "text").join(wanted, "doc_id"), "hashes array<long>, own long", lambda texts: {
+        "hashes": pa.array([shingle_hashes(t, shingle) for t in texts], pa.list_(pa.int64())), "own": sequence_hashes(texts)},
+        keep=("node",))
+    # An id that several texts have brings them all; the node's own is the one wanted.
+    sets = sets.where("own = node").groupBy("node").agg(F.min("hashes").alias("hashes"))
+    a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    same = F.size(F.array_intersect("ha", "hb"))
+    real = pairs.join(a, "a").join(b, "b").where(same >= similarity * (F.size("ha") + F.size("hb") - same)).select("a", "b")
+    named = nodes.join(components(real), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return keyed.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, search: int = 2, radius: int = 10) -> DataFrame:
+    """``docs`` with one document of each group of similar texts: the smallest id of its component.
 
     Of rows that repeat such an id one stays, the first in order of text and
     source. Rows without an id can't be told apart and stay as they are.
     """
-    found = near_duplicates(docs, shingle, radius)
+    found = similar_groups(docs, similarity, shingle, search, radius)
     rows = found.where("doc_id is not null").groupBy("doc_id").agg(
         F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("head")).where("head")
     single, several = rows.where("n = 1"), rows.where("n > 1")
