@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from concordat.session import ensure_checkpoint_dir
 
 #: Text bytes that a Python task looks at together; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

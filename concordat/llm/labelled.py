@@ -36,7 +36,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable[[l
     rows = map_texts(texts, "features binary", lambda t: {
         "features": pa.array([x.tobytes() for x in features(t).astype(np.float32)], pa.binary())}, keep=("doc_id", "label"))
     got = rows.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toPandas().sort_values("doc_id")
-    x = np.array([np.frombuffer(b, np.float32) for b in got.pop("features")], np.float32) if len(got) else np.zeros((0, 0), np.float32)
+    raw = got.pop("features")
+    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).copy() if len(raw) else np.zeros((0, 0), np.float32)
     return x, got["label"].to_numpy(float), got["doc_id"].to_numpy()
 
 

@@ -68,7 +68,7 @@ def learn(x: np.ndarray, label: np.ndarray, steps: int = 150, decay: float = 1e-
     if any(len(set(label[part])) < 2 for part in (train, ~train)):
         return None
     scale = scaling(x[train])
-    x = x * scale
+    x *= scale  # in place: the rows are not needed as they were
     rows, goal = x[train], label[train]
     # Both kinds weigh the same, or the rarer one is not learnt.
     weight = np.where(goal == 1, 0.5 / goal.sum(), 0.5 / (len(goal) - goal.sum()))

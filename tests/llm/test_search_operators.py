@@ -127,3 +127,33 @@ def test_flat_graph_reaches_all_nodes():
     hits = embedding_dedup.in_range(x, graph, np.arange(200), np.array([0]), 0.8, 0.1, 16, 200)
     true = x @ x.T >= 0.8
     assert (hits & ~true).sum() == 0 and (hits & true).sum() >= 0.95 * true.sum()
+
+
+def test_similar_groups_are_those_of_verified_pairs(spark):
+    draw = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    base = [list(draw.choice(words, 300)) for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for edits in (1, 2, 4, 40):
+            copy = list(b)
+            for at in draw.integers(0, 300, edits):
+                copy[at] = "new"
+            texts.append(" ".join(copy))
+    texts += ["a b c", "A  b c", "a b d", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    near = [(i, j) for j in range(len(texts)) for i in range(j)
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = parts(len(texts), near)
+    got = dict(simhash.similar_groups(docs).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_spanning_pairs_connect_a_bucket():
+    draw = np.random.default_rng(7)
+    fps = draw.integers(0, 1 << 12, 300, dtype=np.uint64)
+    a, b = simhash.spanning(np.arange(300), fps, 1)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 1
+    assert parts(300, list(zip(a, b))) == parts(300, [(i, j) for i, j in zip(*np.nonzero(near)) if i < j])
+    assert near[a, b].all()
