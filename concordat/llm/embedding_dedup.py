@@ -122,10 +122,10 @@ def shards(nodes: DataFrame, cap: int, overlap: int, reach: float) -> DataFrame:
 
 
 def prune(x: np.ndarray, i: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Robust pruning of rows of candidates (-1: none), nearest first; at most ``degree`` stay in each row."""
+    """Robust pruning of rows of candidates (-1: none) by chords, nearest first; at most ``degree`` stay in each row."""
     c = np.maximum(candidates, 0)
-    to_i = 1 - np.einsum("bd,bkd->bk", x[i], x[c])
-    between = 1 - x[c] @ x[c].transpose(0, 2, 1)
+    chord = lambda cosine: np.sqrt(np.maximum(2 - 2 * cosine, 0))
+    to_i, between = chord(np.einsum("bd,bkd->bk", x[i], x[c])), chord(x[c] @ x[c].transpose(0, 2, 1))
     alive = (candidates >= 0) & (candidates != i[:, None])
     to_i = np.where(alive, to_i, np.inf)
     out, rows = np.full((len(i), degree), -1), np.arange(len(i))
@@ -140,7 +140,7 @@ def prune(x: np.ndarray, i: np.ndarray, candidates: np.ndarray, degree: int, alp
     return out
 
 
-def flat_graph(x: np.ndarray, degree: int, alpha: float, width: int = 48, block: int = 256) -> np.ndarray:
+def flat_graph(x: np.ndarray, degree: int, alpha: float, width: int = 96, block: int = 256) -> np.ndarray:
     """Neighbours of each row (-1: none): pruned nearest ones, then pruned again with those that name the row."""
     n = len(x)
     k = min(width, n - 1)
@@ -268,8 +268,8 @@ def search(pdf: pd.DataFrame, threshold: float, slack: float, beam: int, steps:
                          "audited_found": found})[keep]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cap: int = 1500, overlap: int = 3, degree: int = 24,
-                    alpha: float = 1.2, beam: int = 8, steps: int = 24, slack: float = 0.05, recall: float = 0.95,
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cap: int = 1500, overlap: int = 3, degree: int = 32,
+                    alpha: float = 1.3, beam: int = 8, steps: int = 24, slack: float = 0.05, recall: float = 0.95,
                     audit_every: int = 50) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_true, audited_found) of every vector; see the module's text."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
