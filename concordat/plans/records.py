@@ -410,6 +410,13 @@ ORACLE = {
       CASE WHEN regexp_matches(bare, '^10\\.[0-9]{{4,}}') THEN bare END AS extracted, replace(bare, '/', '_') AS stem,
       replace(replace(replace(bare, '/', '_'), ':', '_'), ' ', '_') AS safe, contains(lower(raw), 'doi.org/') AS mentions, true AS same_upper,
       CASE WHEN lower(bare) LIKE '10.1007/%' THEN 'https://link.springer.com/content/pdf/' || lower(bare) || '.pdf' END AS pdf FROM b""",
+    "doi_variants": f"""WITH d AS ({plain(DOIS)}), b AS (SELECT page_id, lower({_BARE.format(x='raw')}) AS bare FROM d),
+      v AS (SELECT page_id, [bare, 'https://doi.org/' || bare, 'doi:' || bare, url_decode(bare), replace(replace(url_encode(bare), '%2F', '/'), '%3A', ':')] AS x FROM b WHERE bare <> ''),
+      k AS (SELECT page_id, list_filter(x, lambda s, i: list_position(x, s) = i) AS x FROM v)
+      SELECT page_id, CAST(r.i - 1 AS INT) AS pos, x[r.i] AS variant FROM k, range(1, len(x) + 1) r(i)""",
+    "extraction_csv_rows": _USAGE + """ SELECT CAST(gt_record_id AS VARCHAR) AS gt_record_id, status, CASE WHEN NOT ok THEN '' WHEN tot > 0 AND tot < 0.001 THEN CAST(round(tot * 10000) AS INT) || '.0E-4'
+      ELSE CAST(tot AS VARCHAR) END AS cost_usd, CASE WHEN ok THEN f_text ELSE '' END AS species, coalesce(CASE WHEN ok THEN CAST(f_number AS VARCHAR) END, '') AS temp_range_i,
+      coalesce(CASE WHEN ok THEN f_flag END, '') AS time_series FROM d""",
     "catalogue_lookup": f"""WITH s AS (SELECT id, lower({_BARE.format(x='cited_article_doi')}) AS d FROM ({plain(SHEET)}))
       SELECT id, c_name AS found_c_name FROM s LEFT JOIN customer ON d = '10.1111/mec.' || c_custkey""",
     "citation_edges": """SELECT CAST(s_suppkey AS VARCHAR) AS paper_id, s_name AS name, 'citing' AS kind FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey = 7)
