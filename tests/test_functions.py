@@ -188,3 +188,25 @@ def test_ks_p_values(spark):
     assert got[0] == pytest.approx(0.05, abs=2e-3) and got[1] == pytest.approx(0.05, abs=5e-3) and got[2:] == [1.0, 0.0, None]
     exact = rows.limit(2).select(stability.ks_p_value(F.col("n"), F.col("d"), "exact").alias("p")).collect()
     assert exact[1].p == pytest.approx(0.05, abs=2e-4)
+
+
+def test_html_references_follow_the_standard(spark):
+    import html
+
+    cases = [f"a &{n} z" for n in html.entities.html5] + [f"&{n}x=1" for n in html.entities.html5]
+    cases += [f"&#{k};" for k in range(300)] + [f"&#x{k:x}" for k in range(300)]
+    cases += ["&#55296;", "&#1114112;", "&#99999999999999;", "&amp;lt;", "&amp c", "&;", "&#;", "& b", "&&amp;", "x&notit;y", "&#xFFFE;"]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, c string")
+    got = {r.i: r.x for r in df.select("i", text.unescape_html("c").alias("x")).collect()}
+    assert [c for i, c in enumerate(cases) if got[i] != html.unescape(c)] == []
+
+
+def test_ascii_key_folds_every_code_point(spark):
+    import re
+    import unicodedata
+
+    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, f"k{chr(c)}m") for c in points], "i int, c string").repartition(4)
+    got = {r.i: r.x for r in df.select("i", text.ascii_key("c", cleaned=True).alias("x")).collect()}
+    plain = lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()
+    assert [hex(c) for c in points if got[c] != re.sub("[^a-z0-9]+", " ", plain(f"k{chr(c)}m")).strip()] == []

@@ -289,3 +289,39 @@ def test_grounding(spark):
     assert (hit.bucket, hit.gt_support_type, hit.gt_quote, hit.pred_support_type) == ("match", "explicit", "We saw Canis lupus.", "explicit")
     assert (rows["species", "Ursus magnus"].bucket, rows["species", "Ursus magnus"].gt_support_type) == ("gt_only", "unsupported")
     assert rows["data_type", "traits"].gt_quote == "Movement was high."
+
+
+def test_python_runs_once_in_a_plan(spark):
+    import __spark_entry__ as entry
+
+    for name in ("vector_topk", "vector_topk_filtered", "vector_distances", "tei_sections"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, name
+
+
+def test_pending_work_runs_once_and_is_remembered(spark, tmp_path):
+    registry = rg.Registry(spark, str(tmp_path / "reg"), buckets=4)
+    registry.init()
+    registry.upsert_documents(spark.createDataFrame([("w0",), ("w1",)], "work_id string").selectExpr(
+        "work_id", "CAST(NULL AS STRING) AS pdf_sha256", "CAST(NULL AS STRING) AS source_path", "CAST(NULL AS STRING) AS doi", "'t' AS title",
+        "CAST(NULL AS INT) AS publication_year", "'PENDING' AS status", "CAST(NULL AS STRING) AS parser_version",
+        "CAST(NULL AS STRING) AS error_message", "current_timestamp() AS updated_at"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(todo):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return todo.select("work_id").mapInArrow(count, "work_id string").selectExpr(
+            "work_id", "IF(work_id = 'w3', 'broken', NULL) AS error_message")
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"work_id": f"w{i}"}) for i in range(4)))
+    candidates = lambda: spark.readStream.schema("work_id string").json(str(tmp_path / "in"))
+    registry_sync.process_pending(candidates(), registry, work, str(tmp_path / "cp")).awaitTermination(120)
+    assert seen.value == 4
+    state = {r.work_id: (r.status, r.title) for r in registry.documents().collect()}
+    assert state == {"w0": ("PARSED", "t"), "w1": ("PARSED", "t"), "w2": ("PARSED", None), "w3": ("ERROR", None)}
+    assert [r.work_id for r in registry.pending(spark.createDataFrame([(f"w{i}",) for i in range(4)], "work_id string"), ("PARSED",)).collect()] == ["w3"]
