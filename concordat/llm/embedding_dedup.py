@@ -196,19 +196,25 @@ def in_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.n
     seen[:, starts] = True
     seen[rows, queries] = True  # a query is a node of the graph itself
     look(seen)
+    going = rows
     for _ in range(steps):
-        best = np.where(opened, -np.inf, cosine).argmax(1)
-        value = np.where(opened[rows, best], -np.inf, cosine[rows, best])
-        worst = np.partition(cosine, n - min(beam, n), axis=1)[:, n - min(beam, n)]
+        near = cosine[going]
+        shut = np.where(opened[going], -np.inf, near)
+        best = shut.argmax(1)
+        value = shut[np.arange(len(going)), best]
+        worst = np.partition(near, n - min(beam, n), axis=1)[:, n - min(beam, n)]
         go = np.isfinite(value) & (value >= worst)
-        if not go.any():
+        going, best = going[go], best[go]
+        if not len(going):
             break
-        now = np.zeros(cosine.shape, bool)
-        now[rows[go], best[go]] = True
-        opened |= now
-        new = open_nodes(now, graph, n) & ~seen
-        seen |= new
-        look(new)
+        opened[going, best] = True
+        # One node for each query: its few neighbours are looked at one by one.
+        query, edge = np.repeat(going, graph.shape[1]), graph[best].reshape(-1)
+        query, edge = query[edge >= 0], edge[edge >= 0]
+        fresh = ~seen[query, edge]
+        query, edge = query[fresh], edge[fresh]
+        seen[query, edge] = True
+        cosine[query, edge] = np.einsum("ed,ed->e", x[queries[query]], x[edge])
     while True:
         now = (cosine >= threshold - slack) & ~opened
         if not now.any():
@@ -277,7 +283,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cap: int = 1500
     fit = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vec", lambda v: v != 0), F.lit(False))
     # Norms must not overflow or vanish: numbers this large or small are scaled by the largest first.
     top = F.array_max(F.transform("vec", F.abs))
-    rows = rows.withColumn("vec", F.when(fit, F.transform("vec", lambda v: F.when((top > 1e100) | (top < 1e-100), v / top).otherwise(v))))
+    extreme = (top > 1e100) | (top < 1e-100)
+    rows = rows.withColumn("vec", F.when(fit & extreme, F.transform("vec", lambda v: v / top)).when(fit, F.col("vec")))
     rows = rows.withColumn("key", F.when(fit, F.xxhash64("label", "vec")))
     nodes = rows.where("key is not null").groupBy("key", "label", "vec").agg(
         F.min("vec_id").alias("first"), F.count("*").alias("n"),
