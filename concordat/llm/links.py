@@ -7,6 +7,7 @@ in one task and nothing but two sums reaches the driver.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,17 @@ def components(edges: DataFrame) -> DataFrame:
         edges = pinned(_star(_star(edges, large=True), large=False))
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
+
+
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (row numbers) after joining the components of rows ``i`` and ``j``."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]

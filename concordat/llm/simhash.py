@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.common import documents, fresh, map_texts, pinned
-from concordat.llm.links import components
+from concordat.llm.links import components, merged
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
 
@@ -234,65 +234,138 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hot: int
 _POPCOUNT = np.bitwise_count
 
 
-def spanning(nodes: np.ndarray, fps: np.ndarray, radius: int, nearest: int = 4,
-             block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``radius`` that connect all such pairs of one bucket, nearest first, and a node's ``nearest``
-    pairs beside them: a small multiple of the nodes, however many pairs there are."""
-    label, degree = np.arange(len(fps)), np.zeros(len(fps), np.int64)
-    left, right = [], []
-    step = max(1, block // max(len(fps), 1))
-    for at in range(0, len(fps), step):
-        far = _POPCOUNT(fps[at:at + step, None] ^ fps[None, :at + step])
-        i, j = np.nonzero(far <= radius)
-        i = i + at
-        keep = i > j
-        i, j, d = i[keep], j[keep], far[i[keep] - at, j[keep]]
-        for k in np.argsort(d, kind="stable"):
-            p, q = i[k], j[k]
-            x, y = label[p], label[q]
-            if x != y:
-                label[label == max(x, y)] = min(x, y)
-            elif degree[p] >= nearest and degree[q] >= nearest:
-                continue
-            degree[p] += 1
-            degree[q] += 1
-            left.append(nodes[p])
-            right.append(nodes[q])
-    return np.array(left, np.int64), np.array(right, np.int64)
-
-
-def _bucket_pairs(keys: DataFrame, radius: int) -> DataFrame:
-    """(a, b) of every bucket (part, key) of ``keys`` (part, key, node, fp), bucket by bucket in sorted partitions."""
+#: Rows of a block, about: a bucket with more is dealt to several.
+BUCKET = 1024
+
+
+def _within_radius(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int,
+                   side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of rows of different labels within ``radius``, and which are among an end's ``nearest``.
+    With ``side`` only pairs across sides 0 and 1."""
+    left, right = (np.arange(len(fps)),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    far = _POPCOUNT(fps[left, None] ^ fps[None, right])
+    near = far <= radius
+    if side is None:
+        near = np.tril(near, -1)
+    near &= label[left, None] != label[None, right]
+    i, j = np.nonzero(near)
+    end, d = np.concatenate([left[i], right[j]]), np.tile(far[i, j], 2)
+    order = np.lexsort((d, end))
+    rank = np.empty(len(end), np.int64)
+    rank[order] = np.arange(len(end)) - np.searchsorted(end[order], end[order])
+    return left[i], right[j], (rank < nearest).reshape(2, -1).any(0)
+
+
+def choose(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int = 4,
+           side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, rest): pairs of rows within ``radius`` that connect all such pairs between labels, each row's ``nearest``
+    among them, and the rows that have pairs beyond those."""
+    label = np.unique(label, return_inverse=True)[1]
+    left, right, rest = [], [], None
+    while True:
+        i, j, pick = _within_radius(fps, label, radius, nearest, side)
+        left.append(i[pick])
+        right.append(j[pick])
+        rest = np.unique(np.concatenate([i[~pick], j[~pick]])) if rest is None else rest
+        if pick.all():
+            return np.concatenate(left), np.concatenate(right), rest
+        label, nearest = merged(label, left[-1], right[-1]), 1
+
+
+def spanning(nodes: np.ndarray, fps: np.ndarray, radius: int, nearest: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``radius`` that connect all such pairs of one bucket, a node's ``nearest`` among them."""
+    i, j, _ = choose(fps, np.arange(len(fps)), radius, nearest)
+    return nodes[i], nodes[j]
+
+
+def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
+    """(a, b) chosen in every block of ``rows`` (part, key, block, side, node, fp, label); (a, a) for a node that has
+    pairs beyond those. Side 0 meets side 1; side 2 meets itself."""
+    names = ("part", "key", "block", "side", "node", "fp", "label")
+
     def run(batches):
-        kept: list[np.ndarray] = []  # rows of the bucket that the last batch ended in
+        kept: list[tuple[np.ndarray, ...]] = []  # rows of the block that the last batch ended in
 
-        def pairs(rows: list[np.ndarray]):
-            _, _, node, fp = (np.concatenate(c) for c in zip(*rows))
-            one = np.unique(node, return_index=True)[1]  # a probe may meet its own signature
-            return spanning(node[one], fp[one].view(np.uint64), radius)
+        def pairs(rows: list[tuple[np.ndarray, ...]]):
+            side, node, fp, label = (np.concatenate(c) for c in list(zip(*rows))[3:])
+            i, j, rest = choose(fp.view(np.uint64), label, radius, nearest, None if (side == 2).any() else side)
+            return np.concatenate([node[i], node[rest]]), np.concatenate([node[j], node[rest]])
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
 
         for batch in batches:
-            part, key, node, fp = (batch.column(n).to_numpy() for n in ("part", "key", "node", "fp"))
-            cut = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
+            columns = [batch.column(n).to_numpy() for n in names]
+            here = columns[:3]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in here], axis=0)) + 1
             found = []
-            for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(part)]])):
-                rows = (part[a:b], key[a:b], node[a:b], fp[a:b])
-                if kept and (kept[0][0][0] != part[a] or kept[0][1][0] != key[a]):
-                    found.append(pairs(kept))
+            for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(here[0])]])):
+                if a == b:
+                    continue
+                if kept and any(k[0] != c[a] for k, c in zip(kept[0], here)):
+                    if sum(len(k[0]) for k in kept) > 1:
+                        found.append(pairs(kept))
                     kept = []
-                kept.append(rows)
+                kept.append(tuple(c[a:b] for c in columns))
             if found:
                 yield batch_of(found)
         if kept:
             yield batch_of([pairs(kept)])
 
-    ordered = keys.repartition("part", "key").sortWithinPartitions("part", "key")
+    ordered = rows.select(*names).repartition("part", "key", "block").sortWithinPartitions("part", "key", "block")
     return ordered.mapInArrow(run, "a long, b long")
 
 
+def _first_blocks(keys: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows for ``_block_pairs`` that look at a bucket as a whole, or at each of its salted parts by itself."""
+    salt = F.pmod(F.xxhash64(F.lit(5), "node"), F.coalesce("salts", F.lit(1).cast("long")))
+    return keys.join(large, ["part", "key"], "left").select(
+        "part", "key", salt.alias("block"), F.lit(2).alias("side"), "node", "fp", F.col("node").alias("label"))
+
+
+def _all_blocks(keys: DataFrame, size: int) -> DataFrame:
+    """Rows for ``_block_pairs`` that bring together every two nodes of a bucket whose labels differ.
+
+    A label of more than ``size`` nodes has blocks of its own, which never
+    meet each other; all other labels share blocks.
+    """
+    at = ["part", "key"]
+    count = pinned(keys.groupBy(*at, "label").agg(F.count("*").alias("n")))
+    several = count.groupBy(*at).agg(F.sum(F.when(F.col("n") <= size, F.col("n"))).alias("small"), F.count("*").alias("labels"))
+    own = F.when(F.col("n") > size, F.col("label"))
+    salts = F.ceil(F.when(F.col("n") > size, F.col("n")).otherwise(F.col("small")) / size)
+    dealt = pinned(count.join(several.where("labels > 1"), at).select(*at, "label", own.alias("own"), salts.alias("salts")))
+    block = lambda salt: F.xxhash64(F.col("own").isNull(), "own", salt)
+    there = dealt.select(*at, "own", "salts").distinct().select(
+        *at, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    there = there.select(*at, F.col("own").alias("o"), block(F.col("salt")).alias("x"))
+    meet = there.join(there.select(*at, F.col("o").alias("p"), F.col("x").alias("y")), at).where(
+        (F.col("x") <= F.col("y")) & ~F.coalesce(F.col("o") == F.col("p"), F.lit(False)))
+    meet = pinned(meet.select(*at, "x", "y", F.xxhash64("x", "y").alias("block")))
+    salt = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("salts"))
+    rows = keys.join(dealt, [*at, "label"]).withColumn("_b", block(salt))
+    out = []
+    for side, end in ((0, meet.withColumnRenamed("x", "_b")), (1, meet.where("x < y").withColumnRenamed("y", "_b"))):
+        what = F.when(F.col("_b") == F.col("y"), 2).otherwise(0) if side == 0 else F.lit(1)
+        out.append(rows.join(end, [*at, "_b"]).select(*at, "block", what.alias("side"), "node", "fp", "label"))
+    return out[0].unionAll(out[1])
+
+
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts have the similarity, by their shingle sets."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes, "node").select(
+        "node", F.col("first").alias("doc_id"))
+    sets = map_texts(docs.select("doc_id", "text").join(wanted, "doc_id"), "hashes array<long>, own long", lambda texts: {
+        "hashes": pa.array([shingle_hashes(t, shingle) for t in texts], pa.list_(pa.int64())), "own": sequence_hashes(texts)},
+        keep=("node",))
+    # An id that several texts have brings them all; the node's own is the one wanted.
+    sets = sets.where("own = node").groupBy("node").agg(F.min("hashes").alias("hashes"))
+    a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+    same = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(a, "a").join(b, "b").where(same >= similarity * (F.size("ha") + F.size("hb") - same)).select("a", "b")
+
+
 def shingle_hashes(text: bytes, shingle: int) -> list[int]:
     """Distinct XXH64 of the word shingles, signed."""
     words = text.lower().split()
@@ -309,15 +382,20 @@ def sequence_hashes(texts: list[bytes]) -> pa.Array:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, search: int = 2,
-                   radius: int = 10) -> DataFrame:
+                   radius: int = 10, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) of every document: groups of texts whose ``shingle``-word sets have a Jaccard
     similarity of at least ``similarity``, connected by such pairs.
 
     Equal word sequences are one node. Fingerprints of ``search``-word shingles
     lie closer together for near copies than those of longer ones; candidates
-    within ``radius`` bits come from the pigeonhole groups, bucket by bucket,
-    as few pairs for each of its nodes, and every pair is verified by its
-    exact similarity. A pair further apart than ``radius`` is not found.
+    within ``radius`` bits come from the pigeonhole groups and are verified by
+    their exact similarity. A pair further apart than ``radius`` is not found.
+
+    The first round verifies, in each block of ``bucket`` rows of a bucket, a
+    node's nearest candidates and a tree of all. The next rounds take the nodes
+    that have more: every two blocks of a bucket meet, and candidates between
+    components that verified pairs have not joined are looked at, eight times
+    as many of each node as before, until no such candidate is left.
     """
     keyed = map_texts(docs, "fp long, node long", lambda texts: {
         "fp": pa.array(np.array([fingerprint(t, search) for t in texts], np.uint64).view(np.int64)),
@@ -328,19 +406,27 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     groups = plan(bit_counts(nodes), nodes.count(), radius, tuple(range(1, radius + 2)), row_cost=300.0)
     # Probes hold each plain signature too, so one set of rows serves as index and probes.
     keys = _signatures(nodes, groups, True, "node")
-    pairs = pinned(_bucket_pairs(keys, radius).distinct())
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes, "node").select(
-        "node", F.col("first").alias("doc_id"))
-    sets = map_texts(docs.select("doc_id", "text").join(wanted, "doc_id"), "hashes array<long>, own long", lambda texts: {
-        "hashes": pa.array([shingle_hashes(t, shingle) for t in texts], pa.list_(pa.int64())), "own": sequence_hashes(texts)},
-        keep=("node",))
-    # An id that several texts have brings them all; the node's own is the one wanted.
-    sets = sets.where("own = node").groupBy("node").agg(F.min("hashes").alias("hashes"))
-    a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    same = F.size(F.array_intersect("ha", "hb"))
-    real = pairs.join(a, "a").join(b, "b").where(same >= similarity * (F.size("ha") + F.size("hb") - same)).select("a", "b")
-    named = nodes.join(components(real), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = pinned(keys.groupBy("part", "key").count().where(F.col("count") > bucket).select(
+        "part", "key", F.ceil(F.col("count") / bucket).alias("salts")))
+    nearest = 4
+    found = pinned(_block_pairs(_first_blocks(keys, large), radius, nearest).distinct())
+    rest = found.where("a = b").select(F.col("a").alias("node"))
+    if not large.isEmpty():
+        rest = rest.unionAll(keys.join(large, ["part", "key"], "left_semi").select("node")).distinct()
+    real = pinned(_similar(docs, nodes, found.where("a <> b"), similarity, shingle))
+    roots = components(real)
+    while not (rest := pinned(rest)).isEmpty():
+        nearest *= 8
+        going = pinned(rest.join(nodes, "node").join(roots, "node", "left").select(
+            "node", "fp", F.coalesce("root", "node").alias("label")))
+        rows = _all_blocks(_signatures(going, groups, True, "node", "label"), bucket)
+        found = pinned(_block_pairs(rows, radius, nearest).distinct())
+        if found.isEmpty():
+            break
+        rest = found.where("a = b").select(F.col("a").alias("node"))
+        real = pinned(real.unionAll(_similar(docs, nodes, found.where("a <> b"), similarity, shingle)))
+        roots = components(real)
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return keyed.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 

@@ -158,3 +158,32 @@ def test_spanning_pairs_connect_a_bucket():
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 1
     assert parts(300, list(zip(a, b))) == parts(300, [(i, j) for i, j in zip(*np.nonzero(near)) if i < j])
     assert near[a, b].all()
+
+
+@pytest.mark.parametrize("bucket", (1024, 40))
+def test_star_of_copies_is_one_group(spark, bucket):
+    draw = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(250)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        copy = list(base)
+        for at in draw.choice(np.arange(5, 245, 6), 5, replace=False):
+            copy[at] = f"n{k}x{at}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if alike(i, j)]
+    fps = np.array([simhash.fingerprint(t.encode(), 2) for t in texts], np.uint64)
+    found = [(i, j) for i, j in near if np.bitwise_count(fps[i] ^ fps[j]) <= 10]
+    got = dict(simhash.similar_groups(docs, bucket=bucket).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == parts(len(texts), found) and len(near) >= 150
+
+
+def test_chosen_pairs_of_sides_and_labels():
+    draw = np.random.default_rng(9)
+    fps = draw.integers(0, 1 << 10, 200, dtype=np.uint64)
+    label, side = draw.integers(0, 5, 200), draw.integers(0, 2, 200)
+    i, j, rest = simhash.choose(fps, label, 2, 200, side)
+    near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2) & (label[:, None] != label) & (side[:, None] < side)
+    assert set(zip(i, j)) == set(zip(*np.nonzero(near))) and not len(rest)
