@@ -187,3 +187,16 @@ def test_chosen_pairs_of_sides_and_labels():
     i, j, rest = simhash.choose(fps, label, 2, 200, side)
     near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2) & (label[:, None] != label) & (side[:, None] < side)
     assert set(zip(i, j)) == set(zip(*np.nonzero(near))) and not len(rest)
+
+
+def test_a_large_bucket_is_dealt_to_blocks(spark):
+    labels = [1] * 300 + [2] * 120 + list(range(10, 90))
+    keys = spark.createDataFrame([(0, 7, i, i, c) for i, c in enumerate(labels)], "part int, key long, node long, fp long, label long")
+    rows = simhash._all_blocks(keys, 50).toPandas()
+    met = set()
+    for _, block in rows.groupby("block"):
+        assert len(block) <= 200
+        sides = [block.loc[block["side"] == k, "node"].tolist() for k in (0, 1, 2)]
+        met |= {(min(a, b), max(a, b)) for x, y in ((sides[0], sides[1]), (sides[2], sides[2])) for a in x for b in y}
+    assert {(i, j) for j in range(len(labels)) for i in range(j) if labels[i] != labels[j]} <= met
+    assert simhash._all_blocks(keys.where("label = 1"), 50).count() == 0
