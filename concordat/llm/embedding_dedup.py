@@ -5,7 +5,8 @@ start. The nodes of a label are split by k-means (fitted on bounded samples)
 into cluster shards until none is home to more than ``cap``; a node goes to its
 ``overlap`` nearest clusters, home to the nearest. Where a dense group is itself
 split (centroids closer than ``CLOSE``), a node also visits every shard on whose
-border it lies, near enough for a link across it. In every shard a flat graph
+border it lies, near enough for a link across it; homes and visitors meet in
+pairs of blocks of bounded size, all compared. In every shard a flat graph
 is built, of its own and overlapping nodes: nearest neighbours and the nodes that name a node as theirs, pruned so
 that an edge is kept only if no kept one leads closer by the factor ``alpha``.
 The adjacency lists of a node from all its shards are united.
@@ -35,9 +36,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.common import pinned
-from concordat.llm.links import components
+from concordat.llm.links import components, merged
 
-FANOUT, SAMPLE_PER_CHILD, SALT_ROWS = 32, 32, 20_000
+FANOUT, SAMPLE_PER_CHILD, SALT_ROWS = 32, 32, 5_000
 DEPTH = 8
 #: Cosine of two centroids from which they are taken to split one dense group.
 CLOSE = 0.8
@@ -45,6 +46,8 @@ CLOSE = 0.8
 HOME, OVERLAP, VISIT = range(3)
 #: Queries times nodes that a search looks at together.
 BLOCK_CELLS = 1 << 20
+#: Rows of a block of homes or visitors, about.
+VISIT_ROWS = 2048
 
 
 def unit(rows: pd.Series) -> np.ndarray:
@@ -87,11 +90,12 @@ def shards(nodes: DataFrame, cap: int, overlap: int, reach: float) -> DataFrame:
                          F.lit(HOME).alias("kind"))
     columns = frame.columns
     for _ in range(DEPTH):
-        big = pinned(frame.where(F.col("kind") == HOME).groupBy("shard").count().where(F.col("count") > cap))
+        big = pinned(frame.groupBy("shard").agg(F.count_if(F.col("kind") == HOME).alias("count"), F.count("*").alias("_all")).where(
+            F.col("count") > cap))
         if big.isEmpty():
             break
         big = big.withColumn("_k", F.least(F.lit(FANOUT), F.ceil(F.col("count") / (cap / 2)))).withColumn(
-            "_salts", F.ceil(F.col("count") / SALT_ROWS)).drop("count")
+            "_salts", F.ceil(F.col("_all") / SALT_ROWS)).drop("count", "_all")
         split = frame.join(big, "shard")
         first = Window.partitionBy("shard").orderBy(F.xxhash64("node"), "node")
         sample = split.where(F.col("kind") == HOME).withColumn("_r", F.row_number().over(first)).where(
@@ -274,6 +278,43 @@ def search(pdf: pd.DataFrame, threshold: float, slack: float, beam: int, steps:
                          "audited_found": found})[keep]
 
 
+def visit_blocks(frame: DataFrame, size: int = VISIT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Home and visiting rows of each shard, dealt to blocks of about ``size``: every two meet in a group (shard, _h, _v)."""
+    count = pinned(frame.groupBy("shard").agg(*[F.ceil(F.count_if(F.col("kind") == k) / size).alias(c) for k, c in (
+        (HOME, "_hs"), (VISIT, "_vs"))]).where("_hs > 0 and _vs > 0"))
+    dealt = frame.join(count, "shard")
+    salt = lambda n: F.pmod(F.xxhash64(F.lit(2), "node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ("shard", "node", "n", "audited", "vec")
+    return (dealt.where(F.col("kind") == HOME).select(*columns, salt("_hs").alias("_h"), every("_vs").alias("_v")),
+            dealt.where(F.col("kind") == VISIT).select(*columns, salt("_vs").alias("_v"), every("_hs").alias("_h")).toDF(
+                *columns, "_v", "_h"))
+
+
+def meet(home: pd.DataFrame, visit: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of a block of homes with a block of visitors: a row for each home node, and for each visitor that is linked."""
+    names = ["node", "links", "part", "audited_true", "audited_found"]
+    if home.empty or visit.empty:
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
+    x, y, weight = unit(home["vec"]), unit(visit["vec"]), visit["n"].to_numpy()
+    node = np.concatenate([home["node"], visit["node"]])
+    order = np.argsort(node, kind="stable")
+    place = np.empty_like(order)  # rows in order of nodes, so a part's least row is its least node
+    place[order] = np.arange(len(order))
+    part, links, true = np.arange(len(node)), np.zeros(len(home), np.int64), np.zeros(len(home), np.int64)
+    step = max(1, BLOCK_CELLS // len(y))
+    for at in range(0, len(x), step):
+        hits = x[at:at + step] @ y.T >= threshold
+        links[at:at + step], true[at:at + step] = hits @ weight, hits.sum(1)
+        i, j = np.nonzero(hits)
+        part = merged(part, place[i + at], place[j + len(x)])
+    least = node[order][part[place]]
+    true = np.where(home["audited"], true, 0)
+    pad = lambda a, fill: np.concatenate([a, np.full(len(y), fill)])
+    keep = (least != node) | (np.arange(len(node)) < len(x))
+    return pd.DataFrame(dict(zip(names, (node, pad(links, -1), least, pad(true, 0), pad(true, 0)))))[keep]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cap: int = 1500, overlap: int = 3, degree: int = 32,
                     alpha: float = 1.3, beam: int = 8, steps: int = 24, slack: float = 0.05, recall: float = 0.95,
                     audit_every: int = 50) -> DataFrame:
@@ -299,11 +340,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cap: int = 1500
 
     adjacency = frame.where(F.col("kind") != VISIT).groupBy("shard").applyInPandas(build, "node long, near array<long>")
     adjacency = adjacency.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = pinned(frame.join(adjacency, "node").groupBy("shard").applyInPandas(
-        lambda pdf: search(pdf, threshold, slack, beam, steps, recall),
-        "node long, links long, part long, audited_true long, audited_found long"))
+    schema = "node long, links long, part long, audited_true long, audited_found long"
+    found = frame.where(F.col("kind") != VISIT).join(adjacency, "node").groupBy("shard").applyInPandas(
+        lambda pdf: search(pdf, threshold, slack, beam, steps, recall), schema)
+    home, visit = visit_blocks(frame)
+    met = home.groupBy("shard", "_h", "_v").cogroup(visit.groupBy("shard", "_h", "_v")).applyInPandas(
+        lambda a, b: meet(a, b, threshold), schema)
+    found = pinned(found.unionAll(met))
     roots = components(found.select(F.col("node").alias("a"), F.col("part").alias("b")))
-    counted = found.where("links >= 0").groupBy("node").agg(*[F.max(c).alias(c) for c in ("links", "audited_true", "audited_found")])
+    counted = found.where("links >= 0").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("links", "audited_true", "audited_found")])
     named = nodes.select("key", "label", "vec", "node", "first").join(counted, "node", "left").join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))

@@ -200,3 +200,20 @@ def test_a_large_bucket_is_dealt_to_blocks(spark):
         met |= {(min(a, b), max(a, b)) for x, y in ((sides[0], sides[1]), (sides[2], sides[2])) for a in x for b in y}
     assert {(i, j) for j in range(len(labels)) for i in range(j) if labels[i] != labels[j]} <= met
     assert simhash._all_blocks(keys.where("label = 1"), 50).count() == 0
+
+
+def test_a_dense_group_meets_in_bounded_blocks(spark):
+    draw = np.random.default_rng(10)
+    x = draw.normal(size=16) + draw.normal(size=(700, 16)) * 0.03
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, cap=60).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i]["n_links"] for i in range(700)] == ((u @ u.T >= 0.98).sum(1) - 1).tolist()
+    assert {r["component_id"] for r in got.values()} == {0}
+    nodes = spark.createDataFrame([(i, 1, False, v.tolist(), 1) for i, v in enumerate(x)],
+                                  "node long, n long, audited boolean, vec array<double>, label int")
+    frame = embedding_dedup.shards(nodes, 60, 3, float(np.sqrt(0.04)))
+    home, visit = (b.groupBy("shard", "_h", "_v").count().toPandas() for b in embedding_dedup.visit_blocks(frame, 64))
+    assert frame.groupBy("shard").count().agg({"count": "max"}).first()[0] >= 600
+    assert max(home["count"].max(), visit["count"].max()) <= 128
+    assert set(map(tuple, home[["shard", "_h", "_v"]].values)) == set(map(tuple, visit[["shard", "_h", "_v"]].values))
