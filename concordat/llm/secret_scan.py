@@ -2,9 +2,10 @@
 
 A text is scanned for assignments, access keys and hexadecimal strings. Then
 its encoded parts are unwrapped - percent escapes, Unicode escapes and character
-references, base64 (also url-safe), and gzip, zlib, bzip2, xz or zstd inside
-base64 - and every new layer is scanned and unwrapped in its turn, until no
-layer brings a new one. A layer already seen at the same place is not read
+references, base64 (also url-safe, wrapped over lines, or begun inside a run of
+its characters), and gzip, zlib, bzip2, xz or zstd inside base64, all members -
+and every new layer, UTF-16 or UTF-8 with bytes that are neither, is scanned and
+unwrapped in its turn, until no layer brings a new one. A layer already seen at the same place is not read
 again, which ends cycles. Each character of a layer knows the code points of the
 original text that it came from, so a find maps back to a span there.
 
@@ -20,7 +21,6 @@ row each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
@@ -45,6 +45,15 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
                     r"|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A line end in wrapped base64, as it is or escaped.
+BREAK = re.compile(r"(?:\r?\n|\\r\\n|\\n)[\x20\t]*")
+#: Runs on lines of their own; the last may be short.
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:(?:{BREAK.pattern})[A-Za-z0-9+/_-]{{16,}}+)*"
+                     rf"(?:{BREAK.pattern})[A-Za-z0-9+/_-]++={{0,2}}")
+#: ASCII characters in UTF-16.
+WIDE = {"utf-16-le": re.compile(rb"(?:[\x20-\x7e]\x00){4,}"), "utf-16-be": re.compile(rb"(?:\x00[\x20-\x7e]){4,}")}
+#: Where a compressed format may begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 MAX_LAYER = 1 << 26
 
 Span = tuple[str, int, int]
@@ -113,56 +122,119 @@ def unescape(text: str):
     return [_replaced(text, parts)] if parts else []
 
 
-def inflate(raw: bytes, limit: int) -> bytes | None:
-    """What a known compressed format holds; ``raw`` itself if it is none; None if it exceeds ``limit``."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            tool = zlib.decompressobj(47)
-        elif raw[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor(memlimit=limit * 4)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(limit + 1)
-            return out if len(out) <= limit else None
-        else:
-            return raw
-        out = tool.decompress(raw, limit + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return raw
-    return out if len(out) <= limit else None
+def _tool(raw: bytes, limit: int):
+    """A decompressor for the format that ``raw`` begins with, or None."""
+    if raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=limit * 4)
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
 
 
-def readable(text: str) -> bool:
-    return bool(text) and all(c.isprintable() or c in "\t\n\r" for c in text)
+def _zstd(raw: bytes, most: int) -> tuple[bytes, bytes]:
+    """At most ``most`` bytes of a zstd frame and what follows the frame."""
+    with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
+        out = reader.read(most)
+    if len(out) == most:
+        return out, b""
+    tool = zstandard.ZstdDecompressor().decompressobj()
+    tool.decompress(raw)
+    return out, tool.unused_data
 
 
-def unbase64(text: str, limit: int):
-    """Decoded runs, each a layer of its own; None for one that is too large."""
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=").translate({45: "+", 95: "/"})
-        run = run[:-1] if len(run) % 4 == 1 else run
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        plain = inflate(raw, limit)
-        if plain is None:
-            yield None
-            continue
+def inflate(raw: bytes, limit: int) -> bytes | None:
+    """What a known compressed format holds, all its members; ``raw`` itself if it is none; None if it exceeds ``limit``."""
+    out, rest = [], raw
+    size = 0
+    while rest:
         try:
-            new = plain.decode()
-        except UnicodeDecodeError:
-            continue
-        if not readable(new):
-            continue
-        if plain is raw:
-            at = np.array(_chars(raw)[1], np.int64)
-            end = np.append(at[1:], len(raw))
-            yield new, m.start() + at * 8 // 6, m.start() + np.minimum((end * 8 + 5) // 6, m.end() - m.start())
-        else:
-            yield new, np.full(len(new), m.start()), np.full(len(new), m.end())
+            tool = _tool(rest, limit)
+            if tool is None:
+                break
+            if rest[:4] == b"\x28\xb5\x2f\xfd":
+                new, rest = _zstd(rest, limit + 1 - size)
+            else:
+                new = tool.decompress(rest, limit + 1 - size)
+                rest = tool.unused_data
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            break
+        out.append(new)
+        size += len(new)
+        if size > limit:
+            return None
+    return b"".join(out) if out else raw
+
+
+def _decoded(raw: bytes) -> list[tuple[str, str, int]]:
+    """``raw`` as text, its encoding and the byte at which it begins: UTF-8, no byte dropped, and UTF-16 wherever a mark
+    or ASCII characters between zero bytes show it."""
+    out = [(raw.decode("utf-8", "surrogateescape"), "utf-8", 0)]
+    shown = {(kind, 0) for mark, kind in ((b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")) if raw[:2] == mark}
+    if b"\0" in raw:
+        shown |= {(kind, m.start() % 2) for kind, p in WIDE.items() for m in p.finditer(raw)}
+    for kind, at in sorted(shown):
+        out.append((raw[at:at + (len(raw) - at) // 2 * 2].decode(kind, "surrogatepass"), kind, at))
+    return out
+
+
+def _runs(text: str):
+    """Runs of base64 characters and, for each character and the end, its place in the text."""
+    for m in BASE64.finditer(text):
+        yield m[0].rstrip("="), np.arange(m.start(), m.end() + 1)
+    for m in WRAPPED.finditer(text):
+        place, at = [], m.start()
+        parts = []
+        for gap in [*BREAK.finditer(text, m.start(), m.end()), None]:
+            end = gap.start() if gap else m.end()
+            parts.append(text[at:end])
+            place.append(np.arange(at, end))
+            at = gap.end() if gap else end
+        yield "".join(parts).rstrip("="), np.concatenate([*place, [m.end()]])
+
+
+def unbase64(text: str, limit: int):
+    """Decoded runs at each of the four alignments, every one a layer of its own; None for one that is too large."""
+    for run, place in _runs(text):
+        run = run.translate({45: "+", 95: "/"})
+        for skip in range(4):
+            part = run[skip:]
+            part = part[:-1] if len(part) % 4 == 1 else part
+            if not part:
+                continue
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            layers = [(raw, None)]  # and what is compressed in it, from which byte on
+            for at in [0, *(m.start() for m in MAGIC.finditer(raw) if m.start())]:
+                plain = inflate(raw[at:], limit)
+                if plain is None:
+                    yield None
+                elif len(plain) != len(raw) - at or plain != raw[at:]:
+                    layers.append((plain, at))
+                else:
+                    continue
+                if not at:  # the whole is compressed
+                    layers = layers[1:]
+                    break
+            for plain, at in layers:
+                for new, kind, start in _decoded(plain):
+                    # A layer with no find and nothing to unwrap changes nothing.
+                    if not (scan(new, new.encode("utf-8", "surrogatepass")) or any(
+                            p.search(new) for p in (PERCENT, ESCAPE, BASE64))):
+                        continue
+                    if at is not None:
+                        yield new, np.full(len(new), place[skip + at * 8 // 6]), np.full(len(new), place[-1])
+                        continue
+                    how = "surrogateescape" if kind == "utf-8" else "surrogatepass"
+                    units = np.fromiter((len(c.encode(kind, how)) for c in new), np.int64, len(new))
+                    end = start + np.cumsum(units)
+                    stop = np.minimum(skip + (end * 8 + 5) // 6, len(run))
+                    if end[-1] == len(raw):  # padding belongs to the last character
+                        stop[-1] = len(place) - 1
+                    # A character ends where its last base64 character does, before a line end.
+                    yield new, place[skip + (end - units) * 8 // 6], place[stop - 1] + 1
 
 
 def find(raw: bytes, max_layer: int = MAX_LAYER) -> tuple[list[Span], set[Span], int]:

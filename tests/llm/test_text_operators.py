@@ -194,3 +194,27 @@ def test_held_out_accuracy(spark):
     assert (ruled["kept"] == (ruled["quality"] == 1)).mean() > 0.95
     again = quality_rank.op8_quality_rank(spark, MORE).toPandas()
     assert pd.testing.assert_frame_equal(*(d.sort_values("doc_id").reset_index(drop=True) for d in (ranked, again))) is None
+
+
+@pytest.mark.parametrize("layer", [
+    f"prix\u00a0: {SECRET}".encode(), f"\ufeff{SECRET}".encode(), f"a\0b\f\x1b {SECRET}".encode(), b"\xff\xfe caf\xe9 " + SECRET.encode(),
+    f"caf\xe9 {SECRET}".encode("latin-1"), SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), f"{SECRET} \u202f ".encode("utf-16-le"),
+    gzip.compress(b"first ") + gzip.compress(SECRET.encode()), gzip.compress(f"\u00a0 {SECRET}".encode())])
+def test_every_decoded_layer_is_scanned(layer):
+    coded = base64.b64encode(layer).decode()
+    for before in ("", "/cb/", "key_", "x", "ab-"):
+        text = f"see {before}{coded} after"
+        _, spans, _ = secret_scan.find(text.encode())
+        at = text.index(coded)
+        assert any(k == "assign" and at - len(before) <= a < b <= at + len(coded) for k, a, b in spans), before
+    nested = base64.b64encode("\u00a0".encode() + coded.encode()).decode()
+    assert any(k == "assign" for k, *_ in secret_scan.find(nested.encode())[1])
+
+
+@pytest.mark.parametrize("line_end", ("\n", "\r\n", "\n  ", "\\n", "\\r\\n"))
+def test_wrapped_base64_maps_back(line_end):
+    coded = base64.b64encode(f"{'x' * 40} {SECRET} end".encode()).decode()
+    text = "see " + line_end.join(coded[k:k + 64] for k in range(0, len(coded), 64)) + " after"
+    _, spans, _ = secret_scan.find(text.encode())
+    whole = base64.b64decode(coded).index(SECRET.encode()) * 8 // 6
+    assert any(k == "assign" and a == 4 + whole and b > 4 + 64 + len(line_end) for k, a, b in spans)
