@@ -5,7 +5,8 @@ turn and share ``share`` times all words by weight; a target stops at
 ``most`` times its source's words and the excess goes to the others by weight.
 
 The words of a source lie in seeded order of its documents and are cut into
-blocks of equal length. Blocks are the seats: sources get them by the highest
+blocks of equal length: 1024 words, or a hundredth of the source if that is less.
+Blocks are the seats: sources of one block length get them by the highest
 quotients target / (2 k + 1), then the shards of a source (a hash of the
 document) in the same way, never beyond ``most`` times the blocks there are. A
 quota of q for n blocks takes every block q // n times and q % n of them once
@@ -105,10 +106,12 @@ def first_block(seed: int, source: str | None, part: int, blocks: int) -> int:
     return crc32(b"%d/%d/" % (seed, part) + name) % blocks
 
 
-def quotas(rows: list[tuple[int, int, int]], names: list[str | None], goal: list[float], block: int, most: int,
+def quotas(rows: list[tuple[int, int, int]], names: list[str | None], goal: list[float], lengths: list[int], most: int,
            seed: int) -> dict[tuple[int, int], tuple[int, int, int]]:
     """{(source, shard): (blocks, quota, start)} from rows (source, shard, words): sources first, then each one's shards.
 
+    ``lengths`` are the sources' block lengths; sources of one length share its seats.
+
     The last block of a shard is short; where that leaves a source further from
     its target than half a block, it gets as many seats more or fewer.
     """
@@ -117,11 +120,15 @@ def quotas(rows: list[tuple[int, int, int]], names: list[str | None], goal: list
         if words:
             there.setdefault(source, {})[part] = words
     order = sorted(there)
-    count = {s: {p: -(-w // block) for p, w in there[s].items()} for s in order}
-    seats = round(sum(goal[s] for s in order) / block)
-    by_source = sainte_lague(seats, [goal[s] for s in order], [most * sum(count[s].values()) for s in order])
+    count = {s: {p: -(-w // lengths[s]) for p, w in there[s].items()} for s in order}
+    by_source: dict[int, int] = {}
+    for block in sorted({lengths[s] for s in order}):
+        alike = [s for s in order if lengths[s] == block]
+        seats = round(sum(goal[s] for s in alike) / block)
+        by_source |= zip(alike, sainte_lague(seats, [goal[s] for s in alike], [most * sum(count[s].values()) for s in alike]))
     out = {}
-    for s, q in zip(order, by_source):
+    for s in order:
+        q, block = by_source[s], lengths[s]
         parts = list(count[s])
         start = {p: first_block(seed, names[s], p, count[s][p]) for p in parts}
         best = None
@@ -142,10 +149,10 @@ def _extra(k: str) -> str:
     return f"((({k}) * _rest + _start) div _blocks)"
 
 
-def _words_before(at: str, block: int) -> Column:
+def _words_before(at: str) -> Column:
     """Words of the once-more blocks before place ``at`` of a source and shard."""
-    k = f"(({at}) div {block})"
-    return F.expr(f"{_extra(k)} * {block} + ({_extra(k + ' + 1')} - {_extra(k)}) * ({at} - {k} * {block})")
+    k = f"(({at}) div _block)"
+    return F.expr(f"{_extra(k)} * _block + ({_extra(k + ' + 1')} - {_extra(k)}) * ({at} - {k} * _block)")
 
 
 def plan(docs: DataFrame, share: float = 1.5, most: int = 2, shards: int = 16, seed: int = 11,
@@ -172,11 +179,13 @@ def plan(docs: DataFrame, share: float = 1.5, most: int = 2, shards: int = 16, s
     for i, _, words in rows:
         sizes[i] += words
     goal = targets(sizes, share, most)
-    # So small that rounding to blocks can't move the smallest source from its target by over half a percent.
-    block = block or max(1, min([1024, *(s // 100 for s in sizes if s)]))
-    table = quotas(rows, names, goal, block, most, seed)
-    settings = [(names[i], p, i, sizes[i], float(goal[i]), *table.get((i, p), (1, 0, 0))) for i, p, _ in rows]
-    schema = "_source string, _p int, _index int, source_size long, target double, _blocks long, _quota long, _start long"
+    # So small that rounding to blocks can't move a source from its target by over half a percent; each has its own,
+    # so a small source does not shred the others.
+    lengths = [block or max(1, min(1024, s // 100)) for s in sizes]
+    table = quotas(rows, names, goal, lengths, most, seed)
+    settings = [(names[i], p, i, sizes[i], float(goal[i]), lengths[i], *table.get((i, p), (1, 0, 0))) for i, p, _ in rows]
+    schema = ("_source string, _p int, _index int, source_size long, target double, _block long, _blocks long, _quota long, "
+              "_start long")
     fixed = spark.createDataFrame(settings, schema).withColumns({
         "_whole": F.expr("_quota div _blocks"), "_rest": F.col("_quota") % F.col("_blocks")})
     # One row for each source and shard, as many as the driver has just held.
@@ -185,10 +194,10 @@ def plan(docs: DataFrame, share: float = 1.5, most: int = 2, shards: int = 16, s
     known = known.withColumn("_slice", F.pmod(F.shiftright("_hash", 16), F.lit(slices)))
     placed = with_running(known, ["_index", "_shard"], "_slice",
                           [F.col("_hash"), F.col("doc_id"), F.col("_text"), F.col("size")], "size", "_place")
-    extra = _words_before("(_place + size)", block) - _words_before("_place", block)
+    extra = _words_before("(_place + size)") - _words_before("_place")
     taken = F.when(F.col("size") > 0, F.col("_whole") * F.col("size") + extra).otherwise(F.lit(0))
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "_whole", "_place",
-                         "_blocks", "_rest", "_start", F.lit(block).cast("long").alias("_block"), *[c for c in ("_row",) if carry])
+                         "_blocks", "_rest", "_start", "_block", *[c for c in ("_row",) if carry])
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, shards: int = 16, seed: int = 11,

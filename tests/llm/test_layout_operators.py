@@ -90,3 +90,15 @@ def test_mixed_rows_hold_the_taken_words(hot):
     for r in mixing.mixed(hot).collect():
         words[r["doc_id"]] += len(r["text"].split())
     assert words == {k: v for k, v in taken.items() if v}
+
+
+def test_a_tiny_source_does_not_shred_the_others(spark):
+    big = " ".join(f"w{i}" for i in range(5000))
+    rows = [(i, f"d{i} {big}", "en", "big", None) for i in range(40)] + [(99, "a few words only", "en", "tiny", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.plan(docs).collect()
+    assert {r["_block"] for r in got if r["doc_id"] != 99} == {1024} and {r["_block"] for r in got if r["doc_id"] == 99} == {1}
+    large = [r for r in got if r["doc_id"] != 99]
+    assert abs(sum(r["taken"] for r in large) - large[0]["target"]) <= 0.01 * large[0]["target"]
+    pieces = [len(r["text"].splitlines()) for r in mixing.mixed(docs).where("source = 'big'").collect()]
+    assert max(pieces) <= 6
