@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from concordat.llm import (embedding_dedup, mixing, packing, quality_rank, quality_rules, secret_scan, sharding, simhash,
+from concordat.llm import (embedding_dedup, mixing, packing, periodic_runs, quality_rank, quality_rules, secret_scan, sharding, simhash,
                            token_counts, url_filter)
 
-MODULES = (simhash, packing, token_counts, url_filter, secret_scan, sharding, mixing, quality_rank, quality_rules, embedding_dedup)
+MODULES = (simhash, packing, token_counts, url_filter, secret_scan, sharding, mixing, quality_rank, quality_rules, embedding_dedup,
+           periodic_runs)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
