@@ -135,8 +135,9 @@ def plan(counts: np.ndarray, n: int, radius: int, parts: tuple[int, ...] = (1, 2
     plus the candidates it is expected to bring; ``counts`` and ``n`` cover all
     fingerprints.
     """
-    p = np.diag(counts) / max(n, 1)
-    both = counts / max(n, 1)
+    n = max(n, 1)  # without fingerprints every cost would be 0, and the first allocation the cheapest
+    p = np.diag(counts) / n
+    both = counts / n
     one = p[:, None] - both
     other = p[None, :] - both
     none = 1 - both - one - other
@@ -279,16 +280,16 @@ def spanning(nodes: np.ndarray, fps: np.ndarray, radius: int, nearest: int = 4)
 
 
 def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
-    """(a, b) chosen in every block of ``rows`` (part, key, block, side, node, fp, label); (a, a) for a node that has
-    pairs beyond those. Side 0 meets side 1; side 2 meets itself."""
-    names = ("part", "key", "block", "side", "node", "fp", "label")
+    """(a, b) chosen in every block of ``rows`` (part, key, block, node, fp, label) between different labels; (a, a) for
+    a node that has pairs beyond those."""
+    names = ("part", "key", "block", "node", "fp", "label")
 
     def run(batches):
         kept: list[tuple[np.ndarray, ...]] = []  # rows of the block that the last batch ended in
 
         def pairs(rows: list[tuple[np.ndarray, ...]]):
-            side, node, fp, label = (np.concatenate(c) for c in list(zip(*rows))[3:])
-            i, j, rest = choose(fp.view(np.uint64), label, radius, nearest, None if (side == 2).any() else side)
+            node, fp, label = (np.concatenate(c) for c in list(zip(*rows))[3:])
+            i, j, rest = choose(fp.view(np.uint64), label, radius, nearest)
             return np.concatenate([node[i], node[rest]]), np.concatenate([node[j], node[rest]])
 
         def batch_of(found):
@@ -316,56 +317,73 @@ def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _first_blocks(keys: DataFrame, large: DataFrame) -> DataFrame:
-    """Rows for ``_block_pairs`` that look at a bucket as a whole, or at each of its salted parts by itself."""
-    salt = F.pmod(F.xxhash64(F.lit(5), "node"), F.coalesce("salts", F.lit(1).cast("long")))
-    return keys.join(large, ["part", "key"], "left").select(
-        "part", "key", salt.alias("block"), F.lit(2).alias("side"), "node", "fp", F.col("node").alias("label"))
+def _dealt(keys: DataFrame, large: DataFrame, seed: int) -> DataFrame:
+    """Rows for ``_block_pairs`` that look at a bucket as a whole, or at each of its parts by a seeded salt."""
+    salt = F.pmod(F.xxhash64(F.lit(seed), "node"), F.coalesce("salts", F.lit(1).cast("long")))
+    return keys.join(large, ["part", "key"], "left").select("part", "key", salt.alias("block"), "node", "fp", "label")
 
 
-def _all_blocks(keys: DataFrame, size: int) -> DataFrame:
-    """Rows for ``_block_pairs`` that bring together every two nodes of a bucket whose labels differ.
-
-    A label of more than ``size`` nodes has blocks of its own, which never
-    meet each other; all other labels share blocks.
-    """
-    at = ["part", "key"]
-    count = pinned(keys.groupBy(*at, "label").agg(F.count("*").alias("n")))
-    several = count.groupBy(*at).agg(F.sum(F.when(F.col("n") <= size, F.col("n"))).alias("small"), F.count("*").alias("labels"))
-    own = F.when(F.col("n") > size, F.col("label"))
-    salts = F.ceil(F.when(F.col("n") > size, F.col("n")).otherwise(F.col("small")) / size)
-    dealt = pinned(count.join(several.where("labels > 1"), at).select(*at, "label", own.alias("own"), salts.alias("salts")))
-    block = lambda salt: F.xxhash64(F.col("own").isNull(), "own", salt)
-    there = dealt.select(*at, "own", "salts").distinct().select(
-        *at, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    there = there.select(*at, F.col("own").alias("o"), block(F.col("salt")).alias("x"))
-    meet = there.join(there.select(*at, F.col("o").alias("p"), F.col("x").alias("y")), at).where(
-        (F.col("x") <= F.col("y")) & ~F.coalesce(F.col("o") == F.col("p"), F.lit(False)))
-    meet = pinned(meet.select(*at, "x", "y", F.xxhash64("x", "y").alias("block")))
-    salt = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("salts"))
-    rows = keys.join(dealt, [*at, "label"]).withColumn("_b", block(salt))
-    out = []
-    for side, end in ((0, meet.withColumnRenamed("x", "_b")), (1, meet.where("x < y").withColumnRenamed("y", "_b"))):
-        what = F.when(F.col("_b") == F.col("y"), 2).otherwise(0) if side == 0 else F.lit(1)
-        out.append(rows.join(end, [*at, "_b"]).select(*at, "block", what.alias("side"), "node", "fp", "label"))
-    return out[0].unionAll(out[1])
-
-
-def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts have the similarity, by their shingle sets."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes, "node").select(
-        "node", F.col("first").alias("doc_id"))
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes): the shingle sets of the nodes in ``wanted``."""
+    wanted = wanted.select("node").distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id"))
     sets = map_texts(docs.select("doc_id", "text").join(wanted, "doc_id"), "hashes array<long>, own long", lambda texts: {
         "hashes": pa.array([shingle_hashes(t, shingle) for t in texts], pa.list_(pa.int64())), "own": sequence_hashes(texts)},
         keep=("node",))
     # An id that several texts have brings them all; the node's own is the one wanted.
-    sets = sets.where("own = node").groupBy("node").agg(F.min("hashes").alias("hashes"))
+    return sets.where("own = node").groupBy("node").agg(F.min("hashes").alias("hashes"))
+
+
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts have the similarity, by their shingle sets."""
+    sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), shingle)
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     same = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(a, "a").join(b, "b").where(same >= similarity * (F.size("ha") + F.size("hb") - same)).select("a", "b")
 
 
+def _may_be_similar(sets: DataFrame, similarity: float, radius: int, spread: int = BUCKET) -> DataFrame:
+    """(a, b): pairs of ``sets`` (node, fp, label, hashes) with different labels and fingerprints within ``radius``, but for
+    those that an exact filter shows to lie below the similarity.
+
+    Shingles are ordered by how many sets have them. Two sets of that similarity
+    share one among the first of each (the longer prefix of the larger set, the
+    shorter one of the smaller), with enough shingles left behind its places.
+    Shingles that one label has alone are left out, and rows of a shingle's main
+    label meet only those of others, so large groups that are one already cost
+    nothing; a shingle with more than ``spread`` rows is salted.
+    """
+    slack = 1e-9
+    token = sets.select("node", F.explode("hashes").alias("token"))
+    common = token.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = token.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    size, prefix = F.size("hashes"), lambda share: F.col("size") - F.ceil(F.col("size") * share - slack) + 1
+    rows = sets.select("node", "fp", "label", size.alias("size")).join(shared, "node")
+    rows = rows.withColumn("alone", F.col("size") - F.size("shared"))  # those come first
+    rows = rows.withColumn("shared", F.slice("shared", 1, F.greatest(prefix(similarity) - F.col("alone"), F.lit(0)).cast("int")))
+    rows = rows.select("node", "fp", "label", "size", "alone", F.posexplode("shared").alias("at", "s"))
+    rows = rows.select("node", "fp", "label", "size", F.col("s.token").alias("token"), (F.col("alone") + F.col("at")).alias("at"))
+    rows = pinned(rows)
+    by_label = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
+    several = by_label.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    several = several.where("labels > 1").select("token", "main", F.ceil(F.col("n") / spread).alias("salts"))
+    rows = pinned(rows.join(several, "token").select(
+        "node", "fp", "label", "size", "token", "at", "salts", (F.col("label") == F.col("main")).alias("usual")))
+    smaller = rows.where(F.col("at") < prefix(2 * similarity / (1 + similarity))).withColumn(
+        "salt", F.pmod(F.xxhash64(F.lit(7), "node"), "salts"))
+    larger = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    here = smaller.select("token", "salt", *[F.col(c).alias(f"{c}_a") for c in ("node", "fp", "label", "size", "at", "usual")])
+    there = larger.select("token", "salt", *[F.col(c).alias(f"{c}_b") for c in ("node", "fp", "label", "size", "at", "usual")])
+    met = here.where("not usual_a").join(there, ["token", "salt"]).unionByName(
+        here.where("usual_a").join(there.where("not usual_b"), ["token", "salt"]))
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    return met.where(
+        (F.col("label_a") != F.col("label_b")) & (F.struct("size_a", "node_a") < F.struct("size_b", "node_b"))
+        & (F.col("size_a") >= similarity * F.col("size_b") - slack) & (_far(F.col("fp_a"), F.col("fp_b")) <= radius)
+        & (left >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - slack)
+    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def shingle_hashes(text: bytes, shingle: int) -> list[int]:
     """Distinct XXH64 of the word shingles, signed."""
     words = text.lower().split()
@@ -382,20 +400,24 @@ def sequence_hashes(texts: list[bytes]) -> pa.Array:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, search: int = 2,
-                   radius: int = 10, bucket: int = BUCKET) -> DataFrame:
+                   radius: int = 10, bucket: int = BUCKET, nearest: int = 4, mixings: int = 3) -> DataFrame:
     """(doc_id, component_id) of every document: groups of texts whose ``shingle``-word sets have a Jaccard
     similarity of at least ``similarity``, connected by such pairs.
 
-    Equal word sequences are one node. Fingerprints of ``search``-word shingles
-    lie closer together for near copies than those of longer ones; candidates
-    within ``radius`` bits come from the pigeonhole groups and are verified by
-    their exact similarity. A pair further apart than ``radius`` is not found.
-
-    The first round verifies, in each block of ``bucket`` rows of a bucket, a
-    node's nearest candidates and a tree of all. The next rounds take the nodes
-    that have more: every two blocks of a bucket meet, and candidates between
-    components that verified pairs have not joined are looked at, eight times
-    as many of each node as before, until no such candidate is left.
+    Equal word sequences are one node (null, empty and blank texts too; a null id
+    never names a group). Fingerprints of ``search``-word shingles lie closer
+    together for near copies than those of longer ones; candidates within
+    ``radius`` bits come from the pigeonhole groups and are verified by their
+    exact similarity. A pair further apart than ``radius`` is not found. An
+    empty table gives no rows; extra columns are ignored.
+
+    First every block of ``bucket`` rows of a bucket gives a node's ``nearest``
+    candidates and a tree of all, to be verified. A bucket of several blocks is
+    dealt anew ``mixings`` times; only candidates between components that are not joined
+    yet are looked at. What then is left unverified lies within components of
+    candidates; where such a component has several verified ones, its remaining pairs
+    pass an exact filter (``_may_be_similar``) and are verified too. So every
+    candidate is verified, shown to lie below the similarity, or between documents of one group.
     """
     keyed = map_texts(docs, "fp long, node long", lambda texts: {
         "fp": pa.array(np.array([fingerprint(t, search) for t in texts], np.uint64).view(np.int64)),
@@ -405,28 +427,36 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     # A signature is written, moved and sorted; a candidate is a few machine words compared in an array.
     groups = plan(bit_counts(nodes), nodes.count(), radius, tuple(range(1, radius + 2)), row_cost=300.0)
     # Probes hold each plain signature too, so one set of rows serves as index and probes.
-    keys = _signatures(nodes, groups, True, "node")
+    keys = _signatures(nodes.withColumn("label", F.col("node")), groups, True, "node", "label")
     large = pinned(keys.groupBy("part", "key").count().where(F.col("count") > bucket).select(
         "part", "key", F.ceil(F.col("count") / bucket).alias("salts")))
-    nearest = 4
-    found = pinned(_block_pairs(_first_blocks(keys, large), radius, nearest).distinct())
-    rest = found.where("a = b").select(F.col("a").alias("node"))
-    if not large.isEmpty():
-        rest = rest.unionAll(keys.join(large, ["part", "key"], "left_semi").select("node")).distinct()
+    found = pinned(_block_pairs(_dealt(keys, large, 0), radius, nearest).distinct())
     real = pinned(_similar(docs, nodes, found.where("a <> b"), similarity, shingle))
     roots = components(real)
-    while not (rest := pinned(rest)).isEmpty():
-        nearest *= 8
-        going = pinned(rest.join(nodes, "node").join(roots, "node", "left").select(
-            "node", "fp", F.coalesce("root", "node").alias("label")))
-        rows = _all_blocks(_signatures(going, groups, True, "node", "label"), bucket)
-        found = pinned(_block_pairs(rows, radius, nearest).distinct())
-        if found.isEmpty():
+    labelled = lambda: nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    crowd = pinned(keys.join(large, ["part", "key"], "left_semi").select("part", "key", "node"))
+    for mixing in range(1, 1 + mixings * (not large.isEmpty())):
+        here = crowd.join(labelled(), "node")
+        apart = here.groupBy("part", "key").agg(F.min("label").alias("m"), F.max("label").alias("n")).where("m <> n")
+        met = pinned(_block_pairs(_dealt(here.join(apart, ["part", "key"], "left_semi"), large, mixing), radius, nearest)
+                     .where("a <> b").distinct())
+        if met.isEmpty():
             break
-        rest = found.where("a = b").select(F.col("a").alias("node"))
-        real = pinned(real.unionAll(_similar(docs, nodes, found.where("a <> b"), similarity, shingle)))
+        real = pinned(real.unionAll(_similar(docs, nodes, met, similarity, shingle)))
+        roots = components(real)
+    # All candidates lie within the components of what was found, the nodes of a crowded bucket counting as found together.
+    together = crowd.join(crowd.groupBy("part", "key").agg(F.min("node").alias("a")), ["part", "key"]).select("a", F.col("node").alias("b"))
+    near = components(found.unionAll(together)).withColumnRenamed("root", "near")
+    named = pinned(labelled().join(near, "node"))
+    mixed = named.groupBy("near").agg(F.min("label").alias("m"), F.max("label").alias("n")).where("m <> n")
+    rest = found.where("a = b").select(F.col("a").alias("node")).unionAll(crowd.select("node")).distinct()
+    going = pinned(named.join(mixed, "near", "left_semi").join(rest, "node", "left_semi"))
+    if not going.isEmpty():
+        sets = pinned(_sets(docs, nodes, going, shingle).join(going, "node"))
+        pairs = pinned(_may_be_similar(sets, similarity, radius))
+        real = pinned(real.unionAll(_similar(docs, nodes, pairs, similarity, shingle)))
         roots = components(real)
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = labelled().withColumnRenamed("label", "root")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return keyed.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from concordat.llm import embedding_dedup, links, simhash
 
@@ -189,17 +190,38 @@ def test_chosen_pairs_of_sides_and_labels():
     assert set(zip(i, j)) == set(zip(*np.nonzero(near))) and not len(rest)
 
 
-def test_a_large_bucket_is_dealt_to_blocks(spark):
-    labels = [1] * 300 + [2] * 120 + list(range(10, 90))
-    keys = spark.createDataFrame([(0, 7, i, i, c) for i, c in enumerate(labels)], "part int, key long, node long, fp long, label long")
-    rows = simhash._all_blocks(keys, 50).toPandas()
-    met = set()
-    for _, block in rows.groupby("block"):
-        assert len(block) <= 200
-        sides = [block.loc[block["side"] == k, "node"].tolist() for k in (0, 1, 2)]
-        met |= {(min(a, b), max(a, b)) for x, y in ((sides[0], sides[1]), (sides[2], sides[2])) for a in x for b in y}
-    assert {(i, j) for j in range(len(labels)) for i in range(j) if labels[i] != labels[j]} <= met
-    assert simhash._all_blocks(keys.where("label = 1"), 50).count() == 0
+@pytest.mark.parametrize("spread", (1024, 7))
+def test_exact_filter_loses_no_similar_pair(spark, spread):
+    draw = np.random.default_rng(11)
+    base = [draw.choice(10_000, 60, replace=False) for _ in range(4)]
+    sets = []
+    for k in range(160):
+        s = list(base[k % 4])
+        for at in draw.choice(60, draw.integers(0, 12), replace=False):
+            s[at] = 20_000 + draw.integers(0, 400)
+        sets.append(sorted({int(x) for x in s[:draw.integers(45, 61)]}))
+    label = draw.integers(0, 6, len(sets)).tolist()
+    fps = (draw.integers(0, 1 << 6, len(sets))).tolist()
+    df = spark.createDataFrame(list(zip(range(len(sets)), fps, label, sets)), "node long, fp long, label long, hashes array<long>")
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    apart = {(i, j) for i in range(len(sets)) for j in range(i) if label[i] != label[j] and (fps[i] ^ fps[j]).bit_count() <= 3}
+    got = {(max(r), min(r)) for r in map(tuple, simhash._may_be_similar(df, 0.8, 3, spread).collect())}
+    want = {p for p in apart if alike(*p)}
+    assert want <= got <= apart and len(want) > 100 and len(got) < len(apart) / 2
+    assert simhash._may_be_similar(df.withColumn("label", df.node * 0), 0.8, 3).count() == 0
+
+
+def test_a_crowd_below_the_similarity_brings_few_pairs(spark):
+    # Copies within 10 bits of each other whose own words make every two of them less than 0.8 alike.
+    base = [f"w{i}" for i in range(250)]
+    texts = [" ".join(f"n{k}x{i}" if i % 25 == 7 else w for i, w in enumerate(base)) for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = spark.createDataFrame([(k, int(simhash.sequence_hashes([t.encode()])[0].as_py())) for k, t in enumerate(texts)],
+                                  "first long, node long").withColumn("fp", F.lit(0).cast("long")).withColumn("label", F.col("node"))
+    sets = simhash._sets(docs, nodes, nodes, 5).join(nodes, "node")
+    assert simhash._may_be_similar(sets, 0.8, 10).count() == 0
+    got = dict(simhash.similar_groups(docs, bucket=50).select("doc_id", "component_id").collect())
+    assert got == {k: k for k in range(120)}
 
 
 def test_a_dense_group_meets_in_bounded_blocks(spark):
