@@ -334,3 +334,28 @@ def op12_spelling_variants(spark, sf_dir):
 
 
 QUERIES = {"op12_spelling_variants": op12_spelling_variants}
+
+# The CRC-32 is folded byte by byte over a table made in SQL; words with one letter masked in the same place differ by a
+# replaced letter, a word with one letter taken out equals its shorter neighbour.
+ORACLE = {"op12_spelling_variants": """
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (SELECT run, k, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x FROM runs),
+hashed AS (SELECT run, k, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2),
+    lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM coded, crc),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run))
+    || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+masked AS (SELECT word, i, left(word, i - 1) || '*' || substr(word, i + 1) AS mask FROM places),
+pairs AS (SELECT a.word AS a, b.word AS b FROM masked a JOIN masked b ON a.mask = b.mask AND a.i = b.i AND a.word <> b.word
+    UNION SELECT p.word, w.word FROM places p JOIN words w ON w.word = left(p.word, i - 1) || substr(p.word, i + 1)
+    UNION SELECT w.word, p.word FROM places p JOIN words w ON w.word = left(p.word, i - 1) || substr(p.word, i + 1)),
+ranked AS (SELECT a, b, w.n AS m, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS r
+    FROM pairs JOIN words w ON w.word = b),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN b END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+    FROM words LEFT JOIN ranked ON a = word AND r = 1),
+chain AS (SELECT word, word AS here, 0 AS depth FROM formed
+    UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN formed f ON f.word = c.here WHERE f.form IS NOT NULL)
+SELECT f.word, n, n_near, form, form_n, root FROM formed f JOIN (SELECT word, arg_max(here, depth) AS root FROM chain GROUP BY word) USING (word)"""}
