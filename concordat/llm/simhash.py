@@ -238,11 +238,16 @@ _POPCOUNT = np.bitwise_count
 #: Rows of a block, about: a bucket with more is dealt to several.
 BUCKET = 1024
 
+#: Bits of the wide fingerprint, and how many may differ. Two texts of similarity s differ in about WIDE * arccos(c) / pi bits
+#: with c = 2s / (1 + s), the share of shingles both have: for s = 0.8 that is 19, and 40 lies five standard deviations above;
+#: texts without a shingle in common differ in 64.
+WIDE, WIDE_REACH = 128, 40
 
-def _within_radius(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int,
-                   side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _within_radius(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int, side: np.ndarray | None,
+                   wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs of rows of different labels within ``radius``, and which are among an end's ``nearest``.
-    With ``side`` only pairs across sides 0 and 1."""
+    With ``side`` only pairs across sides 0 and 1, with ``wide`` only those whose wide fingerprints are close."""
     left, right = (np.arange(len(fps)),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     far = _POPCOUNT(fps[left, None] ^ fps[None, right])
     near = far <= radius
@@ -250,6 +255,9 @@ def _within_radius(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int
         near = np.tril(near, -1)
     near &= label[left, None] != label[None, right]
     i, j = np.nonzero(near)
+    if wide is not None:
+        close = _POPCOUNT(wide[left[i]] ^ wide[right[j]]).sum(1, dtype=np.int64) <= WIDE_REACH
+        i, j = i[close], j[close]
     end, d = np.concatenate([left[i], right[j]]), np.tile(far[i, j], 2)
     order = np.lexsort((d, end))
     rank = np.empty(len(end), np.int64)
@@ -257,14 +265,14 @@ def _within_radius(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int
     return left[i], right[j], (rank < nearest).reshape(2, -1).any(0)
 
 
-def choose(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int = 4,
-           side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def choose(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int = 4, side: np.ndarray | None = None,
+           wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, rest): pairs of rows within ``radius`` that connect all such pairs between labels, each row's ``nearest``
     among them, and the rows that have pairs beyond those."""
     label = np.unique(label, return_inverse=True)[1]
     left, right, rest = [], [], None
     while True:
-        i, j, pick = _within_radius(fps, label, radius, nearest, side)
+        i, j, pick = _within_radius(fps, label, radius, nearest, side, wide)
         left.append(i[pick])
         right.append(j[pick])
         rest = np.unique(np.concatenate([i[~pick], j[~pick]])) if rest is None else rest
@@ -280,16 +288,16 @@ def spanning(nodes: np.ndarray, fps: np.ndarray, radius: int, nearest: int = 4)
 
 
 def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
-    """(a, b) chosen in every block of ``rows`` (part, key, block, node, fp, label) between different labels; (a, a) for
-    a node that has pairs beyond those."""
-    names = ("part", "key", "block", "node", "fp", "label")
+    """(a, b) chosen in every block of ``rows`` (part, key, block, node, fp, w0, w1, label) between different labels; (a, a)
+    for a node that has pairs beyond those."""
+    names = ("part", "key", "block", "node", "fp", "w0", "w1", "label")
 
     def run(batches):
         kept: list[tuple[np.ndarray, ...]] = []  # rows of the block that the last batch ended in
 
         def pairs(rows: list[tuple[np.ndarray, ...]]):
-            node, fp, label = (np.concatenate(c) for c in list(zip(*rows))[3:])
-            i, j, rest = choose(fp.view(np.uint64), label, radius, nearest)
+            node, fp, w0, w1, label = (np.concatenate(c) for c in list(zip(*rows))[3:])
+            i, j, rest = choose(fp.view(np.uint64), label, radius, nearest, wide=np.stack([w0, w1], 1).view(np.uint64))
             return np.concatenate([node[i], node[rest]]), np.concatenate([node[j], node[rest]])
 
         def batch_of(found):
@@ -320,7 +328,8 @@ def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
 def _dealt(keys: DataFrame, large: DataFrame, seed: int) -> DataFrame:
     """Rows for ``_block_pairs`` that look at a bucket as a whole, or at each of its parts by a seeded salt."""
     salt = F.pmod(F.xxhash64(F.lit(seed), "node"), F.coalesce("salts", F.lit(1).cast("long")))
-    return keys.join(large, ["part", "key"], "left").select("part", "key", salt.alias("block"), "node", "fp", "label")
+    return keys.join(large, ["part", "key"], "left").select(
+        "part", "key", salt.alias("block"), "node", "fp", "w0", "w1", "label")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -393,6 +402,21 @@ def shingle_hashes(text: bytes, shingle: int) -> list[int]:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams], np.uint64)).view(np.int64).tolist()
 
 
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, int]:
+    """Two signed words whose bits are set if they are set in over half of the distinct shingles' mixed hashes."""
+    hashes = np.array(shingle_hashes(text, shingle), np.int64).view(np.uint64)
+    out = []
+    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        mixed = hashes * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(factor)
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(mixed), CHUNK):
+            counts += np.unpackbits(mixed[at:at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0]))
+    return out[0], out[1]
+
+
 def sequence_hashes(texts: list[bytes]) -> pa.Array:
     """XXH64 of each text's whole word sequence, signed."""
     return pa.array(np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts],
@@ -419,15 +443,17 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     pass an exact filter (``_may_be_similar``) and are verified too. So every
     candidate is verified, shown to lie below the similarity, or between documents of one group.
     """
-    keyed = map_texts(docs, "fp long, node long", lambda texts: {
-        "fp": pa.array(np.array([fingerprint(t, search) for t in texts], np.uint64).view(np.int64)),
-        "node": sequence_hashes(texts)})
-    keyed = pinned(keyed)
-    nodes = pinned(keyed.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first")))
+    def read(texts):
+        wide = np.array([wide_fingerprint(t, shingle) for t in texts], np.int64).reshape(-1, 2)
+        return {"fp": pa.array(np.array([fingerprint(t, search) for t in texts], np.uint64).view(np.int64)),
+                "w0": wide[:, 0], "w1": wide[:, 1], "node": sequence_hashes(texts)}
+
+    keyed = pinned(map_texts(docs, "fp long, w0 long, w1 long, node long", read))
+    nodes = pinned(keyed.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "w0", "w1")], F.min("doc_id").alias("first")))
     # A signature is written, moved and sorted; a candidate is a few machine words compared in an array.
     groups = plan(bit_counts(nodes), nodes.count(), radius, tuple(range(1, radius + 2)), row_cost=300.0)
     # Probes hold each plain signature too, so one set of rows serves as index and probes.
-    keys = _signatures(nodes.withColumn("label", F.col("node")), groups, True, "node", "label")
+    keys = _signatures(nodes.withColumn("label", F.col("node")), groups, True, "node", "w0", "w1", "label")
     large = pinned(keys.groupBy("part", "key").count().where(F.col("count") > bucket).select(
         "part", "key", F.ceil(F.col("count") / bucket).alias("salts")))
     found = pinned(_block_pairs(_dealt(keys, large, 0), radius, nearest).distinct())
