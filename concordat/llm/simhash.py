@@ -26,6 +26,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -288,16 +289,17 @@ def spanning(nodes: np.ndarray, fps: np.ndarray, radius: int, nearest: int = 4)
 
 
 def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
-    """(a, b) chosen in every block of ``rows`` (part, key, block, node, fp, w0, w1, label) between different labels; (a, a)
-    for a node that has pairs beyond those."""
-    names = ("part", "key", "block", "node", "fp", "w0", "w1", "label")
+    """(a, b) chosen in every block of ``rows`` (part, key, block, side, node, fp, w0, w1, label) between different labels;
+    (a, a) for a node that has pairs beyond those. Side 0 meets side 1; side 2 meets itself."""
+    names = ("part", "key", "block", "side", "node", "fp", "w0", "w1", "label")
 
     def run(batches):
         kept: list[tuple[np.ndarray, ...]] = []  # rows of the block that the last batch ended in
 
         def pairs(rows: list[tuple[np.ndarray, ...]]):
-            node, fp, w0, w1, label = (np.concatenate(c) for c in list(zip(*rows))[3:])
-            i, j, rest = choose(fp.view(np.uint64), label, radius, nearest, wide=np.stack([w0, w1], 1).view(np.uint64))
+            side, node, fp, w0, w1, label = (np.concatenate(c) for c in list(zip(*rows))[3:])
+            i, j, rest = choose(fp.view(np.uint64), label, radius, nearest, None if (side == 2).any() else side,
+                                np.stack([w0, w1], 1).view(np.uint64))
             return np.concatenate([node[i], node[rest]]), np.concatenate([node[j], node[rest]])
 
         def batch_of(found):
@@ -329,7 +331,35 @@ def _dealt(keys: DataFrame, large: DataFrame, seed: int) -> DataFrame:
     """Rows for ``_block_pairs`` that look at a bucket as a whole, or at each of its parts by a seeded salt."""
     salt = F.pmod(F.xxhash64(F.lit(seed), "node"), F.coalesce("salts", F.lit(1).cast("long")))
     return keys.join(large, ["part", "key"], "left").select(
-        "part", "key", salt.alias("block"), "node", "fp", "w0", "w1", "label")
+        "part", "key", salt.alias("block"), F.lit(2).alias("side"), "node", "fp", "w0", "w1", "label")
+
+
+def _all_blocks(keys: DataFrame, size: int) -> DataFrame:
+    """Rows for ``_block_pairs`` that bring together every two nodes of a bucket whose labels differ.
+
+    A label of more than ``size`` nodes has blocks of its own, which never
+    meet each other; all other labels share blocks.
+    """
+    at = ["part", "key"]
+    count = pinned(keys.groupBy(*at, "label").agg(F.count("*").alias("n")))
+    several = count.groupBy(*at).agg(F.sum(F.when(F.col("n") <= size, F.col("n"))).alias("small"), F.count("*").alias("labels"))
+    own = F.when(F.col("n") > size, F.col("label"))
+    salts = F.ceil(F.when(F.col("n") > size, F.col("n")).otherwise(F.col("small")) / size)
+    dealt = pinned(count.join(several.where("labels > 1"), at).select(*at, "label", own.alias("own"), salts.alias("salts")))
+    block = lambda salt: F.xxhash64(F.col("own").isNull(), "own", salt)
+    there = dealt.select(*at, "own", "salts").distinct().select(
+        *at, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    there = there.select(*at, F.col("own").alias("o"), block(F.col("salt")).alias("x"))
+    meet = there.join(there.select(*at, F.col("o").alias("p"), F.col("x").alias("y")), at).where(
+        (F.col("x") <= F.col("y")) & ~F.coalesce(F.col("o") == F.col("p"), F.lit(False)))
+    meet = pinned(meet.select(*at, "x", "y", F.xxhash64("x", "y").alias("block")))
+    salt = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("salts"))
+    rows = keys.join(dealt, [*at, "label"]).withColumn("_b", block(salt))
+    out = []
+    for side, end in ((0, meet.withColumnRenamed("x", "_b")), (1, meet.where("x < y").withColumnRenamed("y", "_b"))):
+        what = F.when(F.col("_b") == F.col("y"), 2).otherwise(0) if side == 0 else F.lit(1)
+        out.append(rows.join(end, [*at, "_b"]).select(*at, "block", what.alias("side"), *[c for c in keys.columns if c not in at]))
+    return out[0].unionAll(out[1])
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -424,7 +454,7 @@ def sequence_hashes(texts: list[bytes]) -> pa.Array:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, search: int = 2,
-                   radius: int = 10, bucket: int = BUCKET, nearest: int = 4, mixings: int = 3) -> DataFrame:
+                   radius: int = 10, bucket: int = BUCKET, nearest: int = 4, mixings: int = 2) -> DataFrame:
     """(doc_id, component_id) of every document: groups of texts whose ``shingle``-word sets have a Jaccard
     similarity of at least ``similarity``, connected by such pairs.
 
@@ -436,12 +466,13 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     empty table gives no rows; extra columns are ignored.
 
     First every block of ``bucket`` rows of a bucket gives a node's ``nearest``
-    candidates and a tree of all, to be verified. A bucket of several blocks is
-    dealt anew ``mixings`` times; only candidates between components that are not joined
-    yet are looked at. What then is left unverified lies within components of
-    candidates; where such a component has several verified ones, its remaining pairs
-    pass an exact filter (``_may_be_similar``) and are verified too. So every
-    candidate is verified, shown to lie below the similarity, or between documents of one group.
+    candidates and a tree of all, to be verified. Those nodes of a bucket of several
+    blocks that have candidates are dealt anew ``mixings`` times, to join what is alike across
+    blocks; then all its blocks meet two by two, but for those of one component.
+    What is left unverified lies within components of candidates; where such a component has
+    several verified ones, its remaining pairs pass an exact filter (``_may_be_similar``)
+    and are verified too. So every candidate is verified, shown to lie below the
+    similarity, or between documents of one group.
     """
     def read(texts):
         wide = np.array([wide_fingerprint(t, shingle) for t in texts], np.int64).reshape(-1, 2)
@@ -460,22 +491,28 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     real = pinned(_similar(docs, nodes, found.where("a <> b"), similarity, shingle))
     roots = components(real)
     labelled = lambda: nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    crowd = pinned(keys.join(large, ["part", "key"], "left_semi").select("part", "key", "node"))
-    for mixing in range(1, 1 + mixings * (not large.isEmpty())):
-        here = crowd.join(labelled(), "node")
+    met, crowded = [found], not large.isEmpty()
+    crowd = pinned(keys.drop("label").join(large.drop("salts"), ["part", "key"], "left_semi"))
+    for mixing in range(1, 1 + mixings * crowded):
+        alike = crowd.join(found.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        here = alike.join(labelled().select("node", "label"), "node")
         apart = here.groupBy("part", "key").agg(F.min("label").alias("m"), F.max("label").alias("n")).where("m <> n")
-        met = pinned(_block_pairs(_dealt(here.join(apart, ["part", "key"], "left_semi"), large, mixing), radius, nearest)
-                     .where("a <> b").distinct())
-        if met.isEmpty():
+        more = pinned(_block_pairs(_dealt(here.join(apart, ["part", "key"], "left_semi"), large, mixing), radius, nearest).distinct())
+        if more.where("a <> b").isEmpty():
             break
-        real = pinned(real.unionAll(_similar(docs, nodes, met, similarity, shingle)))
+        met.append(more)
+        real = pinned(real.unionAll(_similar(docs, nodes, more.where("a <> b"), similarity, shingle)))
+        roots = components(real)
+    if crowded:
+        met.append(pinned(_block_pairs(_all_blocks(crowd.join(labelled().select("node", "label"), "node"), bucket), radius, nearest).distinct()))
+        real = pinned(real.unionAll(_similar(docs, nodes, met[-1].where("a <> b"), similarity, shingle)))
         roots = components(real)
-    # All candidates lie within the components of what was found, the nodes of a crowded bucket counting as found together.
-    together = crowd.join(crowd.groupBy("part", "key").agg(F.min("node").alias("a")), ["part", "key"]).select("a", F.col("node").alias("b"))
-    near = components(found.unionAll(together)).withColumnRenamed("root", "near")
+    # All candidates lie within the components of what the blocks chose.
+    found = reduce(DataFrame.unionAll, met)
+    near = components(found).withColumnRenamed("root", "near")
     named = pinned(labelled().join(near, "node"))
     mixed = named.groupBy("near").agg(F.min("label").alias("m"), F.max("label").alias("n")).where("m <> n")
-    rest = found.where("a = b").select(F.col("a").alias("node")).unionAll(crowd.select("node")).distinct()
+    rest = found.where("a = b").select(F.col("a").alias("node")).distinct()
     going = pinned(named.join(mixed, "near", "left_semi").join(rest, "node", "left_semi"))
     if not going.isEmpty():
         sets = pinned(_sets(docs, nodes, going, shingle).join(going, "node"))
