@@ -64,7 +64,7 @@ def ks_distance(df: DataFrame, keys: list[str], score: str, *, slices: int | Non
     """
     counted = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_c"))
     sizes = df.filter(F.col(score).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    running = running_totals(counted, [F.col(score)], {"_cum": F.col("_c")}, keys=keys, slices=slices)
+    running = running_totals(counted, [(score, False)], {"_cum": F.col("_c")}, keys=keys, slices=slices)
     x = F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0))
     joined = running.join(sizes, keys)
     above = F.col("_cum") / F.col("n") - x
@@ -157,7 +157,7 @@ def confidence_curve(df: DataFrame, score: str, tie_breaker: str, hit: Column, m
     With ``mask`` a second curve runs over the masked rows only and keeps its
     last value on the rows in between (NULL before the first masked row).
     """
-    order = [F.col(score).desc(), F.col(tie_breaker)]
+    order = [(score, True), (tie_breaker, False)]
     as_int = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
     sums = {"rows_so_far": F.lit(1).cast("bigint"), "hits_so_far": as_int(hit)}
     if mask is not None:
@@ -212,7 +212,7 @@ def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFra
     moments = rows.groupBy(*group).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                                        F.min(c).alias("min"), F.max(c).alias("max"))
     counted = rows.filter(c.isNotNull()).groupBy(*group, c.alias("_value")).agg(F.count(F.lit(1)).alias("_c"))
-    running = running_totals(counted, [F.col("_value")], {"_upto": F.col("_c")}, keys=group)
+    running = running_totals(counted, [("_value", False)], {"_upto": F.col("_c")}, keys=group)
     # Rows at 0-based places floor(h) and ceil(h), h = (count - 1) q: the least value that more rows than that reach.
     sizes = moments.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("count").alias("_n"))
     same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])

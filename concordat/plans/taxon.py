@@ -34,7 +34,7 @@ def eval_fuzzy_list(spark, sf):
 def eval_fuzzy_metrics(spark, sf):
     truth, pred = _lists(spark, sf)
     config = ev.EvalConfig(fuzzy_match_fields={"species": 70})
-    return ev.field_metrics(ev.align(truth, pred, "p_partkey", config=config))
+    return ev.field_metrics(ev.align(truth, pred, "p_partkey", config=config, matching="join"))
 
 
 def eval_fuzzy_scalar(spark, sf):
@@ -67,6 +67,14 @@ def eval_taxon_list(spark, sf):
     return aligned.wide.select("p_partkey", "c_species.*")
 
 
+def eval_taxon_list_join(spark, sf):
+    """Each distinct pair of names is scored once, however many records it occurs in."""
+    truth, pred = _taxon_lists(spark, sf)
+    config = ev.EvalConfig(field_strategies={"species": ev.FieldStrategy("enhanced_species", 70)})
+    aligned = ev.align(truth, pred, "p_partkey", config=config, matching="join")
+    return aligned.wide.select("p_partkey", "c_species.*")
+
+
 def taxon_name_parts(spark, sf):
     _, pred = _taxon_lists(spark, sf)
     rows = pred.select(F.explode("species").alias("name")).distinct()
@@ -286,7 +294,8 @@ _LABEL = "coalesce(" + ", ".join("CASE upper({c}) {w} END".format(
     for rank in ("family", "order", "class", "phylum")) + ")"
 
 QUERIES = {f.__name__: f for f in (
-    eval_fuzzy_list, eval_fuzzy_metrics, eval_fuzzy_scalar, indel_similarity, eval_taxon_list, taxon_name_parts, species_parse,
+    eval_fuzzy_list, eval_fuzzy_metrics, eval_fuzzy_scalar, indel_similarity, eval_taxon_list,
+    eval_taxon_list_join, taxon_name_parts, species_parse,
     richness_mentions, richness_keys, stripped_richness, taxon_resolve, taxon_resolve_no_higher_rank, broad_groups,
     taxonomy_eval, taxonomy_eval_derived, mismatch_recovery)}
 
@@ -326,6 +335,7 @@ ORACLE = {
     "indel_similarity": f"""WITH n AS (SELECT DISTINCT p_name, typo FROM ({plain(NAMES)}))
       SELECT p_name, typo, round({_RATIO.format(a='p_name', b='typo')}, 6) AS score FROM n""",
     "eval_taxon_list": _TAXON,
+    "eval_taxon_list_join": _TAXON,
     "taxon_name_parts": f"""WITH n AS ({plain(NAMES)}), p AS (SELECT DISTINCT CASE i WHEN 1 THEN ver || ' (' || sci || ')'
       WHEN 2 THEN p_brand || ' of ' || typo ELSE sci || ' (' || ver || ')' END AS name FROM n, range(1, 4) r(i)),
       q AS (SELECT name, {_PARTS.format(v='name')} AS parts, contains(name, '(') AS paren FROM p)

@@ -174,7 +174,7 @@ def test_embedding_cache(spark, tmp_path):
 
 def test_running_totals_over_a_hot_key(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") < 2500, 0).otherwise(F.col("id")).alias("k"), (F.col("id") * 7919 % 1000).alias("v"))
-    out = running_totals(df, [F.col("v").desc(), F.col("id")], {"s": F.col("v"), "n": F.lit(1)}, keys=["k"], slices=7)
+    out = running_totals(df, [("v", True), ("id", False)], {"s": F.col("v"), "n": F.lit(1)}, keys=["k"], slices=7)
     hot = sorted((r for r in out.collect() if r.k == 0), key=lambda r: (-r.v, r.id))
     total = 0
     for i, r in enumerate(hot, 1):
