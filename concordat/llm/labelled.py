@@ -35,10 +35,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable[[l
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = map_texts(texts, "features binary", lambda t: {
         "features": pa.array([x.tobytes() for x in features(t).astype(np.float32)], pa.binary())}, keep=("doc_id", "label"))
-    got = rows.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toPandas().sort_values("doc_id")
-    raw = got.pop("features")
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).copy() if len(raw) else np.zeros((0, 0), np.float32)
-    return x, got["label"].to_numpy(float), got["doc_id"].to_numpy()
+    got = rows.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toArrow().sort_by("doc_id")
+    raw = got.column("features")
+    # Row by row into one array: the driver holds the features once more, and no second copy of them.
+    x = np.zeros((len(raw), len(raw[0].as_buffer()) // 4 if len(raw) else 0), np.float32)
+    for i, value in enumerate(raw):
+        x[i] = np.frombuffer(value.as_buffer(), np.float32)
+    return x, got.column("label").to_numpy().astype(float), got.column("doc_id").to_numpy()
 
 
 def scaling(x: np.ndarray) -> np.ndarray:

@@ -454,7 +454,7 @@ def sequence_hashes(texts: list[bytes]) -> pa.Array:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, search: int = 2,
-                   radius: int = 10, bucket: int = BUCKET, nearest: int = 4, mixings: int = 2) -> DataFrame:
+                   radius: int = 10, bucket: int = BUCKET, nearest: int = 4, mixings: int = 1) -> DataFrame:
     """(doc_id, component_id) of every document: groups of texts whose ``shingle``-word sets have a Jaccard
     similarity of at least ``similarity``, connected by such pairs.
 
@@ -481,15 +481,21 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
 
     keyed = pinned(map_texts(docs, "fp long, w0 long, w1 long, node long", read))
     nodes = pinned(keyed.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "w0", "w1")], F.min("doc_id").alias("first")))
-    # A signature is written, moved and sorted; a candidate is a few machine words compared in an array.
-    groups = plan(bit_counts(nodes), nodes.count(), radius, tuple(range(1, radius + 2)), row_cost=300.0)
+    # A signature is written, moved and sorted, a candidate only compared in an array. But a bucket that chance fills
+    # must be dealt to blocks, so buckets are kept small by more signatures than those two costs ask for.
+    groups = plan(bit_counts(nodes), nodes.count(), radius, tuple(range(1, radius + 2)), row_cost=20.0)
     # Probes hold each plain signature too, so one set of rows serves as index and probes.
     keys = _signatures(nodes.withColumn("label", F.col("node")), groups, True, "node", "w0", "w1", "label")
     large = pinned(keys.groupBy("part", "key").count().where(F.col("count") > bucket).select(
         "part", "key", F.ceil(F.col("count") / bucket).alias("salts")))
     found = pinned(_block_pairs(_dealt(keys, large, 0), radius, nearest).distinct())
-    real = pinned(_similar(docs, nodes, found.where("a <> b"), similarity, shingle))
-    roots = components(real)
+    roots = components(_similar(docs, nodes, found.where("a <> b"), similarity, shingle))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The roots after ``pairs`` are verified; those known are links already, so few steps are left."""
+        more = pinned(_similar(docs, nodes, pairs, similarity, shingle))
+        return roots if more.isEmpty() else components(more.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
     labelled = lambda: nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     met, crowded = [found], not large.isEmpty()
     crowd = pinned(keys.drop("label").join(large.drop("salts"), ["part", "key"], "left_semi"))
@@ -501,12 +507,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
         if more.where("a <> b").isEmpty():
             break
         met.append(more)
-        real = pinned(real.unionAll(_similar(docs, nodes, more.where("a <> b"), similarity, shingle)))
-        roots = components(real)
+        roots = joined(more.where("a <> b"))
     if crowded:
         met.append(pinned(_block_pairs(_all_blocks(crowd.join(labelled().select("node", "label"), "node"), bucket), radius, nearest).distinct()))
-        real = pinned(real.unionAll(_similar(docs, nodes, met[-1].where("a <> b"), similarity, shingle)))
-        roots = components(real)
+        roots = joined(met[-1].where("a <> b"))
     # All candidates lie within the components of what the blocks chose.
     found = reduce(DataFrame.unionAll, met)
     near = components(found).withColumnRenamed("root", "near")
@@ -516,9 +520,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     going = pinned(named.join(mixed, "near", "left_semi").join(rest, "node", "left_semi"))
     if not going.isEmpty():
         sets = pinned(_sets(docs, nodes, going, shingle).join(going, "node"))
-        pairs = pinned(_may_be_similar(sets, similarity, radius))
-        real = pinned(real.unionAll(_similar(docs, nodes, pairs, similarity, shingle)))
-        roots = components(real)
+        roots = joined(pinned(_may_be_similar(sets, similarity, radius)))
     named = labelled().withColumnRenamed("label", "root")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return keyed.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
