@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from concordat.functions import coerce, cost
@@ -150,14 +151,16 @@ def fill_rate(records: DataFrame, column: str = "output") -> DataFrame:
 def extraction_table(records: DataFrame, column: str = "output") -> DataFrame:
     """Rows of the extraction CSV: base columns, then the output fields, all as cell text."""
     kinds = {f.name: f.dataType.simpleString() for f in records.schema[column].dataType.fields}
-    own = set(records.columns)
-    base = []
-    for name in CSV_BASE:
-        source = F.col("usage_cost.total_cost") if name == "cost_usd" else (
-            F.col(name) if name in own else F.lit(None).cast("string"))
-        base.append(coerce.csv_cell(source, "string").alias(name))
     extra = [coerce.csv_cell(F.col(f"{column}.{n}"), k).alias(n) for n, k in kinds.items() if n not in CSV_BASE]
-    return records.select(*base, *extra)
+    return records.select(*_csv_base(records), *extra)
+
+
+def _csv_base(records: DataFrame) -> list[Column]:
+    """The base columns as cell text; those the records do not have are empty."""
+    own = set(records.columns)
+    sources = {"cost_usd": F.col("usage_cost.total_cost")} if "usage_cost" in own else {}
+    sources |= {n: F.col(n) for n in CSV_BASE if n in own and n not in sources}
+    return [coerce.csv_cell(sources.get(n, F.lit(None).cast("string")), "string").alias(n) for n in CSV_BASE]
 
 
 def output_keys(records: DataFrame, order: str, column: str = "output") -> DataFrame:
@@ -237,3 +240,44 @@ def table_digest(df: DataFrame, key: str) -> DataFrame:
     parts = [F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
     sums = df.agg(F.count(key).alias("rows"), *[F.sum(p).alias(f"s{i}") for i, p in enumerate(parts)])
     return sums.select("rows", F.sha2(F.concat_ws("|", "rows", *[f"s{i}" for i in range(4)]), 256).alias("digest"))
+
+
+# ---- Map outputs and outcomes ----------------------------------------------
+
+
+def extraction_table_of_maps(records: DataFrame, order: str, column: str = "output") -> DataFrame:
+    """Rows of the extraction CSV for free-form outputs (maps of texts): base columns, then a column for each key.
+
+    Two passes: the first finds the keys in the order they are first seen, by
+    ``order`` and place in the map; the second widens every row. The driver
+    holds the keys, which are the columns of the result.
+    """
+    keys = [r["field"] for r in output_keys(records, order, column).collect() if r["field"] not in CSV_BASE]
+    extra = [coerce.csv_cell(F.try_element_at(column, F.lit(k)), "string").alias(k) for k in keys]
+    return records.select(*_csv_base(records), *extra)
+
+
+@dataclass(frozen=True)
+class Split:
+    """Both sides of a job's outcomes, as stored, and how many there are."""
+
+    succeeded: DataFrame
+    failed: DataFrame
+    n_succeeded: int
+    n_failed: int
+
+
+def split_outcomes(df: DataFrame, ok: Column, path: str) -> Split:
+    """Write rows to ``path`` apart by whether they succeeded, in one job that runs the work once.
+
+    The counts are observed while the rows are written; a NULL outcome is a failure.
+    """
+    counts = Observation()
+    good = F.coalesce(ok, F.lit(False))
+    marked = df.withColumn("outcome", F.when(good, "succeeded").otherwise("failed"))
+    marked = marked.observe(counts, F.count_if(F.col("outcome") == "succeeded").alias("n_succeeded"),
+                            F.count_if(F.col("outcome") == "failed").alias("n_failed"))
+    marked.write.mode("overwrite").partitionBy("outcome").parquet(path)
+    stored = df.sparkSession.read.schema(marked.schema).parquet(path)
+    side = lambda name: stored.where(F.col("outcome") == name).drop("outcome")
+    return Split(side("succeeded"), side("failed"), counts.get["n_succeeded"], counts.get["n_failed"])

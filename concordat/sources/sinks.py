@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from concordat.operators.evaluate import Aligned, EvalConfig, field_metrics, field_results
 from concordat.operators.manifest import COLUMNS as MANIFEST_COLUMNS
 from concordat.operators.normalize import FEATURES, normalize_features
-from concordat.operators.runs import extraction_table
+from concordat.operators.runs import extraction_table, extraction_table_of_maps
+
+
+# Quotes are doubled, and cells keep the blanks they begin and end with (the writer's default drops them).
+CSV_TEXT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
     """Manifest CSV with the fixed column order; NULL is an empty cell."""
     df.select(*[F.col(c).cast("string").alias(c) for c in MANIFEST_COLUMNS]).write.mode("overwrite").option(
-        "header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
+        "header", True).option("nullValue", "").option("emptyValue", "").options(**CSV_TEXT).csv(path)
 
 
 def write_run_records(records: DataFrame, path: str, run: str) -> None:
@@ -27,9 +31,10 @@ def write_run_records(records: DataFrame, path: str, run: str) -> None:
         "partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def write_extraction_csv(records: DataFrame, path: str) -> None:
-    extraction_table(records).write.mode("overwrite").option("header", True).option("emptyValue", "").option(
-        "escape", '"').csv(path)
+def write_extraction_csv(records: DataFrame, path: str, *, order: str | None = None) -> None:
+    """The extraction table as CSV. Outputs that are maps need ``order``: their keys become columns as they are first seen in it."""
+    table = extraction_table_of_maps(records, order) if order else extraction_table(records)
+    table.write.mode("overwrite").option("header", True).option("emptyValue", "").options(**CSV_TEXT).csv(path)
 
 
 def write_evaluation(aligned: Aligned, path: str) -> None:

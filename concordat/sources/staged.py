@@ -71,12 +71,13 @@ def lookup_by_doi(requests: DataFrame, catalogue: DataFrame, *, request_doi: str
 
     Of catalogue rows with one DOI the first in order of their columns counts,
     so a request stays one row. Requests without a DOI join nothing and are
-    spread over a random key instead of meeting in one task.
+    spread by a hash of their own columns instead of meeting in one task (a
+    repeated task deals them alike).
     """
     other = catalogue.select(doi.normalize_or_null(catalogue_doi).alias("_key"), F.struct(*catalogue.columns).alias("_row"))
     other = other.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_row").alias("_row"))
     keyed = requests.withColumn("_doi", doi.normalize_or_null(request_doi))
-    keyed = keyed.withColumn("_key", F.coalesce("_doi", F.concat(F.lit("\x00"), F.rand(1).cast("string"))))
+    keyed = keyed.withColumn("_key", F.coalesce("_doi", F.concat(F.lit("\x00"), F.xxhash64(*requests.columns).cast("string"))))
     joined = keyed.join(broadcast_if_small(other), "_key", "left")
     return joined.select(*requests.columns, *[F.col("_row")[c].alias(f"{prefix}{c}") for c in catalogue.columns])
 
