@@ -133,6 +133,12 @@ def comparison_table(records: DataFrame, key: str, text: str, fields: dict[str,
         F.col("r.pred.quote").alias("pred_quote"), bucket(F.coalesce(match, F.lit(False)), g, p).alias("bucket"))
 
 
+def in_order(table: DataFrame, key: str) -> DataFrame:
+    """The comparison table by record, field, bucket and claim, with a label of record and field; a distributed sort."""
+    label = F.concat(F.col(key).cast("string"), F.lit(" · "), F.col("field"))
+    return table.withColumn("record_field", label).orderBy(key, "field", "bucket", F.asc_nulls_last("target_value"))
+
+
 def crosstab(table: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Zero-filled counts; NULL in ``row`` stays a group of its own."""
     return table.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).fillna(0, subset=values)

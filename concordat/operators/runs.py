@@ -179,6 +179,23 @@ def normalize_reasoning(reasoning: Column, effort: Column) -> Column:
     return F.coalesce(given, F.when(as_json, inner), plain)
 
 
+def reasoning_settings(reasoning: Column, effort: Column) -> Column:
+    """``struct(reasoning map<string,string>, effort)`` of a run, from the JSON object, the plain spelling or the effort alone.
+
+    The object keeps its other settings; its own effort is trimmed, not replaced by the separate one.
+    """
+    as_json = F.btrim(reasoning).startswith("{")
+    given = F.from_json(F.when(as_json, reasoning), "map<string,string>")
+    own = F.nullif(F.btrim(F.try_element_at(given, F.lit("effort"))), F.lit(""))
+    kept = F.when(own.isNull(), given).otherwise(F.map_concat(F.map_filter(given, lambda k, _: k != "effort"), F.create_map(F.lit("effort"), own)))
+    plain = F.nullif(F.btrim(F.when(~as_json, reasoning)), F.lit(""))
+    separate = F.nullif(F.btrim(effort), F.lit(""))
+    alone = F.when(reasoning.isNull(), separate)
+    text = F.coalesce(plain, alone)
+    settings = F.when(as_json, kept).when(text.isNotNull(), F.create_map(F.lit("effort"), text))
+    return F.struct(settings.alias("reasoning"), F.coalesce(separate, own, plain).alias("effort"))
+
+
 # ---- Comparing runs --------------------------------------------------------
 
 RATIOS = ("precision", "recall", "f1")

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from concordat.operators import runs
+from concordat.operators import grounding, runs
 from concordat.sources import sinks, staged
 
 
@@ -56,3 +56,21 @@ def test_lookup_keeps_requests_without_a_doi(spark):
     found = staged.lookup_by_doi(requests, catalogue)
     assert "rand(" not in found._jdf.queryExecution().toString()
     assert {r["id"]: r["found_name"] for r in found.collect()} == {i: "four" if i == 4 else None for i in range(20)}
+
+
+def test_comparison_table_is_sorted(spark):
+    rows = [(2, "b", "match", "x"), (1, "b", "match", "y"), (1, "a", "pred_only", None), (1, "a", "gt_only", "z"), (1, "a", "pred_only", "k"), (10, "a", "match", "q")]
+    table = spark.createDataFrame(rows, "id int, field string, bucket string, target_value string").repartition(3)
+    got = [tuple(r) for r in grounding.in_order(table, "id").collect()]
+    assert got == [(1, "a", "gt_only", "z", "1 · a"), (1, "a", "pred_only", "k", "1 · a"), (1, "a", "pred_only", None, "1 · a"), (1, "b", "match", "y", "1 · b"),
+                   (2, "b", "match", "x", "2 · b"), (10, "a", "match", "q", "10 · a")]
+
+
+def test_reasoning_settings(spark):
+    cases = [("low", None, {"effort": "low"}, "low"), (" ", None, None, None), (None, " medium ", {"effort": "medium"}, "medium"),
+             ('{"effort": " low ", "n": 1}', None, {"effort": "low", "n": "1"}, "low"), ('{"effort": "low"}', "high", {"effort": "low"}, "high"),
+             ('{"effort": " "}', None, {"effort": " "}, None), ("{}", "high", {}, "high"), (None, None, None, None), ("", "high", None, "high")]
+    df = spark.createDataFrame([(i, r, e) for i, (r, e, *_) in enumerate(cases)], "i int, r string, e string")
+    got = {x["i"]: x["s"] for x in df.select("i", runs.reasoning_settings(F.col("r"), F.col("e")).alias("s")).collect()}
+    for i, (_, _, want, effort) in enumerate(cases):
+        assert (got[i]["reasoning"], got[i]["effort"]) == (want, effort), cases[i]
