@@ -237,7 +237,7 @@ _POPCOUNT = np.bitwise_count
 
 
 #: Rows of a block, about: a bucket with more is dealt to several.
-BUCKET = 1024
+BUCKET = 4096
 
 #: Bits of the wide fingerprint, and how many may differ. Two texts of similarity s differ in about WIDE * arccos(c) / pi bits
 #: with c = 2s / (1 + s), the share of shingles both have: for s = 0.8 that is 19, and 40 lies five standard deviations above;
@@ -250,16 +250,20 @@ def _within_radius(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int
     """All pairs of rows of different labels within ``radius``, and which are among an end's ``nearest``.
     With ``side`` only pairs across sides 0 and 1, with ``wide`` only those whose wide fingerprints are close."""
     left, right = (np.arange(len(fps)),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    far = _POPCOUNT(fps[left, None] ^ fps[None, right])
-    near = far <= radius
-    if side is None:
-        near = np.tril(near, -1)
-    near &= label[left, None] != label[None, right]
-    i, j = np.nonzero(near)
-    if wide is not None:
-        close = _POPCOUNT(wide[left[i]] ^ wide[right[j]]).sum(1, dtype=np.int64) <= WIDE_REACH
-        i, j = i[close], j[close]
-    end, d = np.concatenate([left[i], right[j]]), np.tile(far[i, j], 2)
+    found = []
+    for at in range(0, len(left), 512):  # some rows against all: the table of distances stays small
+        here = left[at:at + 512]
+        far = _POPCOUNT(fps[here, None] ^ fps[None, right])
+        near = (far <= radius) & (label[here, None] != label[None, right])
+        if side is None:
+            near &= here[:, None] > right
+        i, j = np.nonzero(near)
+        if wide is not None:
+            close = _POPCOUNT(wide[here[i]] ^ wide[right[j]]).sum(1, dtype=np.int64) <= WIDE_REACH
+            i, j = i[close], j[close]
+        found.append((i + at, j, far[i, j]))
+    i, j, far = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    end, d = np.concatenate([left[i], right[j]]), np.tile(far, 2)
     order = np.lexsort((d, end))
     rank = np.empty(len(end), np.int64)
     rank[order] = np.arange(len(end)) - np.searchsorted(end[order], end[order])
@@ -289,8 +293,8 @@ def spanning(nodes: np.ndarray, fps: np.ndarray, radius: int, nearest: int = 4)
 
 
 def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
-    """(a, b) chosen in every block of ``rows`` (part, key, block, side, node, fp, w0, w1, label) between different labels;
-    (a, a) for a node that has pairs beyond those. Side 0 meets side 1; side 2 meets itself."""
+    """(a, b, far) chosen in every block of ``rows`` (part, key, block, side, node, fp, w0, w1, label) between different labels,
+    with the bits they differ in; (a, a) for a node that has pairs beyond those. Side 0 meets side 1; side 2 meets itself."""
     names = ("part", "key", "block", "side", "node", "fp", "w0", "w1", "label")
 
     def run(batches):
@@ -300,10 +304,11 @@ def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
             side, node, fp, w0, w1, label = (np.concatenate(c) for c in list(zip(*rows))[3:])
             i, j, rest = choose(fp.view(np.uint64), label, radius, nearest, None if (side == 2).any() else side,
                                 np.stack([w0, w1], 1).view(np.uint64))
-            return np.concatenate([node[i], node[rest]]), np.concatenate([node[j], node[rest]])
+            far = _POPCOUNT(fp[i].view(np.uint64) ^ fp[j].view(np.uint64)).astype(np.int32)
+            return np.concatenate([node[i], node[rest]]), np.concatenate([node[j], node[rest]]), np.concatenate([far, np.zeros(len(rest), np.int32)])
 
         def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "far"])
 
         for batch in batches:
             columns = [batch.column(n).to_numpy() for n in names]
@@ -324,7 +329,7 @@ def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
             yield batch_of([pairs(kept)])
 
     ordered = rows.select(*names).repartition("part", "key", "block").sortWithinPartitions("part", "key", "block")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long, far int")
 
 
 def _dealt(keys: DataFrame, large: DataFrame, seed: int) -> DataFrame:
@@ -453,6 +458,18 @@ def sequence_hashes(texts: list[bytes]) -> pa.Array:
                              np.uint64).view(np.int64))
 
 
+def _nearest(pairs: DataFrame, names: tuple[str, str], nearest: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, far, ...) that are among the ``nearest`` of one of the ends that ``names`` gives.
+
+    The rank is cut where the rows are, before they move, so an end with many pairs sends few.
+    """
+    out = []
+    for mine, other in (names, names[::-1]):
+        rank = F.row_number().over(Window.partitionBy(mine).orderBy("far", F.xxhash64(other), "a", "b"))
+        out.append(pairs.withColumn("_n", rank).where(F.col("_n") <= nearest).select("a", "b"))
+    return out[0].unionAll(out[1]).distinct()
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, search: int = 2,
                    radius: int = 10, bucket: int = BUCKET, nearest: int = 4, mixings: int = 1) -> DataFrame:
     """(doc_id, component_id) of every document: groups of texts whose ``shingle``-word sets have a Jaccard
@@ -466,7 +483,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     empty table gives no rows; extra columns are ignored.
 
     First every block of ``bucket`` rows of a bucket gives a node's ``nearest``
-    candidates and a tree of all, to be verified. Those nodes of a bucket of several
+    candidates and a tree of all; over all blocks a node's ``nearest`` are verified, and then the
+    nearest pairs between groups that are still apart. Those nodes of a bucket of several
     blocks that have candidates are dealt anew ``mixings`` times, to join what is alike across
     blocks; then all its blocks meet two by two, but for those of one component.
     What is left unverified lies within components of candidates; where such a component has
@@ -489,13 +507,21 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     large = pinned(keys.groupBy("part", "key").count().where(F.col("count") > bucket).select(
         "part", "key", F.ceil(F.col("count") / bucket).alias("salts")))
     found = pinned(_block_pairs(_dealt(keys, large, 0), radius, nearest).distinct())
-    roots = components(_similar(docs, nodes, found.where("a <> b"), similarity, shingle))
+    roots = components(_similar(docs, nodes, _nearest(found.where("a <> b"), ("a", "b"), nearest), similarity, shingle))
 
     def joined(pairs: DataFrame) -> DataFrame:
         """The roots after ``pairs`` are verified; those known are links already, so few steps are left."""
         more = pinned(_similar(docs, nodes, pairs, similarity, shingle))
         return roots if more.isEmpty() else components(more.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
+    def between(pairs: DataFrame) -> DataFrame:
+        """One pair, the nearest, of every two labels that ``pairs`` bring together; a label's ``nearest`` of them."""
+        named = labelled().select("node", "label")
+        pairs = pairs.where("a <> b").join(named.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
+            named.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
+        best = pairs.groupBy(F.least("la", "lb").alias("l"), F.greatest("la", "lb").alias("m")).agg(F.min(F.struct("far", "a", "b")).alias("p"))
+        return _nearest(best.select("l", "m", "p.*"), ("l", "m"), nearest)
+
     labelled = lambda: nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     met, crowded = [found], not large.isEmpty()
     crowd = pinned(keys.drop("label").join(large.drop("salts"), ["part", "key"], "left_semi"))
@@ -507,16 +533,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
         if more.where("a <> b").isEmpty():
             break
         met.append(more)
-        roots = joined(more.where("a <> b"))
+        roots = joined(_nearest(more.where("a <> b"), ("a", "b"), nearest))
     if crowded:
         met.append(pinned(_block_pairs(_all_blocks(crowd.join(labelled().select("node", "label"), "node"), bucket), radius, nearest).distinct()))
-        roots = joined(met[-1].where("a <> b"))
-    # All candidates lie within the components of what the blocks chose.
+        roots = joined(_nearest(met[-1].where("a <> b"), ("a", "b"), nearest))
     found = reduce(DataFrame.unionAll, met)
+    roots = joined(between(found))
+    # All candidates lie within the components of what the blocks chose.
     near = components(found).withColumnRenamed("root", "near")
     named = pinned(labelled().join(near, "node"))
     mixed = named.groupBy("near").agg(F.min("label").alias("m"), F.max("label").alias("n")).where("m <> n")
-    rest = found.where("a = b").select(F.col("a").alias("node")).distinct()
+    # A pair that was left out above has two ends with different labels still, or needs no look.
+    rest = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     going = pinned(named.join(mixed, "near", "left_semi").join(rest, "node", "left_semi"))
     if not going.isEmpty():
         sets = pinned(_sets(docs, nodes, going, shingle).join(going, "node"))
