@@ -257,7 +257,8 @@ def jsonl_props_extract(spark, sf):
     wrapped = ev.select(F.concat(F.lit('{"records": {"'), "event_id", F.lit('": {"title": "'), "event_type", F.lit(
         '", "source_url": "https://doi.org/10.1/'), "user_id", F.lit('"}}}')).alias("value"))
     legacy = readers.legacy_records(wrapped).select(F.col("id").cast("bigint").alias("event_id"), "title", "doi")
-    return one.join(legacy, "event_id")
+    # A row for every event on both sides: the sizes of the files say little of them, so neither may be broadcast.
+    return one.join(legacy.hint("merge"), "event_id")
 
 
 def metadata_scroll(spark, sf):
