@@ -4,7 +4,8 @@ Workers report what happened to a work as events, one for each attempt at a step
 order. State for each work is what was reported - which steps succeeded, which attempts
 failed - so the same events in any order end in the same status: the last step that was
 reached without a gap; or ERROR once the step after it has failed more often than it may
-be retried. A success that comes after the failures clears them.
+be retried. A success that comes after the failures clears them. Events that are all there (not streamed)
+need no state: the same statuses are sums over them.
 """
 
 from __future__ import annotations
@@ -78,12 +79,36 @@ class Chain(StatefulProcessor):
         pass
 
 
+def _settled(events: DataFrame, retries: int) -> DataFrame:
+    """The statuses that a ``Chain`` ends in, from all events at once.
+
+    Reports of one attempt are put together first, so neither a report that comes often nor a work with many
+    attempts meets in one task before it is summed up.
+    """
+    ok = F.coalesce("ok", F.lit(False))
+    tried = events.groupBy("work_id", "step", "attempt").agg(
+        F.max(ok).alias("done"), F.max(~ok).alias("failed"), F.min(F.when(~ok, F.col("error_message"))).alias("error"), F.max("at").alias("at"))
+    sums = [F.max("at").alias("updated_at")]
+    for i, step in enumerate(STEPS):
+        here, lost = F.col("step") == step, F.when((F.col("step") == step) & F.col("failed"), F.col("attempt"))
+        sums += [F.coalesce(F.max(here & F.col("done")), F.lit(False)).alias(f"done{i}"), F.least(F.count(lost), F.lit(retries + 1)).cast("int").alias(f"n{i}"),
+                 F.max_by("error", lost).alias(f"error{i}")]
+    works = tried.groupBy("work_id").agg(*sums)
+    out = F.struct(F.lit(STEPS[-1]).alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(0).alias("failures"))
+    for i in reversed(range(len(STEPS))):
+        n = F.col(f"n{i}")
+        open_ = F.struct(F.when(n > retries, "ERROR").otherwise(STATUSES[i]).alias("status"), F.when(n > retries, F.col(f"error{i}")).alias("error_message"), n.alias("failures"))
+        out = F.when(~F.col(f"done{i}"), open_).otherwise(out)
+    return works.select("work_id", out.alias("s"), "updated_at").select("work_id", "s.status", "s.error_message", "s.failures", "updated_at")
+
+
 def statuses(events: DataFrame, retries: int = 2) -> DataFrame:
     """The status of every work that ``events`` (streamed or not) tell of; a stream gives a row for each change of its state."""
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    spark.streams.active  # noqa: B018 - starts what coordinates state stores, which a batch needs as well
-    return events.where("work_id is not null and at is not null").groupBy("work_id").transformWithStateInPandas(
+    events = events.where("work_id is not null and at is not null")
+    if not events.isStreaming:
+        return _settled(events, retries)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return events.groupBy("work_id").transformWithStateInPandas(
         Chain(retries), OUT, outputMode="Update", timeMode="None")
 
 
