@@ -197,10 +197,11 @@ class WordTokens:
     def nested_cuts(self, texts: Column, size: int) -> Column:
         """For every sentence over ``size`` tokens: its pieces of ``size`` tokens."""
         def pieces(sentence: Column) -> Column:
+            # Bound outside the lambda, which would find the tokens again for every piece.
             tokens = F.regexp_extract_all(sentence, F.lit(f"({WS}*{NON_WS}+{WS}*)"), 1)
-            starts = F.sequence(F.lit(1), self._count(sentence), F.lit(size))
-            cut = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), ""))
-            return F.when(self._count(sentence) > size, cut)
+            cut = lambda n: let(tokens, lambda t: F.transform(F.sequence(F.lit(1), n, F.lit(size)), lambda i: F.array_join(
+                F.slice(t, i, F.lit(size)), "")))
+            return let(self._count(sentence), lambda n: F.when(n > size, cut(n)))
 
         return F.transform(texts, lambda group: F.transform(group, pieces))
 

@@ -2,12 +2,15 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import pyarrow.fs as fs
 import pytest
 from pyspark.sql import functions as F
 
+from concordat.functions.text import ascii_key, clean_markup
+from concordat.operators import chunking as ch
 from concordat.operators import evaluate as ev
 from concordat.plans import texts
 from concordat.sources import json_arrays, readers, run_sink
@@ -65,3 +68,30 @@ def test_statuses_of_a_batch_need_no_state(spark, retries):
             failed |= dict(sorted(tries.items(), key=lambda x: -x[0][1])[:retries + 1])
         want[work] = (*sc.status_of({r[1] for r in own if r[3]}, failed, retries), max(r[5] for r in own))
     assert {r["work_id"]: tuple(r)[1:] for r in found.collect()} == want
+
+
+def test_a_chunk_does_not_hold_its_section(spark):
+    text = " ".join(f"Sentence number {i} ends here." for i in range(400))
+    out = ch.with_chunks(spark.createDataFrame([("W1", None, [("s1", "Methods", 1, "", text, None, None)])],
+                                               f"work_id string, abstract string, sections array<{ch.SECTION}>"), F.col("sections"), texts.CHUNKS)
+    assert "text" not in out.schema["chunks"].dataType.elementType["section"].dataType.names
+    row = out.select(F.size("chunks").alias("n"), F.length(F.to_json("chunks")).alias("size")).first()
+    assert row["n"] > 20 and row["size"] < 5 * len(text)
+
+
+def test_keys_of_plain_texts_are_not_cleaned(spark):
+    rows = [("A  b\x1c\tC-1",), ("a<b>c</b> d",), ("a &amp;lt; b",), ("é x y",), (" \n",), ("",), (None,), ("a < b",), ("x & y",)]
+    df = spark.createDataFrame(rows, "t string")
+    with_cleaning = ascii_key(clean_markup("t"), cleaned=True)
+    assert all(a == b for a, b in df.select(ascii_key("t"), with_cleaning).collect())
+    plain = df.where("t = 'A  b\x1c\tC-1'").select(ascii_key("t")).first()
+    assert plain[0] == "a b c 1"
+
+
+def test_a_sentence_of_many_pieces_is_split_once(spark):
+    """Time must not grow with the square of a sentence's pieces."""
+    text = "word " * 60_000
+    out = ch.chunk_text(spark.createDataFrame([(text,)], "text string"), "text", texts.CHUNKS).agg(F.count(F.lit(1)), F.sum("token_count"))
+    began = time.time()
+    assert tuple(out.first()) == (750, 60_000)
+    assert time.time() - began < 40
