@@ -1,4 +1,4 @@
-"""A bounded sample of labelled documents, as feature rows on the driver."""
+"""Labelled documents as feature rows: all of them as a DataFrame, or a bounded sample on the driver."""
 
 from __future__ import annotations
 
@@ -20,6 +20,31 @@ def fold(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.encode(column.cast("string"), "UTF-8")) % FOLDS, F.lit(0))
 
 
+def training(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the rows outside fold 0 that are labelled 0 or 1, an id once."""
+    return labels.select("doc_id", F.col(label).cast("double").alias("label")).where(
+        "label in (0, 1) and doc_id is not null").where(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def feature_rows(docs: DataFrame, known: DataFrame, features: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """(doc_id, label, features) of all documents in ``known``, features compressed; an id that several documents have
+    counts once.
+
+    No text is shuffled: every document that may be in ``known`` becomes features first, which take less room.
+    """
+    rows = map_texts(docs.where(fold("doc_id") != 0), "features binary", lambda t: {
+        "features": pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in features(t).astype(np.float32)], pa.binary())})
+    return rows.groupBy("doc_id").agg(F.min("features").alias("features")).join(known, "doc_id").select("doc_id", "label", "features")
+
+
+def unpacked(features: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The compressed feature rows as one array."""
+    x = np.zeros((len(features), width), np.float32)
+    for i, value in enumerate(features):
+        x[i] = np.frombuffer(pa.decompress(value.as_buffer(), 4 * width, "zstd"), np.float32)
+    return x
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable[[list[bytes]], np.ndarray],
            bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature rows, labels (0, 1) and ids of at most ``bound`` labelled documents outside fold 0, in order of id.
@@ -28,9 +53,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable[[l
     tables has the same ones. Only their texts are read into features; an id
     that several documents have counts once.
     """
-    known = labels.select("doc_id", F.col(label).cast("double").alias("label")).where(
-        "label in (0, 1) and doc_id is not null").where(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = bounded_sample(known, "doc_id", bound)
+    chosen = bounded_sample(training(labels, label), "doc_id", bound)
     # At most ``bound`` rows of an id and a number.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = map_texts(texts, "features binary", lambda t: {
@@ -64,17 +87,20 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def platt(score: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of P(label 1 | score), by Newton steps, with targets drawn in from 0 and 1 by the class counts."""
-    pos, neg = float(label.sum()), float(len(label) - label.sum())
+def platt(score: np.ndarray, label: np.ndarray, steps: int = 50, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset of P(label 1 | score), by Newton steps, with targets drawn in from 0 and 1 by the class counts;
+    ``weight``: how often each row counts."""
+    weight = np.ones(len(score)) if weight is None else weight
+    pos, neg = float((label * weight).sum()), float(((1 - label) * weight).sum())
     goal = np.where(label > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    spread = float(score.std()) or 1.0
-    x = np.column_stack([(score - score.mean()) / spread, np.ones(len(score))])
+    middle = float((score * weight).sum() / weight.sum())
+    spread = float(np.sqrt((weight * (score - middle) ** 2).sum() / weight.sum())) or 1.0
+    x = np.column_stack([(score - middle) / spread, np.ones(len(score))])
     w = np.zeros(2)
     for _ in range(steps):
         p = sigmoid(x @ w)
-        hessian = x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - goal) + 1e-6 * w)
+        hessian = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - goal)) + 1e-6 * w)
         w -= np.clip(step, -5, 5)
     slope = max(w[0], 1e-6) / spread
-    return slope, float(w[1] - slope * score.mean())
+    return slope, float(w[1] - slope * middle)

@@ -12,9 +12,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from concordat.llm import packing, quality_rank, quality_rules, secret_scan, token_counts, url_filter
+from concordat.llm import labelled, packing, quality_rank, quality_rules, secret_scan, token_counts, url_filter
 
 SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 LIBRARY = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
@@ -196,6 +198,19 @@ def test_held_out_accuracy(spark):
     assert pd.testing.assert_frame_equal(*(d.sort_values("doc_id").reset_index(drop=True) for d in (ranked, again))) is None
 
 
+def test_every_labelled_row_teaches_the_rank(spark):
+    # Good texts that look bad but for one word; in the order of a hash of the ids they come after 4,000 others.
+    ids = spark.range(5_700).withColumn("held", labelled.fold("id") == 0).withColumn("place", F.row_number().over(
+        Window.partitionBy("held").orderBy(F.xxhash64(F.lit(17), "id"), "id")))
+    kind = F.when(F.when(F.col("held"), F.col("id") % 5 == 0).otherwise(F.col("place") > 4_000), "odd").when(
+        F.col("id") % 2 == 0, "good").otherwise("bad")
+    docs = ids.withColumn("kind", kind).select(F.col("id").alias("doc_id"), "kind", F.when(F.col("kind") == "good", "alpha beta gamma").when(
+        F.col("kind") == "bad", "omega psi chi").otherwise("omega psi chi zzzz").alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("kind") == "bad", 0).otherwise(1).alias("quality"))
+    got = quality_rank.rank(docs, labels).join(docs, "doc_id").where("held_out").groupBy("kind").agg(F.avg("predicted").alias("p")).collect()
+    assert {r["kind"]: r["p"] for r in got} == {"good": 1, "bad": 0, "odd": 1}
+
+
 @pytest.mark.parametrize("layer", [
     f"prix\u00a0: {SECRET}".encode(), f"\ufeff{SECRET}".encode(), f"a\0b\f\x1b {SECRET}".encode(), b"\xff\xfe caf\xe9 " + SECRET.encode(),
     f"caf\xe9 {SECRET}".encode("latin-1"), SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), f"{SECRET} \u202f ".encode("utf-16-le"),
