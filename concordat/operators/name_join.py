@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordat.functions.similarity import PART_CONTAINED, _pair_score
+from concordat.functions.text import let
 
 #: Truth names of a record that a block holds.
 BLOCK = 512
@@ -41,7 +42,7 @@ _scored_once = _scored.asNondeterministic()
 
 def letter_bits(text: Column) -> Column:
     """The letters of a text as bits of a long; letters may share a bit, which only loosens a bound."""
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(
+    return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))))
 
 
@@ -61,16 +62,16 @@ def _within_reach(a: Column, b: Column, threshold: float) -> Column:
 def candidates(rows: DataFrame, key: str, truths: str, preds: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """(key, at, place, truth, pred): pairs of names of one record that the bounds leave, ``at`` in its predictions,
     ``place`` in its truths. Predictions that need no match (without parts, and equal to a truth) are left out."""
-    given = rows.where((F.size(truths) > 0) & (F.size(preds) > 0))
+    # Lists are exploded as expressions: Spark filters empty columns early, and would make all forms once more for that.
     exact = F.transform(truths, lambda t: t[0])
-    open_preds = F.filter(F.transform(preds, lambda p, i: F.struct(i.alias("at"), p.alias("name"))), lambda p: (
-        F.size(p["name"]) > 1) | F.lit(threshold > 100) | ~F.array_contains(exact, p["name"][0]))
-    blocks = F.sequence(F.lit(0), F.floor((F.size(truths) - 1) / block).cast("int"))
-    left = given.select(key, F.posexplode(truths).alias("place", "truth")).select(
-        key, "place", "truth", F.floor(F.col("place") / block).cast("int").alias("block"), _measured(F.col("truth")).alias("t"))
-    right = given.select(key, F.explode(open_preds).alias("p"), blocks.alias("blocks")).select(
-        key, F.col("p.at").alias("at"), F.col("p.name").alias("pred"), "blocks", _measured(F.col("p.name")).alias("p"))
-    right = right.select(key, "at", "pred", "p", F.explode("blocks").alias("block"))
+    named = F.transform(preds, lambda p, i: F.struct(i.alias("at"), p.alias("pred"), _measured(p).alias("p")))
+    open_preds = let(exact, lambda known: F.filter(named, lambda p: (
+        F.size(p["pred"]) > 1) | F.lit(threshold > 100) | ~F.array_contains(known, p["pred"][0])))
+    last = F.floor((F.size(truths) - 1) / block).cast("int")
+    left = rows.select(key, F.posexplode(F.transform(truths, lambda t: F.struct(t.alias("truth"), _measured(t).alias("t")))).alias("place", "x"))
+    left = left.select(key, "place", "x.truth", F.floor(F.col("place") / block).cast("int").alias("block"), "x.t")
+    right = rows.select(key, F.explode(open_preds).alias("x"), last.alias("last")).select(key, "x.at", "x.pred", "x.p", "last")
+    right = right.select(key, "at", "pred", "p", F.explode(F.sequence(F.lit(0), "last")).alias("block"))
     met = left.join(right, [key, "block"])
     if threshold <= PART_CONTAINED:
         t, p = F.col("t"), F.col("p")

@@ -37,6 +37,12 @@ def test_join_equals_the_match_in_the_row(spark, aware, threshold):
         assert dict(name_join.renamed(df, "id", "t", "p", threshold, "set", block).select("id", "set").collect()) == by_row
 
 
+def test_forms_are_not_made_again_by_a_filter(spark):
+    df = lists(spark, 3).withColumns({"t": list_forms(F.col("truth"), taxon_aware=True), "p": list_forms(F.col("pred"), taxon_aware=True)})
+    plan = name_join.candidates(df, "id", "t", "p", 101)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "transform(" in x]
+
+
 def test_each_distinct_pair_is_scored_once(spark):
     df = lists(spark, 5).where("size(truth) > 0")
     df = df.select("id", "truth", "pred").unionAll(df.select(F.col("id") + 1000, "truth", "pred"))
