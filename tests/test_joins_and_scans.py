@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from concordat.functions.similarity import list_forms, renamed_set
-from concordat.operators import name_join
+from concordat.operators import mismatch, name_join
 from concordat.operators.running import running_totals, slice_of
 
 
@@ -43,6 +43,19 @@ def test_forms_are_not_made_again_by_a_filter(spark):
     assert not [x for x in plan.splitlines() if "Filter" in x and "transform(" in x]
 
 
+def test_records_are_compared_once_for_the_recovery_summary(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def bucket(i):
+        seen.add(1)
+        return "ab"[i % 2]
+
+    rows = spark.range(8).select("id", bucket("id").alias("analysis_bucket"))
+    got = {r["analysis_bucket"]: r["share_of_species_mismatches"] for r in mismatch.recovery_summary(rows).collect()}
+    assert got == {"a": 0.5, "b": 0.5} and seen.value == 8
+
+
 def test_each_distinct_pair_is_scored_once(spark):
     df = lists(spark, 5).where("size(truth) > 0")
     df = df.select("id", "truth", "pred").unionAll(df.select(F.col("id") + 1000, "truth", "pred"))
