@@ -89,7 +89,7 @@ def recovery_buckets(aligned: Aligned) -> DataFrame:
 
 def recovery_summary(buckets: DataFrame) -> DataFrame:
     counts = buckets.groupBy("analysis_bucket").agg(F.count(F.lit(1)).alias("records"))
-    total = F.sum("records").over(Window.partitionBy())  # over a row for each bucket; a second query would compare all records again
+    total = F.sum("records").over(Window.partitionBy())  # over a row for each bucket, in the same query
     return counts.withColumn("share_of_species_mismatches", round_numpy(F.col("records") / total, 3))
 
 
