@@ -126,10 +126,14 @@ def shards(nodes: DataFrame, cap: int, overlap: int, reach: float) -> DataFrame:
 
 
 def prune(x: np.ndarray, i: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Robust pruning of rows of candidates (-1: none) by chords, nearest first; at most ``degree`` stay in each row."""
+    """Robust pruning of rows of candidates (-1: none) by chords, nearest first; at most ``degree`` stay in each row.
+
+    Chords are compared by their squares, and those between candidates only for the one that is kept.
+    """
     c = np.maximum(candidates, 0)
-    chord = lambda cosine: np.sqrt(np.maximum(2 - 2 * cosine, 0))
-    to_i, between = chord(np.einsum("bd,bkd->bk", x[i], x[c])), chord(x[c] @ x[c].transpose(0, 2, 1))
+    square = lambda cosine: np.maximum(2 - 2 * cosine, 0)
+    near = x[c]
+    to_i, between = square((near @ x[i][:, :, None])[:, :, 0]), near @ near.transpose(0, 2, 1)
     alive = (candidates >= 0) & (candidates != i[:, None])
     to_i = np.where(alive, to_i, np.inf)
     out, rows = np.full((len(i), degree), -1), np.arange(len(i))
@@ -139,13 +143,17 @@ def prune(x: np.ndarray, i: np.ndarray, candidates: np.ndarray, degree: int, alp
         best = np.where(alive, to_i, np.inf).argmin(1)
         has = alive[rows, best]
         out[has, t] = candidates[rows, best][has]
-        alive &= alpha * between[rows, best] > to_i
+        alive &= alpha * alpha * square(between[rows, best]) > to_i
         alive[rows, best] = False
     return out
 
 
 def flat_graph(x: np.ndarray, degree: int, alpha: float, width: int = 96, block: int = 256) -> np.ndarray:
-    """Neighbours of each row (-1: none): pruned nearest ones, then pruned again with those that name the row."""
+    """Neighbours of each row (-1: none): pruned nearest ones, then pruned again with those that name the row.
+
+    Single precision is enough to choose edges; what is linked is decided on all digits.
+    """
+    x = x.astype(np.float32)
     n = len(x)
     k = min(width, n - 1)
     out = np.full((n, degree), -1)
@@ -200,25 +208,26 @@ def in_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.n
     seen[:, starts] = True
     seen[rows, queries] = True  # a query is a node of the graph itself
     look(seen)
-    going = rows
+    going, width, k = rows, graph.shape[1], min(beam, n)
+    top = np.partition(cosine, n - k, axis=1)[:, n - k:]  # the best cosines of each query so far
     for _ in range(steps):
-        near = cosine[going]
-        shut = np.where(opened[going], -np.inf, near)
+        shut = np.where(opened[going], -np.inf, cosine[going])
         best = shut.argmax(1)
         value = shut[np.arange(len(going)), best]
-        worst = np.partition(near, n - min(beam, n), axis=1)[:, n - min(beam, n)]
-        go = np.isfinite(value) & (value >= worst)
+        go = np.isfinite(value) & (value >= top[going].min(1))
         going, best = going[go], best[go]
         if not len(going):
             break
         opened[going, best] = True
         # One node for each query: its few neighbours are looked at one by one.
-        query, edge = np.repeat(going, graph.shape[1]), graph[best].reshape(-1)
-        query, edge = query[edge >= 0], edge[edge >= 0]
-        fresh = ~seen[query, edge]
-        query, edge = query[fresh], edge[fresh]
+        edges = graph[best]
+        row, place = np.nonzero((edges >= 0) & ~seen[going[:, None], edges])
+        query, edge = going[row], edges[row, place]
         seen[query, edge] = True
         cosine[query, edge] = np.einsum("ed,ed->e", x[queries[query]], x[edge])
+        more = np.full(edges.shape, -np.inf)
+        more[row, place] = cosine[query, edge]
+        top[going] = np.partition(np.concatenate([top[going], more], axis=1), width, axis=1)[:, width:]
     while True:
         now = (cosine >= threshold - slack) & ~opened
         if not now.any():

@@ -252,3 +252,14 @@ def test_a_dense_group_meets_in_bounded_blocks(spark):
     assert frame.groupBy("shard").count().agg({"count": "max"}).first()[0] >= 600
     assert max(home["count"].max(), visit["count"].max()) <= 128
     assert set(map(tuple, home[["shard", "_h", "_v"]].values)) == set(map(tuple, visit[["shard", "_h", "_v"]].values))
+
+
+def test_a_search_step_ranks_only_what_it_looked_at(monkeypatch):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(40, 16))[draw.integers(0, 40, 600)] + 0.05 * draw.normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, queries, cells, partition = embedding_dedup.flat_graph(x, 16, 1.3), np.arange(100), [], np.partition
+    monkeypatch.setattr(embedding_dedup.np, "partition", lambda a, *args, **kw: cells.append(a.size) or partition(a, *args, **kw))
+    hits = embedding_dedup.in_range(x, graph, queries, np.array([0, 300, 599]), 0.98, 0.05, 8, 24)
+    assert np.array_equal(hits, hits & (x[queries] @ x.T >= 0.98 - 1e-12)) and hits.sum() >= 0.95 * (x[queries] @ x.T >= 0.98).sum()
+    assert len(cells) > 3 and sum(cells) < 2 * 100 * 600
