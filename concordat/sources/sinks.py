@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.operators.evaluate import Aligned, EvalConfig, field_metrics, field_results
+from concordat.operators.evaluate import COUNTERS, Aligned, EvalConfig, field_results, metrics_of_results
 from concordat.operators.manifest import COLUMNS as MANIFEST_COLUMNS
 from concordat.operators.normalize import FEATURES, normalize_features
 from concordat.operators.runs import extraction_table, extraction_table_of_maps
@@ -38,10 +38,15 @@ def write_extraction_csv(records: DataFrame, path: str, *, order: str | None = N
 
 
 def write_evaluation(aligned: Aligned, path: str) -> None:
-    """Detail and metrics of a report as JSON lines, with every counter kept."""
-    field_results(aligned).write.mode("overwrite").json(f"{path}/field_results")
-    field_metrics(aligned).write.mode("overwrite").json(f"{path}/field_metrics")
+    """Detail and metrics of a report as JSON lines, with every counter kept.
+
+    The metrics are summed from the counters of the detail as written, so records are compared once.
+    """
     spark = aligned.wide.sparkSession
+    field_results(aligned).write.mode("overwrite").json(f"{path}/field_results")
+    counters = ", ".join(f"{c} int" for c in COUNTERS)
+    detail = spark.read.schema(f"field string, match boolean, {counters}").json(f"{path}/field_results")
+    metrics_of_results(detail, aligned.fields).write.mode("overwrite").json(f"{path}/field_metrics")
     spark.createDataFrame([(json.dumps(aligned.config.to_dict()),)], "config string").coalesce(1).write.mode(
         "overwrite").json(f"{path}/config")
 

@@ -281,6 +281,22 @@ def test_evaluation_sink_keeps_all_counters(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "m" / "part=0")).collect()] == ["| rid | v |", "| --- | --- |"]
 
 
+def test_evaluation_sink_compares_records_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: calls.add(1) or v, "string").asNondeterministic()
+    truth = spark.createDataFrame([(i, f"v{i % 3}", ["a", "b"][: i % 3] or None) for i in range(20)], "rid long, v string, items array<string>")
+    pred = spark.createDataFrame([(i, f"v{i % 2}", ["b", "c"][: i % 2]) for i in range(5, 25)], "rid long, v string, items array<string>")
+    config = EvalConfig(field_strategies={"v": FieldStrategy(), "items": FieldStrategy()})
+    sinks.write_evaluation(align(truth, pred.withColumn("v", count("v")), "rid", config=config), str(tmp_path / "e"))
+    assert calls.value == 20
+    _, metrics, _ = sinks.read_evaluation(spark, str(tmp_path / "e"), "rid")
+    want = field_metrics(align(truth, pred, "rid", config=config))
+    assert [r.asDict() for r in metrics.select(*want.columns).collect()] == [r.asDict() for r in want.collect()]
+    empty = align(truth.limit(0), pred.limit(0), "rid", config=config)
+    sinks.write_evaluation(empty, str(tmp_path / "e"))
+    assert sinks.read_evaluation(spark, str(tmp_path / "e"), "rid")[1].count() == 0
+
+
 def test_grounding(spark):
     docs = spark.createDataFrame([(1, "We saw Canis lupus. Movement was high.", ["Canis lupus", "Ursus magnus"], ["canis  LUPUS"], ["traits"], None)],
                                  "id int, text string, gs array<string>, ps array<string>, gt array<string>, pt array<string>")
