@@ -335,7 +335,7 @@ def _block_pairs(rows: DataFrame, radius: int, nearest: int) -> DataFrame:
 def _dealt(keys: DataFrame, large: DataFrame, seed: int) -> DataFrame:
     """Rows for ``_block_pairs`` that look at a bucket as a whole, or at each of its parts by a seeded salt."""
     salt = F.pmod(F.xxhash64(F.lit(seed), "node"), F.coalesce("salts", F.lit(1).cast("long")))
-    return keys.join(large, ["part", "key"], "left").select(
+    return keys.join(F.broadcast(large), ["part", "key"], "left").select(
         "part", "key", salt.alias("block"), F.lit(2).alias("side"), "node", "fp", "w0", "w1", "label")
 
 
@@ -504,6 +504,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     groups = plan(bit_counts(nodes), nodes.count(), radius, tuple(range(1, radius + 2)), row_cost=20.0)
     # Probes hold each plain signature too, so one set of rows serves as index and probes.
     keys = _signatures(nodes.withColumn("label", F.col("node")), groups, True, "node", "w0", "w1", "label")
+    # Large buckets are few, one for each ``bucket`` signatures at most, so signatures need not move to meet them.
     large = pinned(keys.groupBy("part", "key").count().where(F.col("count") > bucket).select(
         "part", "key", F.ceil(F.col("count") / bucket).alias("salts")))
     found = pinned(_block_pairs(_dealt(keys, large, 0), radius, nearest).distinct())
@@ -524,7 +525,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
 
     labelled = lambda: nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     met, crowded = [found], not large.isEmpty()
-    crowd = pinned(keys.drop("label").join(large.drop("salts"), ["part", "key"], "left_semi"))
+    crowd = pinned(keys.drop("label").join(F.broadcast(large.drop("salts")), ["part", "key"], "left_semi"))
     for mixing in range(1, 1 + mixings * crowded):
         alike = crowd.join(found.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
         here = alike.join(labelled().select("node", "label"), "node")

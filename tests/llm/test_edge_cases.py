@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator on documents."""
 
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from concordat.llm import (embedding_dedup, mixing, packing, quality_rank, quality_rules, secret_scan, sharding, simhash,
                            token_counts, url_filter)
+from concordat.llm.common import SHUFFLE_CLEANUP, pinned
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 30_000 + "end"
@@ -101,3 +104,16 @@ def test_vectors(spark):
     assert all(got[i] == [(0, i, True)] for i in (4, 5, 6, 7, 8, 9, 10, 11))
     assert got[12] == [(1, 12, True)] and got[13] == [(1, 12, False)] and got[None] == [(0, None, False)]
     assert embedding_dedup.near_duplicates(vectors.where("false")).count() == 0
+
+
+def test_pinned_rows_leave_no_shuffle_files(spark):
+    folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    files = lambda: {p.name for p in folder.rglob("shuffle_*.data")}
+    before = files()
+    rows = pinned(spark.range(50_000).groupBy((F.col("id") % 10_000).alias("k")).count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert rows.count() == 10_000 and rows.agg(F.sum("count")).first()[0] == 50_000
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) is None
