@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.llm.common import documents, fresh, map_texts, pinned
-from concordat.llm.links import components, merged
+from concordat.llm.links import between_roots, components, extended, merged
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
 
@@ -244,6 +244,12 @@ BUCKET = 4096
 #: texts without a shingle in common differ in 64.
 WIDE, WIDE_REACH = 128, 40
 
+#: What a bound on sizes gives way for rounding.
+SLACK = 1e-9
+
+#: Rounds of some pairs, at most, before all that are left between groups pass the exact filter.
+ROUNDS = 3
+
 
 def _within_radius(fps: np.ndarray, label: np.ndarray, radius: int, nearest: int, side: np.ndarray | None,
                    wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,55 +383,95 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) ->
     return sets.where("own = node").groupBy("node").agg(F.min("hashes").alias("hashes"))
 
 
-def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts have the similarity, by their shingle sets."""
-    sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), shingle)
+def _of_similarity(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``sets`` (node, hashes) have the similarity."""
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     same = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(a, "a").join(b, "b").where(same >= similarity * (F.size("ha") + F.size("hb") - same)).select("a", "b")
 
 
-def _may_be_similar(sets: DataFrame, similarity: float, radius: int, spread: int = BUCKET) -> DataFrame:
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts have the similarity, by their shingle sets."""
+    sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), shingle)
+    return _of_similarity(sets, pairs, similarity)
+
+
+def _prefix(share: float) -> Column:
+    """How many first shingles of a set of ``size`` hold one of any ``share`` of it."""
+    return F.col("size") - F.ceil(F.col("size") * share - SLACK) + 1
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, fp, size, token, at): the first shingles of each of ``sets`` (node, fp, hashes), ordered by how many sets have
+    them, and their places; but for those that one set has alone. Two sets of that similarity share one, the smaller
+    set's within a shorter prefix (``_met``)."""
+    token = sets.select("node", F.explode("hashes").alias("token"))
+    common = token.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = token.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    rows = sets.select("node", "fp", F.size("hashes").alias("size")).join(shared, "node")
+    rows = rows.withColumn("alone", F.col("size") - F.size("shared"))  # those come first
+    rows = rows.withColumn("shared", F.slice("shared", 1, F.greatest(_prefix(similarity) - F.col("alone"), F.lit(0)).cast("int")))
+    rows = rows.select("node", "fp", "size", "alone", F.posexplode("shared").alias("at", "s"))
+    return rows.select("node", "fp", "size", F.col("s.token").alias("token"), (F.col("alone") + F.col("at")).alias("at"))
+
+
+def _met(pairs: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Those of ``pairs`` of prefix rows, with _a and _b after their columns' names, that may have the similarity: the
+    first is the smaller set, and enough shingles are left behind both places."""
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    return pairs.where(
+        (F.col("label_a") != F.col("label_b")) & (F.struct("size_a", "node_a") < F.struct("size_b", "node_b"))
+        & (F.col("size_a") >= similarity * F.col("size_b") - SLACK) & (_far(F.col("fp_a"), F.col("fp_b")) <= radius)
+        & (left >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - SLACK))
+
+
+def _tried(rows: DataFrame, similarity: float, radius: int, seed: int, nearest: int, spread: int = BUCKET) -> DataFrame:
+    """(a, b): some pairs of different labels that may have the similarity, a few for each label, by the seed.
+
+    Rows of a shingle (of a part of it, if it has more than ``spread``) stand in a row by a
+    seeded hash and meet the next two, so there are no more pairs than twice the rows.
+    """
+    count = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > spread)
+    salted = rows.join(count.select("token", F.ceil(F.col("n") / spread).alias("salts")), "token", "left").withColumn(
+        "salt", F.pmod(F.xxhash64(F.lit(seed), "node"), F.coalesce("salts", F.lit(1).cast("long"))))
+    names = ("node", "fp", "label", "size", "at")
+    line = Window.partitionBy("token", "salt").orderBy(F.xxhash64(F.lit(seed), F.lit("place"), "node"), "node")
+    me = F.struct(*names)
+    seen = salted.select("token", "salt", *names, F.array(F.lead(me, 1).over(line), F.lead(me, 2).over(line)).alias("next"))
+    seen = seen.select(me.alias("x"), F.explode(F.array_compact("next")).alias("y"))
+    turned = F.struct("x.size", "x.node") > F.struct("y.size", "y.node")
+    pairs = seen.select(*[F.when(turned, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{c}_{end}")
+                          for p, q, end in (("y", "x", "a"), ("x", "y", "b")) for c in names])
+    met = _met(pairs, similarity, radius).select(
+        F.col("label_a").alias("l"), F.col("label_b").alias("m"), F.col("node_a").alias("a"), F.col("node_b").alias("b"),
+        F.xxhash64(F.lit(seed), "node_a", "node_b").alias("far")).distinct()
+    return _nearest(met, ("l", "m"), nearest)
+
+
+def _may_be_similar(sets: DataFrame, similarity: float, radius: int, spread: int = BUCKET, prefixes: DataFrame | None = None) -> DataFrame:
     """(a, b): pairs of ``sets`` (node, fp, label, hashes) with different labels and fingerprints within ``radius``, but for
-    those that an exact filter shows to lie below the similarity.
+    those that an exact filter shows to lie below the similarity; ``prefixes`` are theirs, if made already.
 
-    Shingles are ordered by how many sets have them. Two sets of that similarity
-    share one among the first of each (the longer prefix of the larger set, the
-    shorter one of the smaller), with enough shingles left behind its places.
     Shingles that one label has alone are left out, and rows of a shingle's main
     label meet only those of others, so large groups that are one already cost
     nothing; a shingle with more than ``spread`` rows is salted.
     """
-    slack = 1e-9
-    token = sets.select("node", F.explode("hashes").alias("token"))
-    common = token.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = token.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
-    size, prefix = F.size("hashes"), lambda share: F.col("size") - F.ceil(F.col("size") * share - slack) + 1
-    rows = sets.select("node", "fp", "label", size.alias("size")).join(shared, "node")
-    rows = rows.withColumn("alone", F.col("size") - F.size("shared"))  # those come first
-    rows = rows.withColumn("shared", F.slice("shared", 1, F.greatest(prefix(similarity) - F.col("alone"), F.lit(0)).cast("int")))
-    rows = rows.select("node", "fp", "label", "size", "alone", F.posexplode("shared").alias("at", "s"))
-    rows = rows.select("node", "fp", "label", "size", F.col("s.token").alias("token"), (F.col("alone") + F.col("at")).alias("at"))
-    rows = pinned(rows)
+    rows = pinned(_prefixes(sets, similarity)) if prefixes is None else prefixes
+    rows = rows.join(sets.select("node", "label"), "node")
     by_label = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
     several = by_label.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
     several = several.where("labels > 1").select("token", "main", F.ceil(F.col("n") / spread).alias("salts"))
     rows = pinned(rows.join(several, "token").select(
         "node", "fp", "label", "size", "token", "at", "salts", (F.col("label") == F.col("main")).alias("usual")))
-    smaller = rows.where(F.col("at") < prefix(2 * similarity / (1 + similarity))).withColumn(
+    smaller = rows.where(F.col("at") < _prefix(2 * similarity / (1 + similarity))).withColumn(
         "salt", F.pmod(F.xxhash64(F.lit(7), "node"), "salts"))
     larger = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     here = smaller.select("token", "salt", *[F.col(c).alias(f"{c}_a") for c in ("node", "fp", "label", "size", "at", "usual")])
     there = larger.select("token", "salt", *[F.col(c).alias(f"{c}_b") for c in ("node", "fp", "label", "size", "at", "usual")])
     met = here.where("not usual_a").join(there, ["token", "salt"]).unionByName(
         here.where("usual_a").join(there.where("not usual_b"), ["token", "salt"]))
-    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    return met.where(
-        (F.col("label_a") != F.col("label_b")) & (F.struct("size_a", "node_a") < F.struct("size_b", "node_b"))
-        & (F.col("size_a") >= similarity * F.col("size_b") - slack) & (_far(F.col("fp_a"), F.col("fp_b")) <= radius)
-        & (left >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - slack)
-    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return _met(met, similarity, radius).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def shingle_hashes(text: bytes, shingle: int) -> list[int]:
@@ -488,7 +534,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     blocks that have candidates are dealt anew ``mixings`` times, to join what is alike across
     blocks; then all its blocks meet two by two, but for those of one component.
     What is left unverified lies within components of candidates; where such a component has
-    several verified ones, its remaining pairs pass an exact filter (``_may_be_similar``)
+    several verified ones, some more pairs are verified (``_tried``) as long as that joins groups, for ``ROUNDS``
+    rounds at most; then all pairs that remain pass an exact filter (``_may_be_similar``)
     and are verified too. So every candidate is verified, shown to lie below the
     similarity, or between documents of one group.
     """
@@ -508,19 +555,17 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     large = pinned(keys.groupBy("part", "key").count().where(F.col("count") > bucket).select(
         "part", "key", F.ceil(F.col("count") / bucket).alias("salts")))
     found = pinned(_block_pairs(_dealt(keys, large, 0), radius, nearest).distinct())
-    roots = components(_similar(docs, nodes, _nearest(found.where("a <> b"), ("a", "b"), nearest), similarity, shingle))
+    roots = pinned(components(_similar(docs, nodes, _nearest(found.where("a <> b"), ("a", "b"), nearest), similarity, shingle)))
 
     def joined(pairs: DataFrame) -> DataFrame:
-        """The roots after ``pairs`` are verified; those known are links already, so few steps are left."""
+        """The roots after ``pairs`` are verified."""
         more = pinned(_similar(docs, nodes, pairs, similarity, shingle))
-        return roots if more.isEmpty() else components(more.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        return roots if more.isEmpty() else extended(roots, more)
 
     def between(pairs: DataFrame) -> DataFrame:
         """One pair, the nearest, of every two labels that ``pairs`` bring together; a label's ``nearest`` of them."""
-        named = labelled().select("node", "label")
-        pairs = pairs.where("a <> b").join(named.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
-            named.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
-        best = pairs.groupBy(F.least("la", "lb").alias("l"), F.greatest("la", "lb").alias("m")).agg(F.min(F.struct("far", "a", "b")).alias("p"))
+        pairs = between_roots(pairs.where("a <> b"), roots)
+        best = pairs.groupBy(F.least("l", "m").alias("l"), F.greatest("l", "m").alias("m")).agg(F.min(F.struct("far", "a", "b")).alias("p"))
         return _nearest(best.select("l", "m", "p.*"), ("l", "m"), nearest)
 
     labelled = lambda: nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
@@ -540,16 +585,23 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
         roots = joined(_nearest(met[-1].where("a <> b"), ("a", "b"), nearest))
     found = reduce(DataFrame.unionAll, met)
     roots = joined(between(found))
-    # All candidates lie within the components of what the blocks chose.
-    near = components(found).withColumnRenamed("root", "near")
-    named = pinned(labelled().join(near, "node"))
-    mixed = named.groupBy("near").agg(F.min("label").alias("m"), F.max("label").alias("n")).where("m <> n")
+    # All candidates lie within the components of what the blocks chose, and those of one label need no look.
+    near = components(between_roots(found.where("a <> b"), roots).select(F.col("l").alias("a"), F.col("m").alias("b")))
     # A pair that was left out above has two ends with different labels still, or needs no look.
     rest = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    going = pinned(named.join(mixed, "near", "left_semi").join(rest, "node", "left_semi"))
+    going = pinned(labelled().join(near.select(F.col("node").alias("label")), "label", "left_semi").join(rest, "node", "left_semi"))
     if not going.isEmpty():
-        sets = pinned(_sets(docs, nodes, going, shingle).join(going, "node"))
-        roots = joined(pinned(_may_be_similar(sets, similarity, radius)))
+        sets = pinned(_sets(docs, nodes, going, shingle).join(going.select("node", "fp"), "node"))
+        rows = pinned(_prefixes(sets, similarity))
+        # Two large groups that are one would give all pairs between them, so some are tried first.
+        for seed in range(ROUNDS):
+            more = pinned(_of_similarity(sets, _tried(rows.join(labelled().select("node", "label"), "node"), similarity, radius, seed, nearest), similarity))
+            if more.isEmpty():
+                break
+            roots = extended(roots, more)
+        left = pinned(_may_be_similar(sets.join(labelled().select("node", "label"), "node"), similarity, radius, prefixes=rows))
+        more = pinned(_of_similarity(sets, left, similarity))
+        roots = roots if more.isEmpty() else extended(roots, more)
     named = labelled().withColumnRenamed("label", "root")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return keyed.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -237,6 +237,31 @@ def test_a_crowd_below_the_similarity_brings_few_pairs(spark):
     assert got == {k: k for k in range(120)}
 
 
+def test_links_within_and_between_groups_cost_one_edge(spark, monkeypatch):
+    halves = [(i, 0 if i < 40 else 40) for i in range(80)] + [(90, 90), (91, 90)]
+    pairs = [(i, j) for i in range(80) for j in range(i)] + [(91, 95), (96, 97), (97, 97)]
+    seen, star = [], links._star
+    monkeypatch.setattr(links, "_star", lambda edges, large: seen.append(edges.count()) or star(edges, large))
+    roots = spark.createDataFrame(halves, "node long, root long")
+    got = dict(links.extended(roots, spark.createDataFrame(pairs, "a long, b long")).collect())
+    assert got == {**dict.fromkeys(range(80), 0), 90: 90, 91: 90, 95: 90, 96: 96, 97: 96}
+    assert max(seen, default=0) <= 3
+
+
+def test_some_pairs_join_a_large_group(spark):
+    draw = np.random.default_rng(12)
+    base = draw.choice(10_000, 60, replace=False).tolist()
+    sets = [sorted({*draw.choice(base, 58, replace=False).tolist(), 20_000 + k}) for k in range(150)]
+    df = spark.createDataFrame([(k, 0, k, s) for k, s in enumerate(sets)], "node long, fp long, label long, hashes array<long>")
+    rows = simhash._prefixes(df, 0.8).join(df.select("node", "label"), "node")
+    everything = {frozenset(r) for r in map(tuple, simhash._may_be_similar(df, 0.8, 3).collect())}
+    for spread in (1024, 20):
+        tried = simhash._tried(rows, 0.8, 3, 0, 4, spread)
+        found = {frozenset(r) for r in map(tuple, tried.collect())}
+        assert found <= everything and len(found) <= 8 * 150 < len(everything) / 5
+        assert links.components(simhash._of_similarity(df, tried, 0.8)).where("root = 0").count() > 100
+
+
 def test_a_dense_group_meets_in_bounded_blocks(spark):
     draw = np.random.default_rng(10)
     x = draw.normal(size=16) + draw.normal(size=(700, 16)) * 0.03
