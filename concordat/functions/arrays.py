@@ -31,8 +31,7 @@ def distinct_casefold(arr: Column | str) -> Column:
         return F.transform(F.array_distinct(keys),
                            lambda k: F.get(items, (F.array_position(keys, k) - 1).cast("int")))
 
-    arr = as_col(arr)
-    return let(F.struct(F.transform(arr, casefold).alias("k"), arr.alias("a")), keep_first)
+    return let(let(as_col(arr), lambda a: F.struct(F.transform(a, casefold).alias("k"), a.alias("a"))), keep_first)
 
 
 def normalize_items(arr: Column, element_type: str, *, strip_ends: bool = True, collapse: bool = True,

@@ -55,7 +55,9 @@ def resolve_taxa(records: DataFrame, key: str, backbone: DataFrame, *, species:
     matches = acceptable_matches(backbone, confidence_threshold=confidence_threshold,
                                  accept_higherrank=accept_higherrank)
     keep = keep or []
-    listed = records.select(key, *keep, F.posexplode(species).alias("pos", "original")).filter("original IS NOT NULL")
+    # Exploded as an expression: Spark filters empty columns early, and would make the whole list once more for that.
+    items = F.transform(species, lambda x: x)
+    listed = records.select(key, *keep, F.posexplode(items).alias("pos", "original")).filter("original IS NOT NULL")
     distinct = listed.select("original").distinct().withColumn("parsed", taxa.parse_taxon("original"))
     p = F.col("parsed")
     sci, ver = F.nullif(p["scientific"], F.lit("")), F.nullif(p["vernacular"], F.lit(""))

@@ -207,6 +207,20 @@ def test_taxonomy_evaluation(spark):
     assert all((m[f].tp, m[f].fp, m[f].fn) == (1, 0, 0) for f in fields)
 
 
+def test_names_are_stripped_once_for_each_use(spark):
+    lists = spark.createDataFrame([("1", ["3 mice, Rana temporaria and rana Temporaria", None, "Rana temporaria"]), ("2", []), ("3", None)],
+                                  "rid string, species array<string>")
+    uses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(r"\band\b")
+    left = lists.select("rid", tx.taxa.stripped_names("species").alias("names"))
+    assert dict(left.collect()) == {"1": ["Rana temporaria"], "2": None, "3": None} and uses(left) == 1
+    names = spark.createDataFrame([("Rana temporaria",)], "name string").select("name", F.lit(7).alias("usage_key"), *[F.lit(None).cast("string").alias(
+        c) for c in tx.BACKBONE_COLUMNS[2:5]], F.lit(100).alias("confidence"), F.lit("EXACT").alias("match_type"), *[F.lit(None).cast("string").alias(
+            c) for c in tx.BACKBONE_COLUMNS[7:]])
+    rich = tx.enrich(lists, "rid", names).select("rid", "gbif_keys", "gbif_key_stripped_richness", "species_stripped_richness")
+    assert sorted(map(tuple, rich.collect())) == [("1", [7], [7], ["Rana temporaria"]), ("2", None, None, None), ("3", None, None, None)]
+    assert uses(rich) == 3  # the column, the distinct names, and the way back to their records
+
+
 def test_manifest_round_trip_and_errors(spark, tmp_path):
     gt = spark.createDataFrame([(1, "dryad", "https://doi.org/10.5061/DRYAD.x", "10.1371/J", 1.0, "t,1"), (2, " ", None, "none", None, 'q"')],
                                "id int, source string, source_url string, cited_article_doi string, is_oa double, title string")
