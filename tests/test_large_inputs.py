@@ -1,10 +1,12 @@
 """What keeps queries within their limits on large tables: plans without oversized broadcasts, parts, state and rows."""
 
+import io
 import json
 import random
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow.fs as fs
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +97,57 @@ def test_a_sentence_of_many_pieces_is_split_once(spark):
     began = time.time()
     assert tuple(out.first()) == (750, 60_000)
     assert time.time() - began < 40
+
+
+def test_ranges_are_read_once_and_little_behind_them(tmp_path):
+    """Of short elements, ranges of 64 KB must not read on a megabyte each."""
+    rows = [{"record_id": str(i), "field": "species", "t": "a\\ \"é"} for i in range(20_000)]
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps(rows, indent=1, ensure_ascii=False), encoding="utf-8")
+    raw = np.frombuffer(path.read_bytes(), np.uint8)
+    text, depth = json_arrays.levels(raw, False, False, 0)
+    seen = []
+
+    class Counted(io.BytesIO):
+        def read(self, size=-1):
+            seen.append(size)
+            return super().read(size)
+
+    file, found, step = Counted(raw.tobytes()), [], 1 << 16
+    for start in range(0, len(raw), step):
+        state = {"path": str(path), "length": len(raw), "start": start, "inside": bool(start and text[start - 1]),
+                 "depth": int(depth[start - 1]) if start else 0, "from": -1}
+        at, values = json_arrays._elements(file, state, step, 1)
+        assert (np.diff(at.to_numpy()) > 0).all()
+        found += values.to_pylist()
+    assert [json.loads(v) for v in found] == rows
+    assert sum(seen) < 1.2 * len(raw)
+
+
+@pytest.mark.parametrize("range_bytes", (83, 1 << 16))
+def test_the_model_of_a_run_is_read_by_ranges(spark, tmp_path, range_bytes):
+    records = [{"gt_record_id": i, "title": '"model": "x"'} for i in range(12)]
+    bodies = {"before": {"model": 'g "5", {', "records": records}, "behind": {"records": records, "meta": {"model": "no"}, "model": "m"},
+              "number": {"model": 5, "records": records}, "none": {"records": records, "model": None}, "missing": {"records": records},
+              "object": {"model": {"a": [1, "}"]}, "records": records}}
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=1))
+    split = readers.split_run_records(spark, str(tmp_path), range_bytes=range_bytes)
+    assert "Scan json" not in plan(split)  # which one task does for a file
+    whole = readers.run_records(readers.run_artifacts(spark, str(tmp_path)))
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect())) and split.count() == 72
+
+
+def test_results_are_ordered_before_they_are_one_row_a_field(spark, tmp_path, monkeypatch):
+    """What is sampled and shuffled for the order of a run's results is a row a record."""
+    sides = spark.range(30).select(F.col("id").cast("string").alias("record_id"), (F.col("id") % 4).cast("int").alias("temp_range_i"))
+    dealt = []
+    kind = type(sides)
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *a, f=kind.repartitionByRange: dealt.append(self.columns) or f(self, *a))
+    made = sides.select(F.col("record_id").cast("long").alias("gt_record_id"), F.lit("t").alias("title"))
+    run_sink.write_run_artifact(made, f"{tmp_path}/a.json", {"name": "a"}, aligned=ev.align(sides, sides, "record_id"))
+    assert dealt and not any("value" in columns for columns in dealt)
+    body = json.load(open(f"{tmp_path}/a.json"))
+    assert [r["gt_record_id"] for r in body["records"]] == list(range(30))
+    order = [(r["record_id"], r["field"]) for r in body["evaluation"]["field_results"]]
+    assert order == sorted(order) and len(set(order)) == 360 and list(body["evaluation"]["field_metrics"]) == sorted(ev.DEFAULT_STRATEGIES)
