@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from concordat.functions.text import NON_WS, WS, as_col, let, strip
+from concordat.functions.text import WS, as_col, strip
 
 # ---- Fixed values: section type -> heading patterns, tried in this order ----
 
@@ -157,13 +156,17 @@ def content_flags(value: Column | str) -> Column:
 # ---- Sentences and tokens --------------------------------------------------
 
 
+#: Stands for a full stop of an abbreviation while a text is split.
+PROTECTED = ""
+
+
 def sentences(value: Column | str, *, literal_at_sign: bool = False) -> Column:
     """Sentences of a text, abbreviations kept together.
 
     ``literal_at_sign=True`` reproduces a quirk of the studied tool, which
     marks protected dots with ``@`` and so turns every ``@`` into a dot.
     """
-    mark = "@" if literal_at_sign else ""
+    mark = "@" if literal_at_sign else PROTECTED
     t = as_col(value)
     for abbreviation in ABBREVIATIONS:
         t = F.replace(t, F.lit(abbreviation), F.lit(abbreviation.replace(".", mark)))
@@ -172,6 +175,21 @@ def sentences(value: Column | str, *, literal_at_sign: bool = False) -> Column:
     return F.transform(kept, lambda s: strip(F.replace(s, F.lit(mark), F.lit("."))))
 
 
+def sentences_of(text: str, *, literal_at_sign: bool = False) -> list[str]:
+    """What ``sentences`` gives, for one text in a Python worker."""
+    mark = "@" if literal_at_sign else PROTECTED
+    for abbreviation in ABBREVIATIONS:
+        text = text.replace(abbreviation, abbreviation.replace(".", mark))
+    # As splitting behind the mark does, but the mark is found faster; only the whole text's ends are left to strip.
+    parts = _SENTENCE_END.split(text.strip())
+    found = [s + end for s, end in zip(parts[::2], parts[1::2])] + parts[-1:]
+    found = [s for s in found if s]
+    return [s.replace(mark, ".") for s in found] if mark in text else found
+
+
+_SENTENCE_END = re.compile(r"([.!?])\s+")
+
+
 def plain_sentences(cleaned: Column | str) -> Column:
     """Sentence split without abbreviation handling (for already cleaned text)."""
     return F.filter(F.transform(F.split(as_col(cleaned), rf"(?<=[.!?]){WS}+"), strip), lambda s: s != "")
@@ -181,29 +199,23 @@ class WordTokens:
     """Default tokenizer: a token is a word with the blanks around it.
 
     Joining tokens gives the text back, which is what cutting an over-long
-    sentence needs; all of it runs in the JVM.
+    sentence needs.
     """
 
-    def _count(self, text: Column) -> Column:
-        # Splitting is several times faster than counting matches.
-        return let(strip(text), lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, WS + "+"))))
+    #: The tokens of texts with white space between them are those of each.
+    additive = True
+    _TOKEN = re.compile(r"\s*\S+\s*")
 
-    def counts(self, texts: Column) -> Column:
-        return F.transform(texts, self._count)
+    def load(self) -> WordTokens:
+        return self
 
-    def nested_counts(self, texts: Column) -> Column:
-        return F.transform(texts, self.counts)
+    def count(self, text: str) -> int:
+        return len(text.split())
 
-    def nested_cuts(self, texts: Column, size: int) -> Column:
-        """For every sentence over ``size`` tokens: its pieces of ``size`` tokens."""
-        def pieces(sentence: Column) -> Column:
-            # Bound outside the lambda, which would find the tokens again for every piece.
-            tokens = F.regexp_extract_all(sentence, F.lit(f"({WS}*{NON_WS}+{WS}*)"), 1)
-            cut = lambda n: let(tokens, lambda t: F.transform(F.sequence(F.lit(1), n, F.lit(size)), lambda i: F.array_join(
-                F.slice(t, i, F.lit(size)), "")))
-            return let(self._count(sentence), lambda n: F.when(n > size, cut(n)))
-
-        return F.transform(texts, lambda group: F.transform(group, pieces))
+    def pieces(self, text: str, size: int) -> list[str]:
+        """The text cut after every ``size`` tokens."""
+        tokens = self._TOKEN.findall(text)
+        return ["".join(tokens[i:i + size]) for i in range(0, len(tokens), size)]
 
 
 class CodecTokens:
@@ -213,35 +225,19 @@ class CodecTokens:
     not shipped with every task. For byte-pair vocabularies, which need a local file.
     """
 
-    def __init__(self, load: Callable[[], object]):
-        self._load = load
-
-    def _mapped(self, kind: T.DataType, arrow: pa.DataType, convert: Callable) -> Callable:
-        load = self._load
+    additive = False
 
-        @F.arrow_udf(kind)
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            codec = load()
-            for batch in batches:
-                yield pa.array([None if row is None else convert(codec, row) for row in batch.to_pylist()], arrow)
-
-        # The barrier keeps the optimizer from moving the call into a lambda, where it cannot run.
-        return run.asNondeterministic()
-
-    def counts(self, texts: Column) -> Column:
-        size = lambda codec, row: [None if t is None else len(codec.encode(t)) for t in row]
-        return self._mapped(T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), size)(texts)
+    def __init__(self, load: Callable[[], object]):
+        self._load, self._codec = load, None
 
-    def nested_counts(self, texts: Column) -> Column:
-        size = lambda codec, row: [[len(codec.encode(t)) for t in group] for group in row]
-        kind = T.ArrayType(T.ArrayType(T.IntegerType()))
-        return self._mapped(kind, pa.list_(pa.list_(pa.int32())), size)(texts)
+    def load(self) -> CodecTokens:
+        loaded = CodecTokens(self._load)
+        loaded._codec = self._load()
+        return loaded
 
-    def nested_cuts(self, texts: Column, size: int) -> Column:
-        def pieces(codec, sentence):
-            ids = codec.encode(sentence)
-            return [codec.decode(ids[i:i + size]) for i in range(0, len(ids), size)] if len(ids) > size else None
+    def count(self, text: str) -> int:
+        return len(self._codec.encode(text))
 
-        cut = lambda codec, row: [[pieces(codec, t) for t in group] for group in row]
-        kind = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
-        return self._mapped(kind, pa.list_(pa.list_(pa.list_(pa.string()))), cut)(texts)
+    def pieces(self, text: str, size: int) -> list[str]:
+        ids = self._codec.encode(text)
+        return [self._codec.decode(ids[i:i + size]) for i in range(0, len(ids), size)]

@@ -13,6 +13,7 @@ from concordat.operators import sections as so
 from concordat.operators import vectors as vx
 from concordat.operators import works as wk
 from concordat.plans.base import derived, plain, table
+from concordat.session import ensure_checkpoint_dir
 from concordat.sources import readers, tei
 
 # ---- Headings, flags, sentences --------------------------------------------
@@ -101,7 +102,10 @@ def chunk_short_texts(spark, sf):
 def chunk_stats(spark, sf):
     from concordat.operators.stability import describe
 
-    return describe(ch.chunk_text(table(spark, sf, "documents").select("doc_id", "lang", "text"), "text", CHUNKS), "token_count", ["lang"])
+    chunks = ch.chunk_text(table(spark, sf, "documents").select("doc_id", "lang", "text"), "text", CHUNKS)
+    ensure_checkpoint_dir(spark)
+    # Texts are cut once; what is described several times over are two short columns.
+    return describe(chunks.select("lang", "token_count").checkpoint(), "token_count", ["lang"])
 
 
 def chunk_work_metadata(spark, sf):

@@ -11,6 +11,7 @@ import pyarrow.fs as fs
 import pytest
 from pyspark.sql import functions as F
 
+from concordat.functions import sections as sec
 from concordat.functions.text import ascii_key, clean_markup
 from concordat.operators import chunking as ch
 from concordat.operators import evaluate as ev
@@ -151,3 +152,34 @@ def test_results_are_ordered_before_they_are_one_row_a_field(spark, tmp_path, mo
     assert [r["gt_record_id"] for r in body["records"]] == list(range(30))
     order = [(r["record_id"], r["field"]) for r in body["evaluation"]["field_results"]]
     assert order == sorted(order) and len(set(order)) == 360 and list(body["evaluation"]["field_metrics"]) == sorted(ev.DEFAULT_STRATEGIES)
+
+
+def test_described_chunks_are_cut_once(spark, tmp_path):
+    """What is described several times over are rows already cut; before, each pass over them cut all texts again."""
+    long = " ".join(f"Sentence number {i} ends here." for i in range(60))
+    rows = [(1, "en", long), (2, "en", "short"), (3, "fr", long), (4, "fr", " \n"), (5, None, "one. two."), (6, "de", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = texts.chunk_stats(spark, str(tmp_path))
+    assert "Python" not in plan(found) and "Arrow" not in plan(found)
+    assert {r["lang"]: (r["count"], r["min"], r["max"]) for r in found.collect()} == {"en": (6, 1, 80), "fr": (5, 60, 80), None: (1, 2, 2)}
+
+
+def test_sentences_are_the_same_in_both_engines(spark):
+    draw = random.Random(4)
+    parts = ["a", "et al.", "e.g. ", "Fig.", "Dr. B", ".", "!", "? ", " ", "\n", "\u00a0", "\x1c", "\u2003", "@", "é", "\U0001f600", "..", "x"]
+    made = ["", " ", ".", " . ", "a. ", *("".join(draw.choice(parts) for _ in range(draw.randint(1, 25))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in made], "t string")
+    for literal in (False, True):
+        found = df.select("t", sec.sentences("t", literal_at_sign=literal).alias("s")).collect()
+        assert all(sec.sentences_of(r["t"], literal_at_sign=literal) == r["s"] for r in found)
+
+
+def test_sections_that_are_blank_or_missing(spark):
+    rows = [("W1", [("s1", "a b c"), None, ("s2", None), ("s3", "\u00a0 "), ("s4", "One two. Three four five. Six " + "w " * 9)]), ("W2", None), ("W3", [])]
+    df = spark.createDataFrame(rows, "work_id string, sections array<struct<section_id:string,text:string>>")
+    config = ch.ChunkConfig(target_tokens=3, max_tokens=4, overlap_tokens=2)
+    found = ch.with_chunks(df, F.col("sections"), config).orderBy("work_id").collect()
+    assert [(c["section"]["section_id"], c["chunk_index_in_section"], c["text"], c["char_start"], c["char_end"]) for c in found[0]["chunks"]] == [
+        ("s1", 0, "a b c", 0, 5), ("s4", 0, "One two.", 1, 9), ("s4", 1, "One two. Three four five.", 1, 26),
+        ("s4", 2, "Six w w w ", 26, 36), ("s4", 3, "w w w w ", 36, 44), ("s4", 4, "w w", 44, 47)]
+    assert found[0]["_counts"] == [3, 2, 5, 4, 4, 2] and not found[1]["chunks"] and found[2]["chunks"] == []
